@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def kolmogorov_p_value(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
@@ -54,7 +55,7 @@ def _upper_gamma(a: float, x: float) -> float:
     return front * h
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_p_value(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-squared distribution; one row per feature, never per record."""
     return pd.Series(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("drift",)
+FAMILIES = ("drift", "preparation")
 
 
 def load_all():
