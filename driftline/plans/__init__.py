@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("drift", "preparation")
+FAMILIES = ("drift", "preparation", "monitoring")
 
 
 def load_all():
