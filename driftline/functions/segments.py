@@ -52,3 +52,88 @@ def with_previous(
         .filter(~F.col("_carried"))
         .drop("_carried", "_chunk")
     )
+
+
+def row_numbers(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    tie: Sequence[str] = (),
+    name: str = "row",
+    chunk_seconds: int = 86_400,
+) -> DataFrame:
+    """Adds the 1-based position of a row in its key's (ts, tie) order."""
+    keys = list(keys)
+    chunked = df.withColumn("_chunk", chunk_of(F.col(ts), chunk_seconds))
+    sizes = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *keys, "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+    )
+    inside = W.partitionBy(*keys, "_chunk").orderBy(ts, *tie)
+    return (
+        chunked.withColumn(name, F.row_number().over(inside))
+        .join(offsets, [*keys, "_chunk"])
+        .withColumn(name, F.col(name) + F.col("_offset"))
+        .drop("_chunk", "_offset")
+    )
+
+
+def latest_before(
+    rows: DataFrame,
+    facts: DataFrame,
+    keys: Sequence[str],
+    rows_ts: str,
+    facts_ts: str,
+    tie: Sequence[str] = (),
+    chunk_seconds: int = 86_400,
+) -> DataFrame:
+    """Adds ``fact``: the key's latest row of ``facts`` not after the row's time (null if none).
+
+    An as-of join as one union and one sort per (key, chunk). Each chunk starts
+    with the last fact of the key's earlier chunks, so a chunk needs no other
+    chunk and no pair of rows is ever formed.
+    """
+    keys = list(keys)
+    payload = F.struct(*[F.col(c) for c in facts.columns])
+    known = facts.dropna(subset=[*keys, facts_ts]).select(
+        *keys,
+        chunk_of(F.col(facts_ts), chunk_seconds).alias("_chunk"),
+        F.col(facts_ts).alias("_at"),
+        F.struct(*tie).alias("_tie") if tie else F.lit(0).alias("_tie"),
+        payload.alias("fact"),
+    )
+    asked = rows.select(
+        *keys,
+        chunk_of(F.col(rows_ts), chunk_seconds).alias("_chunk"),
+        F.col(rows_ts).alias("_at"),
+        F.struct(*[F.col(c) for c in rows.columns]).alias("_row"),
+    )
+    last = known.groupBy(*keys, "_chunk").agg(
+        F.max_by("fact", F.struct("_at", "_tie")).alias("fact")
+    )
+    chunks = (
+        asked.select(*keys, "_chunk", F.lit(True).alias("_asked"))
+        .distinct()
+        .join(last, [*keys, "_chunk"], "full_outer")
+    )
+    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        chunks.withColumn("fact", F.last("fact", ignorenulls=True).over(earlier))
+        .filter(F.col("_asked") & F.col("fact").isNotNull())
+        .select(*keys, "_chunk", F.lit(0).alias("_kind"), "fact")
+    )
+    # Order inside a chunk: carried fact, then facts before rows of the same instant.
+    merged = (
+        known.withColumn("_kind", F.lit(1))
+        .unionByName(asked.withColumn("_kind", F.lit(2)), allowMissingColumns=True)
+        .unionByName(carried, allowMissingColumns=True)
+    )
+    order = W.partitionBy(*keys, "_chunk").orderBy(
+        F.col("_kind") != 0, F.col("_at"), F.col("_kind"), F.col("_tie")
+    )
+    return (
+        merged.withColumn("fact", F.last("fact", ignorenulls=True).over(order))
+        .filter(F.col("_kind") == 2)
+        .select("_row.*", "fact")
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("drift", "preparation", "monitoring")
+FAMILIES = ("drift", "preparation", "monitoring", "records", "models")
 
 
 def load_all():
