@@ -195,8 +195,8 @@ def check_batch_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "prediction_distribution",
-    """SELECT date_trunc('day', ts)::TIMESTAMP AS ts, event_type AS class, count(*) AS n,
-      round(count(*) / sum(count(*)) OVER (PARTITION BY date_trunc('day', ts)), 6) AS share FROM events GROUP BY 1, 2""",
+    """WITH c AS (SELECT date_trunc('day', ts)::TIMESTAMP AS d, event_type AS class, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT d AS ts, class, n, round(n / sum(n) OVER (PARTITION BY d), 6) AS share FROM c""",
 )
 def prediction_distribution(spark: SparkSession, sf: str) -> DataFrame:
     scored = table(spark, sf, "events")
