@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("drift", "preparation", "monitoring", "records", "models", "streams")
+FAMILIES = ("drift", "preparation", "monitoring", "records", "models", "streams", "dashboards")
 
 
 def load_all():

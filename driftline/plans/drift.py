@@ -20,17 +20,33 @@ def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return items.filter(before).select(*columns), items.filter(~before).select(*columns)
 
 
-_UNPIVOT = """
-both_sides AS (SELECT l_shipdate >= TIMESTAMP '1998-01-01' AS cur, * FROM lineitem),
-long AS (
-  SELECT cur, 'l_quantity' AS feature, l_quantity AS v FROM both_sides UNION ALL
-  SELECT cur, 'l_extendedprice', l_extendedprice FROM both_sides UNION ALL
-  SELECT cur, 'l_discount', l_discount FROM both_sides UNION ALL
-  SELECT cur, 'l_tax', l_tax FROM both_sides)
-"""
+def unpivot_sql(source: str, numeric: list[str]) -> str:
+    """CTEs ``both_sides`` (with ``cur``) and ``long`` (cur, feature, v) of a relation."""
+    parts = " UNION ALL ".join(
+        f"SELECT cur, '{c}' AS feature, {c}::DOUBLE AS v FROM both_sides" for c in numeric
+    )
+    return f"both_sides AS ({source}), long AS ({parts})"
+
+
+def numeric_sql(source: str, numeric: list[str]) -> str:
+    """CTEs ``num`` and ``pv``: statistics and KS p-values of numeric features."""
+    return f"{unpivot_sql(source, numeric)}, {_NUMERIC_BODY}"
+
+
+def categorical_sql(categorical: list[str]) -> str:
+    """CTE ``cat``: statistics of categorical features of ``both_sides``."""
+    parts = " UNION ALL ".join(
+        f"SELECT cur, '{c}' AS feature, {c} AS v FROM both_sides" for c in categorical
+    )
+    return f"clong AS ({parts}), {_CATEGORICAL_BODY}"
+
+
+def scored_sql(source: str, numeric: list[str], categorical: list[str]) -> str:
+    """CTE ``result``: score and severity of every feature."""
+    return f"{numeric_sql(source, numeric)}, {categorical_sql(categorical)}, {_SCORED_BODY}"
 
-_NUMERIC_CTE = f"""
-{_UNPIVOT},
+
+_NUMERIC_BODY = """
 m AS (
   SELECT feature, count(*) FILTER (NOT cur) AS n_ref, count(*) FILTER (cur) AS n_cur,
     avg(v) FILTER (NOT cur) AS ref_mean, avg(v) FILTER (cur) AS cur_mean,
@@ -76,10 +92,7 @@ pv AS (
   FROM num, range(1, 101) AS r(k) GROUP BY feature, lam)
 """
 
-_CATEGORICAL_CTE = """
-clong AS (
-  SELECT cur, 'l_returnflag' AS feature, l_returnflag AS v FROM both_sides UNION ALL
-  SELECT cur, 'l_linestatus', l_linestatus FROM both_sides),
+_CATEGORICAL_BODY = """
 ccount AS (
   SELECT feature, v, count(*) FILTER (NOT cur) AS cr, count(*) FILTER (cur) AS cc
   FROM clong GROUP BY feature, v),
@@ -98,9 +111,7 @@ cat AS (
   FROM ctot JOIN cchi USING (feature))
 """
 
-_ALL_CTE = f"""
-{_NUMERIC_CTE},
-{_CATEGORICAL_CTE},
+_SCORED_BODY = """
 scored AS (
   SELECT feature, 'numeric' AS kind, n_ref, n_cur, drift_score, ks_statistic, psi FROM num
   UNION ALL
@@ -111,6 +122,19 @@ result AS (
     ELSE 'none' END AS severity FROM scored)
 """
 
+_SOURCE = "SELECT l_shipdate >= TIMESTAMP '1998-01-01' AS cur, * FROM lineitem"
+_UNPIVOT = unpivot_sql(_SOURCE, NUMERIC)
+_NUMERIC_CTE = numeric_sql(_SOURCE, NUMERIC)
+_CATEGORICAL_CTE = categorical_sql(CATEGORICAL)
+_ALL_CTE = scored_sql(_SOURCE, NUMERIC, CATEGORICAL)
+
+METRIC_ROWS = """
+SELECT feature, 'drift_score' AS metric, NULL::VARCHAR AS severity, round(drift_score, 6) AS value FROM result
+UNION ALL SELECT feature, 'ks_statistic', NULL, round(ks_statistic, 6) FROM result
+UNION ALL SELECT feature, 'psi_score', NULL, round(psi, 6) FROM result
+UNION ALL SELECT feature, 'drift_detected_total', severity, 1.0 FROM result WHERE severity <> 'none'
+"""
+
 
 @query(
     "drift_numeric",
@@ -220,14 +244,7 @@ def drift_rollup(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "drift_metrics",
     f"""WITH {_ALL_CTE}
-    SELECT 'returns' AS model, feature, TIMESTAMP '2001-12-01' AS ts, 'drift_score' AS metric,
-      NULL::VARCHAR AS severity, round(drift_score, 6) AS value FROM result
-    UNION ALL SELECT 'returns', feature, TIMESTAMP '2001-12-01', 'ks_statistic', NULL,
-      round(ks_statistic, 6) FROM result
-    UNION ALL SELECT 'returns', feature, TIMESTAMP '2001-12-01', 'psi_score', NULL,
-      round(psi, 6) FROM result
-    UNION ALL SELECT 'returns', feature, TIMESTAMP '2001-12-01', 'drift_detected_total', severity,
-      1.0 FROM result WHERE severity <> 'none'""",
+    SELECT 'returns' AS model, TIMESTAMP '2001-12-01' AS ts, * FROM ({METRIC_ROWS})""",
 )
 def drift_metrics(spark: SparkSession, sf: str) -> DataFrame:
     before, after = sides(spark, sf)

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.operators import slo
+from driftline.operators import logs, series, slo
 from driftline.plans import monitoring as batch
+from driftline.plans.drift import METRIC_ROWS, scored_sql
 from driftline.plans.records import CLICKS, log_lines
 from driftline.plans.registry import at_edge, query, table
 from driftline.session import new_shared_path
-from driftline.operators import logs
 from driftline.sources.files import stream_source
 from driftline.streaming import drift as drift_stream
 from driftline.streaming import features, monitoring, tables
@@ -115,8 +115,6 @@ def stream_alert_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def stream_hold(spark: SparkSession, sf: str) -> DataFrame:
     """A recorded hourly ratio table, followed as a stream by a stateful hold."""
     path = new_shared_path(spark, "stream-hold")
-    from driftline.operators import series
-
     series.buckets(
         batch.requests(spark, sf),
         ["service"],
@@ -132,7 +130,13 @@ def stream_hold(spark: SparkSession, sf: str) -> DataFrame:
     return at_edge(spark.read.schema(held.schema).parquet(f"{path}/t"))
 
 
-@query("stream_throttle")
+@query(
+    "stream_throttle",
+    f"""WITH RECURSIVE {batch.REQ}, e AS (SELECT service, ts FROM req WHERE status = '500'),
+    t AS (SELECT service, min(ts) AS ts FROM e GROUP BY service UNION ALL
+      SELECT t.service, min(e.ts) FROM t JOIN e ON e.service = t.service AND e.ts >= t.ts + INTERVAL 4 HOURS GROUP BY t.service)
+    SELECT service, ts FROM t""",
+)
 def stream_throttle(spark: SparkSession, sf: str) -> DataFrame:
     path = new_shared_path(spark, "stream-throttle")
     errors = request_stream(spark, sf).filter("status = '500'")
@@ -190,7 +194,14 @@ def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
     return at_edge(drift_stream.window_drift(kept, bins))
 
 
-@query("stream_drift_cycles")
+_AFTER = "SELECT ts >= TIMESTAMP '2024-01-08' AS cur, * FROM events"
+
+
+@query(
+    "stream_drift_cycles",
+    f"""WITH {scored_sql(_AFTER, ['value'], ['event_type'])}
+    SELECT 'events' AS model, (SELECT max(ts) FROM events) AS ts, * FROM ({METRIC_ROWS})""",
+)
 def stream_drift_cycles(spark: SparkSession, sf: str) -> DataFrame:
     """Drift metrics of every micro-batch against the first week's events."""
     path = new_shared_path(spark, "stream-cycles")
