@@ -5,19 +5,22 @@ Jensen-Shannon distance. Categorical features: chi-squared and Cramer's V.
 
 Plan for numeric features (all exact):
 
-1. one pass gives moments, extremes and quantile cut points per feature;
+1. one pass gives counts, moments and extremes per feature; a sample then gives
+   cut points, more of them for larger tables;
 2. one pass counts both sides per (feature, cut range, histogram bucket). That
    settles PSI and JS, and bounds the KS distance inside every range;
 3. only ranges whose bound beats the best distance seen at a range edge are
-   read again, value by value. Each such range is a task of its own, so no task
-   sorts a whole feature.
+   read again, value by value. A range is a group of its own and holds about
+   two million rows however large the table is, so no task sorts a whole feature.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 
 from driftline.errors import DataError
 from driftline.functions.order_stats import LINEAR, exact_quantiles, unpivot
-from driftline.functions.scalars import equal_width_bucket, ratio
+from driftline.functions.scalars import clean_double, equal_width_bucket, ratio
 from driftline.functions.statistics import chi2_p_value, kolmogorov_p_value
 from driftline.session import materialise
 
@@ -57,7 +60,10 @@ class DriftConfig:
     warning_threshold: float = WARNING_THRESHOLD
     psi_threshold: float = PSI_THRESHOLD
     n_bins: int = N_BINS
-    ranges_log2: int = 10  # 2**ranges_log2 cut ranges per feature
+    # How finely the values of a feature are cut; affects speed only.
+    rows_per_range: int = 2_000_000
+    min_ranges: int = 256
+    max_ranges: int = 65_536
 
 
 def is_numeric(field: T.StructField) -> bool:
@@ -156,10 +162,133 @@ def categorical_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --- numeric statistics -------------------------------------------------------
 
 
-def _both_sides(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
-    ref = unpivot(reference, columns, [F.lit(False).alias("cur")])
-    cur = unpivot(current, columns, [F.lit(True).alias("cur")])
-    return ref.unionAll(cur).filter(F.col("value").isNotNull())
+@dataclass(frozen=True)
+class _Feature:
+    """What one pass over both sides tells about a numeric feature."""
+
+    id: int
+    name: str
+    n_ref: int
+    n_cur: int
+    ref_mean: float
+    cur_mean: float
+    ref_std: float | None
+    cur_std: float | None
+    lo: float
+    hi: float
+    degenerate: bool  # one side holds a single value
+
+
+_FEATURE_SCHEMA = (
+    "id int, feature string, n_ref long, n_cur long, ref_mean double, cur_mean double, "
+    "ref_std double, cur_std double, lo double, hi double, degenerate boolean"
+)
+
+
+def _wide(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Both sides below each other: ``cur`` and the values as ``v0, v1 ...``."""
+
+    def side(df: DataFrame, cur: bool) -> DataFrame:
+        return df.select(
+            F.lit(cur).alias("cur"), *[clean_double(c).alias(f"v{i}") for i, c in enumerate(columns)]
+        )
+
+    return side(reference, False).unionAll(side(current, True))
+
+
+def _measure(wide: DataFrame, columns: Sequence[str]) -> list[_Feature]:
+    """Count, mean, deviation and extremes of every feature and side, in one pass."""
+    aggregates = [
+        fn(f"v{i}").alias(f"{name}{i}")
+        for i in range(len(columns))
+        for name, fn in (
+            ("n", F.count),
+            ("mean", F.avg),
+            ("std", F.stddev_samp),
+            ("min", F.min),
+            ("max", F.max),
+        )
+    ]
+    rows = {r["cur"]: r for r in wide.groupBy("cur").agg(*aggregates).collect()}  # two rows
+    found = []
+    for i, name in enumerate(columns):
+        ref, cur = rows.get(False), rows.get(True)
+        if ref is None or cur is None or ref[f"n{i}"] == 0 or cur[f"n{i}"] == 0:
+            continue
+        found.append(
+            _Feature(
+                i,
+                name,
+                ref[f"n{i}"],
+                cur[f"n{i}"],
+                ref[f"mean{i}"],
+                cur[f"mean{i}"],
+                ref[f"std{i}"],
+                cur[f"std{i}"],
+                min(ref[f"min{i}"], cur[f"min{i}"]),
+                max(ref[f"max{i}"], cur[f"max{i}"]),
+                ref[f"min{i}"] == ref[f"max{i}"] or cur[f"min{i}"] == cur[f"max{i}"],
+            )
+        )
+    return found
+
+
+def _cut_points(
+    wide: DataFrame, features: Sequence[_Feature], config: DriftConfig
+) -> dict[int, list[float]]:
+    """Where the values of each feature are cut into ranges of about equal size.
+
+    The cuts come from a sample. They only spread the work: every row is
+    counted in its range, and any cuts give the same statistics.
+    """
+    total = max(f.n_ref + f.n_cur for f in features)
+    ranges = int(min(max(total // config.rows_per_range, config.min_ranges), config.max_ranges))
+    fraction = min(1.0, 400.0 * ranges / total)
+    sample = wide if fraction >= 1.0 else wide.sample(fraction, seed=7)
+    grid = [i / ranges for i in range(1, ranges)]
+    pairs = F.array(*[F.struct(F.lit(f.id).alias("id"), F.col(f"v{f.id}").alias("v")) for f in features])
+    rows = (
+        sample.select(F.inline(pairs))
+        .filter(F.col("v").isNotNull())
+        .groupBy("id")
+        .agg(F.percentile_approx("v", grid, 4 * ranges).alias("cuts"))
+        .collect()  # one row per feature, at most max_ranges numbers each
+    )
+    found = {r["id"]: sorted({c for c in r["cuts"] if math.isfinite(c)}) for r in rows}
+    return {f.id: found.get(f.id) or [f.lo] for f in features}
+
+
+def _ranged(
+    wide: DataFrame,
+    features: Sequence[_Feature],
+    cuts: dict[int, list[float]],
+    bins: int,
+) -> DataFrame:
+    """Long rows ``(cur, id, value, r, bucket)``: range number and histogram bucket."""
+    ranged = Bucketizer(
+        splitsArray=[[-math.inf, *cuts[f.id], math.inf] for f in features],
+        inputCols=[f"v{f.id}" for f in features],
+        outputCols=[f"r{f.id}" for f in features],
+        handleInvalid="keep",
+    ).transform(wide)
+
+    def bucket(f: _Feature) -> Column:
+        if f.lo == f.hi:
+            return F.lit(0)
+        return equal_width_bucket(F.col(f"v{f.id}"), F.lit(f.lo), F.lit(f.hi), bins)
+
+    items = F.array(
+        *[
+            F.struct(
+                F.lit(f.id).alias("id"),
+                F.col(f"v{f.id}").alias("value"),
+                F.col(f"r{f.id}").cast("int").alias("r"),
+                bucket(f).alias("bucket"),
+            )
+            for f in features
+        ]
+    )
+    return ranged.select("cur", F.inline(items)).filter(F.col("value").isNotNull())
 
 
 def _counts() -> list[Column]:
@@ -169,126 +298,75 @@ def _counts() -> list[Column]:
     ]
 
 
-def _moments(long: DataFrame, ranges_log2: int) -> DataFrame:
-    ranges = 2**ranges_log2
-    grid = [i / ranges for i in range(1, ranges)]
-    ref, cur = F.when(~F.col("cur"), F.col("value")), F.when(F.col("cur"), F.col("value"))
-    return long.groupBy("feature").agg(
-        F.count(ref).alias("n_ref"),
-        F.count(cur).alias("n_cur"),
-        F.avg(ref).alias("ref_mean"),
-        F.avg(cur).alias("cur_mean"),
-        F.stddev_samp(ref).alias("ref_std"),
-        F.stddev_samp(cur).alias("cur_std"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-        (
-            (F.min(ref) == F.max(ref)) | (F.min(cur) == F.max(cur))
-        ).alias("degenerate"),
-        F.percentile_approx("value", grid, 4 * ranges).alias("cuts"),
-    )
-
-
-def _with_range(long: DataFrame, moments: DataFrame, ranges_log2: int) -> DataFrame:
-    """Adds ``r``, the number of cut points below the value, by binary search."""
-    limits = moments.select("feature", "lo", "hi", "cuts")
-    out = long.join(F.broadcast(limits), "feature").withColumn("r", F.lit(0))  # one row per column
-    for level in reversed(range(ranges_log2)):
-        step = 2**level
-        below = F.get(F.col("cuts"), F.col("r") + (step - 1)) < F.col("value")
-        out = out.withColumn("r", F.when(below, F.col("r") + step).otherwise(F.col("r")))
-    return out
-
-
-def _binned(cells: DataFrame, moments: DataFrame, bins: int) -> DataFrame:
+def _binned(cells: DataFrame, known: DataFrame, bins: int) -> DataFrame:
     """PSI and Jensen-Shannon distance per feature, from counts per histogram bucket."""
-    counted = cells.groupBy("feature", "bucket").agg(
+    counted = cells.groupBy("id", "bucket").agg(
         F.sum("c_ref").alias("c_ref"), F.sum("c_cur").alias("c_cur")
     )
-    frame = moments.select(
-        "feature",
+    frame = known.select(
+        "id",
         "n_ref",
         "n_cur",
-        "lo",
-        "hi",
         "degenerate",
+        ((F.col("hi") - F.col("lo")) / bins).alias("width"),
         F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bucket"),
     )
-    full = frame.join(counted, ["feature", "bucket"], "left").fillna(0, ["c_ref", "c_cur"])
+    full = frame.join(counted, ["id", "bucket"], "left").fillna(0, ["c_ref", "c_cur"])
     psi_ref = (F.col("c_ref") + 1) / (F.col("n_ref") + bins)
     psi_cur = (F.col("c_cur") + 1) / (F.col("n_cur") + bins)
-    width = (F.col("hi") - F.col("lo")) / bins
+    width = F.col("width")
     # Densities of one side sum to 1/width before smoothing.
     scale = F.try_divide(F.lit(1.0), width) + DENSITY_SMOOTHING * bins
     js_ref = (F.try_divide(F.col("c_ref"), F.col("n_ref") * width) + DENSITY_SMOOTHING) / scale
     js_cur = (F.try_divide(F.col("c_cur"), F.col("n_cur") * width) + DENSITY_SMOOTHING) / scale
     middle = (F.col("p") + F.col("q")) / 2
+    js = (F.col("p") * F.log(F.col("p") / middle) + F.col("q") * F.log(F.col("q") / middle)) / 2
+    psi = (F.col("psi_cur") - F.col("psi_ref")) * F.log(F.col("psi_cur") / F.col("psi_ref"))
     return (
-        full.withColumn("psi", (psi_cur - psi_ref) * F.log(psi_cur / psi_ref))
-        .withColumn("p", js_ref)
-        .withColumn("q", js_cur)
-        .withColumn(
-            "js", (F.col("p") * F.log(F.col("p") / middle) + F.col("q") * F.log(F.col("q") / middle)) / 2
-        )
-        .groupBy("feature")
-        .agg(
-            F.sum("psi").alias("psi"),
-            F.sum("js").alias("js"),
-            F.first("degenerate").alias("degenerate"),
+        full.select(
+            "id",
+            "degenerate",
+            psi_ref.alias("psi_ref"),
+            psi_cur.alias("psi_cur"),
+            js_ref.alias("p"),
+            js_cur.alias("q"),
         )
+        .groupBy("id", "degenerate")
+        .agg(F.sum(psi).alias("psi"), F.sum(js).alias("js"))
         .select(
-            "feature",
+            "id",
             F.when(F.col("degenerate"), 0.0).otherwise(F.col("psi")).alias("psi"),
             F.sqrt(F.greatest(F.coalesce("js", F.lit(0.0)), F.lit(0.0))).alias("js_distance"),
-            "degenerate",
         )
     )
 
 
-def _ks(long_ranged: DataFrame, cells: DataFrame, moments: DataFrame) -> DataFrame:
-    """Exact KS distance per feature."""
-    totals = moments.select("feature", "n_ref", "n_cur")
-    ranges = cells.groupBy("feature", "r").agg(
+def _range_edges(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """Per range: distribution functions at its edges, and the bound of the distance inside."""
+    ranges = cells.groupBy("id", "r").agg(
         F.sum("c_ref").alias("c_ref"),
         F.sum("c_cur").alias("c_cur"),
         (F.min("v_min") < F.max("v_max")).alias("mixed"),
     )
-    order = W.partitionBy("feature").orderBy("r")  # at most 2**ranges_log2 rows per feature
-    edges = (
-        ranges.withColumn("e_ref", F.sum("c_ref").over(order))
-        .withColumn("e_cur", F.sum("c_cur").over(order))
-        .join(F.broadcast(totals), "feature")  # one row per column
-        .withColumn("s_ref", F.col("e_ref") - F.col("c_ref"))
-        .withColumn("s_cur", F.col("e_cur") - F.col("c_cur"))
-        .withColumn(
-            "at_edge",
-            F.max(
-                F.abs(F.col("e_ref") / F.col("n_ref") - F.col("e_cur") / F.col("n_cur"))
-            ).over(W.partitionBy("feature")),
-        )
-    )
-    bound = F.greatest(
+    order = W.partitionBy("id").orderBy("r")  # at most max_ranges rows per feature
+    ref_end, cur_end = F.sum("c_ref").over(order), F.sum("c_cur").over(order)
+    edges = ranges.select(
+        "id",
+        "r",
+        "mixed",
+        ref_end.alias("e_ref"),
+        cur_end.alias("e_cur"),
+        (ref_end - F.col("c_ref")).alias("s_ref"),
+        (cur_end - F.col("c_cur")).alias("s_cur"),
+    ).join(F.broadcast(known.select("id", "n_ref", "n_cur")), "id")  # one row per column
+    at_end = F.abs(F.col("e_ref") / F.col("n_ref") - F.col("e_cur") / F.col("n_cur"))
+    inside = F.greatest(
         F.col("e_ref") / F.col("n_ref") - F.col("s_cur") / F.col("n_cur"),
         F.col("e_cur") / F.col("n_cur") - F.col("s_ref") / F.col("n_ref"),
     )
-    open_ranges = edges.filter(F.col("mixed") & (bound > F.col("at_edge"))).select(
-        "feature", "r", "n_ref", "n_cur", "s_ref", "s_cur"
+    return edges.withColumn("at_edge", F.max(at_end).over(W.partitionBy("id"))).withColumn(
+        "open", F.col("mixed") & (inside > F.col("at_edge"))
     )
-    by_value = W.partitionBy("feature", "r").orderBy("value")
-    inside = (
-        long_ranged.join(F.broadcast(open_ranges), ["feature", "r"])  # <= columns * ranges rows
-        .groupBy("feature", "r", "value", "n_ref", "n_cur", "s_ref", "s_cur")
-        .agg(*_counts())
-        .select(
-            "feature",
-            F.abs(
-                (F.col("s_ref") + F.sum("c_ref").over(by_value)) / F.col("n_ref")
-                - (F.col("s_cur") + F.sum("c_cur").over(by_value)) / F.col("n_cur")
-            ).alias("d"),
-        )
-    )
-    at_edges = edges.select("feature", F.col("at_edge").alias("d"))
-    return at_edges.unionAll(inside).groupBy("feature").agg(F.max("d").alias("ks_statistic"))
 
 
 def numeric_drift(
@@ -298,32 +376,54 @@ def numeric_drift(
     config: DriftConfig = DriftConfig(),
 ) -> DataFrame:
     """KS, PSI, JS and moments per numeric feature that has values on both sides."""
-    long = _both_sides(reference, current, columns)
-    # Both intermediate tables are small and read several times, so they are
-    # written once: (columns) rows and at most (columns * ranges * bins) rows.
-    moments = materialise(
-        _moments(long, config.ranges_log2).filter((F.col("n_ref") > 0) & (F.col("n_cur") > 0)),
-        "moments",
-    )
-    ranged = _with_range(long, moments, config.ranges_log2)
-    bucket = F.coalesce(
-        equal_width_bucket(F.col("value"), F.col("lo"), F.col("hi"), config.n_bins), F.lit(0)
-    )
+    spark = reference.sparkSession
+    wide = _wide(reference, current, columns)
+    features = _measure(wide, columns)
+    known = spark.createDataFrame([astuple(f) for f in features], _FEATURE_SCHEMA)
+    if not features:
+        empty = "ks_statistic double, psi double, js_distance double, ks_pvalue double"
+        return known.drop("id", "lo", "hi", "degenerate").join(
+            spark.createDataFrame([], f"feature string, {empty}"), "feature"
+        )
+    cuts = _cut_points(wide, features, config)
+    # At most (columns * ranges * bins) rows, read several times: written once.
     cells = materialise(
-        ranged.groupBy("feature", "r", bucket.alias("bucket")).agg(
-            *_counts(), F.min("value").alias("v_min"), F.max("value").alias("v_max")
-        ),
+        _ranged(wide, features, cuts, config.n_bins)
+        .groupBy("id", "r", "bucket")
+        .agg(*_counts(), F.min("value").alias("v_min"), F.max("value").alias("v_max")),
         "cells",
     )
-    kept = ranged.select("feature", "cur", "value", "r")
+    edges = materialise(_range_edges(cells, known), "edges")
+    distances = edges.select("id", F.col("at_edge").alias("d"))
+    # Only features with an open range are read again, and only their open ranges kept.
+    reread = {r["id"] for r in edges.filter("open").select("id").distinct().collect()}
+    if reread:
+        chosen = [f for f in features if f.id in reread]
+        open_ranges = edges.filter("open").select("id", "r", "n_ref", "n_cur", "s_ref", "s_cur")
+        by_value = W.partitionBy("id", "r").orderBy("value")
+        inside = (
+            _ranged(wide, chosen, cuts, config.n_bins)
+            .join(F.broadcast(open_ranges), ["id", "r"])  # at most columns * max_ranges rows
+            .groupBy("id", "r", "value", "n_ref", "n_cur", "s_ref", "s_cur")
+            .agg(*_counts())
+            .select(
+                "id",
+                F.abs(
+                    (F.col("s_ref") + F.sum("c_ref").over(by_value)) / F.col("n_ref")
+                    - (F.col("s_cur") + F.sum("c_cur").over(by_value)) / F.col("n_cur")
+                ).alias("d"),
+            )
+        )
+        distances = distances.unionAll(inside)
+    ks = distances.groupBy("id").agg(F.max("d").alias("ks_statistic"))
     return (
-        moments.drop("cuts", "lo", "hi", "degenerate")
-        .join(_ks(kept, cells, moments), "feature")
-        .join(_binned(cells, moments, config.n_bins), "feature")
+        known.join(ks, "id")
+        .join(_binned(cells, known, config.n_bins), "id")
         .withColumn(
             "ks_pvalue",
             kolmogorov_p_value(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur")),
         )
+        .drop("id", "lo", "hi")
     )
 
 
