@@ -89,6 +89,8 @@ def impute(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFra
     becomes double, since a median may fall between two values.
     """
     names = list(columns) if columns is not None else df.columns
+    if not names:
+        return df, []
     with_nulls = [
         r["column"]
         for r in null_profile(df.select(*names)).filter((F.col("nulls") > 0)).collect()

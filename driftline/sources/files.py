@@ -73,6 +73,8 @@ def read_csv_table(
 
 def _read_declared(reader, path: str, schema: T.StructType, strict: bool) -> DataFrame:
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    # Whether a row is malformed must not depend on the columns a query asks for.
+    reader = reader.option("columnPruning", False)
     if strict:
         raw = reader.option("mode", "FAILFAST").schema(text).csv(path)
     else:
@@ -88,7 +90,10 @@ def _read_declared(reader, path: str, schema: T.StructType, strict: bool) -> Dat
         typed = value.cast(f.dataType) if strict else value.try_cast(f.dataType)
         return typed.alias(f.name)
 
-    extra = [] if strict else [F.col(_CORRUPT)]
+    # Spark refuses queries that touch nothing but the corrupt-record column.
+    first = F.col(schema.fields[0].name)
+    bad = F.when(F.col(_CORRUPT).isNotNull() | first.isNull(), F.col(_CORRUPT)).alias(_CORRUPT)
+    extra = [] if strict else [bad]
     return raw.select(*[cell(f) for f in schema.fields], *extra)
 
 
