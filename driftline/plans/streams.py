@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftline.operators import logs, series, slo
 from driftline.plans import monitoring as batch
@@ -21,7 +20,7 @@ from driftline.streaming import features, monitoring, tables
 
 HOUR, DAY = 3600, 86_400
 
-_EVENTS = T.StructType.fromDDL(
+_EVENTS = (
     "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 )
 
@@ -122,9 +121,7 @@ def stream_hold(spark: SparkSession, sf: str) -> DataFrame:
         HOUR,
         r=F.avg((F.col("status") == "500").cast("double")),
     ).write.parquet(f"{path}/b")
-    ratios = stream_source(
-        spark, f"{path}/b", T.StructType.fromDDL("service string, ts timestamp, r double")
-    )
+    ratios = stream_source(spark, f"{path}/b", "service string, ts timestamp, r double")
     held = monitoring.hold(ratios, ["service"], F.col("r") > 0.05, 2 * HOUR, HOUR)
     tables.drain(tables.start_table(held, f"{path}/t", f"{path}/c"))
     return at_edge(spark.read.schema(held.schema).parquet(f"{path}/t"))
@@ -218,7 +215,7 @@ def stream_drift_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return at_edge(spark.read.parquet(f"{path}/t").drop("batch"))
 
 
-_LINE = T.StructType.fromDDL("conv_id long, turn long, value string")
+_LINE = "conv_id long, turn long, value string"
 
 
 @query(

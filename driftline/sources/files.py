@@ -111,7 +111,7 @@ def read_feature_source(spark: SparkSession, path: str, timestamp: str) -> DataF
 def stream_source(
     spark: SparkSession,
     folder: str,
-    schema: T.StructType,
+    schema: T.StructType | str,
     pattern: str | None = None,
     files_per_batch: int | None = None,
 ) -> DataFrame:

@@ -58,7 +58,11 @@ def alert_sessions(
     ts: str = "ts",
     lateness: str = LATENESS,
 ) -> DataFrame:
-    """Alerts grouped until none comes for ``gap``; a group is given out once it is over."""
+    """Alerts grouped until none comes for ``gap``; a group is given out once it is over.
+
+    Filter the written table, not this frame: Spark would move a filter on
+    ``started`` or ``ended`` before the rows are joined into sessions.
+    """
     grouped = (
         stream.withWatermark(ts, lateness)
         .groupBy(*by, F.session_window(ts, gap).alias("_w"))
