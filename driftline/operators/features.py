@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from driftline.errors import FeatureError, MissingColumnError
 from driftline.functions.scalars import clean_double, stable_hash
+from driftline.session import materialise
 
 # Defaults of the feature step.
 MAX_CATEGORIES = 10
@@ -56,44 +57,42 @@ def cardinality_filter(
 ) -> DataFrame:
     """``(column, n_unique, kept)``; nulls are not counted.
 
-    Counting distinct hash buckets first gives a lower bound at almost no
-    shuffle, which settles key-like columns; only the rest are counted exactly.
-    ``n_unique`` is null for a column dropped by the bound.
+    Values are first grouped by hash bucket, which costs a bounded shuffle. More
+    buckets than ``max_categories`` prove that there are too many values; a
+    column with fewer buckets, each holding one value, is counted exactly. Only
+    a column where two values share a bucket is counted again by value.
+    ``n_unique`` is null for a column dropped by the proof.
     """
     spark = df.sparkSession
     schema = "column string, n_unique long, kept boolean"
     if not columns:
         return spark.createDataFrame([], schema)
+    bound = max(max_categories, 0)
 
-    def pairs(names: Sequence[str], probe: bool) -> DataFrame:
-        def shown(c: str) -> Column:
-            value = F.col(c).cast("string")
-            if probe:
-                return F.when(
-                    value.isNotNull(),
-                    F.pmod(F.xxhash64(value), F.lit(_PROBE_BUCKETS)).cast("string"),
-                )
-            return value
-
-        long = df.select(
-            F.inline(
-                F.array(*[F.struct(F.lit(c).alias("column"), shown(c).alias("v")) for c in names])
-            )
-        )
-        counted = long.filter(F.col("v").isNotNull()).distinct().groupBy("column")
-        return counted.agg(F.count(F.lit(1)).alias("n"))
+    def values(names: Sequence[str]) -> DataFrame:
+        pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in names]
+        return df.select(F.inline(F.array(*pairs))).filter(F.col("v").isNotNull())
 
-    bound = max(max_categories, 0)
-    least = {r["column"]: r["n"] for r in pairs(columns, True).collect()}  # one row per column
-    open_columns = [c for c in columns if least.get(c, 0) <= bound]
-    exact = {}
+    buckets = (
+        values(columns)
+        .groupBy("column", F.pmod(F.xxhash64("v"), F.lit(_PROBE_BUCKETS)).alias("b"))
+        .agg((F.min("v") != F.max("v")).alias("shared"))
+    )
+    probed = {
+        r["column"]: r
+        for r in buckets.groupBy("column")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("shared").alias("shared"))
+        .collect()  # one row per column
+    }
+    exact = {c: 0 for c in columns if c not in probed}
+    exact |= {c: r["n"] for c, r in probed.items() if not r["shared"] and r["n"] <= bound}
+    open_columns = [c for c, r in probed.items() if r["shared"] and r["n"] <= bound]
     if open_columns:
-        exact = {r["column"]: r["n"] for r in pairs(open_columns, False).collect()}
-    rows = [
-        (c, exact.get(c, 0), exact.get(c, 0) <= bound) if c in open_columns else (c, None, False)
-        for c in columns
-    ]
-    return spark.createDataFrame(rows, schema)
+        counted = values(open_columns).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+        exact |= {r["column"]: r["n"] for r in counted.collect()}
+    return spark.createDataFrame(
+        [(c, exact.get(c), exact.get(c, bound + 1) <= bound) for c in columns], schema
+    )
 
 
 # --- split --------------------------------------------------------------------
@@ -157,9 +156,13 @@ def stratified_split(
         ).drop("_h")
     klass = F.coalesce(F.col(target).cast("string"), F.lit("\0"))
     hashed = df.withColumn("_h", stable_hash(identity, seed)).withColumn("_class", klass)
+    # One row per class; kept, because later steps read the split several times.
     limits = _smallest_hashes(hashed, "_class", test_size)
-    # The classes were counted above; a few of them fit in every task.
-    side = F.broadcast(limits) if shape["classes"] <= 10_000 else limits
+    if shape["classes"] <= 10_000:
+        known = df.sparkSession.createDataFrame(limits.collect(), limits.schema)
+        side = F.broadcast(known)
+    else:
+        side = materialise(limits, "split-limits")
     return (
         hashed.join(side, "_class", "left")
         .withColumn(SPLIT_COLUMN, F.when(F.col("_h") > F.col("_limit"), 1).otherwise(0))
@@ -199,6 +202,44 @@ class FeatureState:
         return list(self.scale) + list(self.categories)
 
 
+def choose_columns(
+    df: DataFrame, target: str, max_categories: int = MAX_CATEGORIES, encode: bool = True
+) -> tuple[list[str], list[str]]:
+    """(columns to scale, columns to encode), decided on all rows."""
+    roles = column_roles(df, target)
+    chosen: list[str] = []
+    if encode and roles.categorical:
+        kept = cardinality_filter(df, roles.categorical, max_categories).collect()
+        chosen = [r["column"] for r in kept if r["kept"]]
+        if not roles.numeric and not chosen and not roles.ignored:
+            raise FeatureError(
+                f"no features remain besides {target}: all of {list(roles.categorical)} have more "
+                f"than {max_categories} categories"
+            )
+    return list(roles.numeric), chosen
+
+
+def learn(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> FeatureState:
+    """Means, deviations and categories of the given rows, in one pass.
+
+    ``categorical`` columns hold few values, which :func:`choose_columns` checked.
+    """
+    aggregates = [F.avg(clean_double(c)).alias(f"m_{i}") for i, c in enumerate(numeric)]
+    aggregates += [F.stddev_pop(clean_double(c)).alias(f"s_{i}") for i, c in enumerate(numeric)]
+    aggregates += [F.collect_set(c).alias(f"v_{i}") for i, c in enumerate(categorical)]
+    aggregates += [F.count_if(F.col(c).isNull()).alias(f"z_{i}") for i, c in enumerate(categorical)]
+    if not aggregates:
+        return FeatureState()
+    found = train.agg(*aggregates).first()
+    return FeatureState(
+        {c: (found[f"m_{i}"], found[f"s_{i}"]) for i, c in enumerate(numeric)},
+        {
+            c: sorted(found[f"v_{i}"]) + ([None] if found[f"z_{i}"] else [])
+            for i, c in enumerate(categorical)
+        },
+    )
+
+
 def fit(
     df: DataFrame,
     target: str,
@@ -210,36 +251,11 @@ def fit(
 
     Which columns are worth encoding is decided on all rows.
     """
-    data = df.drop(split) if split in df.columns else df
-    roles = column_roles(data, target)
-    encoded: list[str] = []
-    if encode and roles.categorical:
-        kept = cardinality_filter(data, roles.categorical, max_categories).collect()
-        encoded = [r["column"] for r in kept if r["kept"]]
-        if not roles.numeric and not encoded and not roles.ignored:
-            raise FeatureError(
-                f"no features remain besides {target}: all of {list(roles.categorical)} have more "
-                f"than {max_categories} categories"
-            )
-    train = df.filter(F.col(split) == 1) if split in df.columns else df
-    scale: dict[str, tuple[float | None, float | None]] = {}
-    if roles.numeric:
-        stats = train.agg(
-            *[F.avg(clean_double(c)).alias(f"m_{i}") for i, c in enumerate(roles.numeric)],
-            *[F.stddev_pop(clean_double(c)).alias(f"s_{i}") for i, c in enumerate(roles.numeric)],
-        ).first()
-        scale = {c: (stats[f"m_{i}"], stats[f"s_{i}"]) for i, c in enumerate(roles.numeric)}
-    categories: dict[str, list[str | None]] = {c: [] for c in encoded}
-    if encoded:
-        pairs = F.array(
-            *[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in encoded]
-        )
-        # At most max_categories + 1 rows per column.
-        for r in train.select(F.inline(pairs)).distinct().collect():
-            categories[r["column"]].append(r["v"])
-        for values in categories.values():
-            values.sort(key=lambda v: (v is None, v or ""))
-    return FeatureState(scale, categories)
+    marked = split in df.columns
+    numeric, categorical = choose_columns(
+        df.drop(split) if marked else df, target, max_categories, encode
+    )
+    return learn(df.filter(F.col(split) == 1) if marked else df, numeric, categorical)
 
 
 def scaled(column: str, mean: float | None, std: float | None) -> Column:
@@ -287,8 +303,10 @@ def build_features(
 ) -> tuple[DataFrame, FeatureState]:
     """Split, fit on train rows, transform all rows. Row count and target are unchanged."""
     keys = [key] if isinstance(key, str) else list(key)
+    data = df.drop(*[k for k in keys if k != target])
+    numeric, categorical = choose_columns(data, target, max_categories, encode)
     split = stratified_split(df, target, keys, test_size, seed)
-    learned = fit(split.drop(*[k for k in keys if k != target]), target, max_categories, encode)
+    learned = learn(split.filter(F.col(SPLIT_COLUMN) == 1), numeric, categorical)
     return transform(split, learned, [*keep, target, SPLIT_COLUMN]), learned
 
 
