@@ -399,18 +399,25 @@ def numeric_drift(
     reread = {r["id"] for r in edges.filter("open").select("id").distinct().collect()}
     if reread:
         chosen = [f for f in features if f.id in reread]
-        open_ranges = edges.filter("open").select("id", "r", "n_ref", "n_cur", "s_ref", "s_cur")
+        # At most columns * max_ranges rows.
+        open_ranges = F.broadcast(
+            edges.filter("open").select("id", "r", "n_ref", "n_cur", "s_ref", "s_cur")
+        )
         by_value = W.partitionBy("id", "r").orderBy("value")
         inside = (
             _ranged(wide, chosen, cuts, config.n_bins)
-            .join(F.broadcast(open_ranges), ["id", "r"])  # at most columns * max_ranges rows
-            .groupBy("id", "r", "value", "n_ref", "n_cur", "s_ref", "s_cur")
+            .join(open_ranges.select("id", "r"), ["id", "r"], "left_semi")
+            .groupBy("id", "r", "value")
             .agg(*_counts())
+            .withColumns(
+                {"d_ref": F.sum("c_ref").over(by_value), "d_cur": F.sum("c_cur").over(by_value)}
+            )
+            .join(open_ranges, ["id", "r"])
             .select(
                 "id",
                 F.abs(
-                    (F.col("s_ref") + F.sum("c_ref").over(by_value)) / F.col("n_ref")
-                    - (F.col("s_cur") + F.sum("c_cur").over(by_value)) / F.col("n_cur")
+                    (F.col("s_ref") + F.col("d_ref")) / F.col("n_ref")
+                    - (F.col("s_cur") + F.col("d_cur")) / F.col("n_cur")
                 ).alias("d"),
             )
         )
