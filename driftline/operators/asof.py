@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline.errors import MissingColumnError
 from driftline.functions.segments import latest_before
+from driftline.session import materialise
 
 # Fixed value: default time to live of a feature row, in seconds (7 days).
 TTL_SECONDS = 7 * 86_400
@@ -97,12 +98,14 @@ def online_features(
         age = F.unix_micros(as_of) - F.unix_micros(view.timestamp)
         shaped = shaped.filter((age >= 0) & (age <= view.ttl_seconds * 1_000_000))
     if keys is not None:
-        shaped = shaped.join(keys.select(*view.entity).distinct(), list(view.entity), "left_semi")
+        # Written, so that its size is known: a short list is broadcast to the scan.
+        keys = materialise(keys.select(*view.entity).distinct(), "online-keys")
+        shaped = shaped.join(keys, list(view.entity), "left_semi")
     wanted = refs_of(view, refs) if refs is not None else list(view.fields)
     latest = shaped.groupBy(*view.entity).agg(
         F.max_by(F.struct(view.timestamp, *wanted), F.struct(view.timestamp, *view.tie)).alias("f")
     )
     out = latest.select(*view.entity, "f.*")
     if keys is not None:
-        out = keys.select(*view.entity).distinct().join(out, list(view.entity), "left")
+        out = keys.join(out, list(view.entity), "left")
     return out

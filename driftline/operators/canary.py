@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftline.functions.order_stats import LINEAR, exact_quantiles
 from driftline.functions.scalars import floor_at, ratio
 from driftline.operators.series import cumulative_counts, hold, or_default, quantile_of_columns
+from driftline.session import materialise
 
 # Measurement grid (seconds), trailing window, and metric gates.
 INITIAL_DELAY, INTERVAL, COUNT, WINDOW = 60, 60, 5, 120
@@ -68,7 +69,12 @@ def measure(
     span = window * 1_000_000
     slot = lambda us: F.floor(us / F.lit(span)).cast("long")
     at = F.unix_micros("at")
-    wanted = grid.select(*run, *[k for k in keys if k not in run], "measurement", "at").withColumn(
+    # The grid is written, so that its size is known: while it is small it is
+    # broadcast and the requests stay where they are.
+    grid = materialise(
+        grid.select(*run, *[k for k in keys if k not in run], "measurement", "at"), "grid"
+    )
+    wanted = grid.withColumn(
         "_slot", F.explode(F.array_distinct(F.array(slot(at - span), slot(at))))
     )
     seen = requests.select(

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.functions.scalars import ratio
+from driftline.session import materialise
 
 # Hours per month (GPU costs use 24*30), budget alarm shares.
 HOURS_PER_MONTH = 730
@@ -83,7 +84,9 @@ def pods_by_namespace(pods: DataFrame) -> DataFrame:
     One row per pod instead of one list per namespace: a namespace may hold any
     number of pods.
     """
-    counts = pods.groupBy("namespace").agg(F.count(F.lit(1)).alias("pod_count"))
+    counts = materialise(
+        pods.groupBy("namespace").agg(F.count(F.lit(1)).alias("pod_count")), "pod-counts"
+    )
     return pods.join(counts, "namespace").select(
         "namespace", "pod_count", "pod", "cpu_request", "memory_request"
     )

@@ -29,6 +29,7 @@ _SCALED = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 _HASH_BITS = 60
 _SPLIT_BUCKET_BITS = 12
 _PROBE_BUCKETS = 4096
+_FEW_CLASSES = 10_000  # so many (class, limit) rows are broadcast
 
 
 @dataclass(frozen=True)
@@ -98,11 +99,12 @@ def cardinality_filter(
 # --- split --------------------------------------------------------------------
 
 
-def _smallest_hashes(df: DataFrame, group: str, share: float) -> DataFrame:
+def _smallest_hashes(df: DataFrame, group: str, share: float, few: bool) -> DataFrame:
     """``(group, limit)``: the ceil(share*n)-th smallest hash of every group.
 
     A histogram over the leading hash bits finds the bucket that holds it; only
-    the rows of that bucket are ranked.
+    the rows of that bucket are ranked. With ``few`` groups the wanted buckets
+    (one row per group) are broadcast instead of shuffling all rows.
     """
     shift = _HASH_BITS - _SPLIT_BUCKET_BITS
     hashed = df.select(group, "_h", F.shiftright("_h", shift).alias("_b"))
@@ -115,7 +117,8 @@ def _smallest_hashes(df: DataFrame, group: str, share: float) -> DataFrame:
         .filter((F.col("_end") >= F.col("_k")) & (F.col("_end") - F.col("_c") < F.col("_k")))
         .select(group, "_b", (F.col("_k") - (F.col("_end") - F.col("_c"))).alias("_rank"))
     )
-    ranked = hashed.join(wanted, [group, "_b"]).withColumn(
+    side = F.broadcast(wanted) if few else wanted
+    ranked = hashed.join(side, [group, "_b"]).withColumn(
         "_row", F.row_number().over(W.partitionBy(group).orderBy("_h"))
     )
     return ranked.filter(F.col("_row") == F.col("_rank")).select(group, F.col("_h").alias("_limit"))
@@ -149,7 +152,7 @@ def stratified_split(
         hashed = df.withColumn("_h", stable_hash(identity, seed))
         # One global group: its limit is a single number.
         group = hashed.select(F.lit("all").alias("_class"), "_h")
-        limit = _smallest_hashes(group, "_class", test_size).first()
+        limit = _smallest_hashes(group, "_class", test_size, True).first()
         bound = limit["_limit"] if limit else -1
         return hashed.withColumn(
             SPLIT_COLUMN, F.when(F.col("_h") > bound, 1).otherwise(0)
@@ -157,8 +160,9 @@ def stratified_split(
     klass = F.coalesce(F.col(target).cast("string"), F.lit("\0"))
     hashed = df.withColumn("_h", stable_hash(identity, seed)).withColumn("_class", klass)
     # One row per class; kept, because later steps read the split several times.
-    limits = _smallest_hashes(hashed, "_class", test_size)
-    if shape["classes"] <= 10_000:
+    few = shape["classes"] <= _FEW_CLASSES
+    limits = _smallest_hashes(hashed, "_class", test_size, few)
+    if few:
         known = df.sparkSession.createDataFrame(limits.collect(), limits.schema)
         side = F.broadcast(known)
     else:
