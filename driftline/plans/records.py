@@ -337,7 +337,8 @@ def cost_per_mtok(spark: SparkSession, sf: str) -> DataFrame:
     "bench_report",
     f"""WITH {_SUMMARY} SELECT concurrency, '| ' || concurrency || ' | ' || ok || '/' || errors || ' | ' || ttft_p50_s || 's | '
       || ttft_p95_s || 's | ' || latency_p50_s || 's | ' || latency_p95_s || 's | ' || per_request_tokens_per_s_median || ' | '
-      || aggregate_tokens_per_s || ' | ' || round(0.77::DOUBLE / (aggregate_tokens_per_s * 3600 / 1000000), 3) || ' |' AS line FROM summary""",
+      || aggregate_tokens_per_s || ' | ' || CASE WHEN aggregate_tokens_per_s > 0
+        THEN round(0.77::DOUBLE / (aggregate_tokens_per_s * 3600 / 1000000), 3) ELSE 0.0::DOUBLE END || ' |' AS line FROM summary""",
 )
 def bench_report(spark: SparkSession, sf: str) -> DataFrame:
     results = _results(spark, sf)
