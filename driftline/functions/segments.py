@@ -1,22 +1,56 @@
-"""Order-dependent work on long groups, cut into time chunks.
+"""Order-dependent work on groups of any size.
 
-A window over (key) puts all rows of a key into one task. Here rows are cut into
-(key, chunk); the last row of a chunk is carried into the key's next chunk as an
-extra row, so that every chunk can be worked on alone with the same result. Only
-one summary row per (key, chunk) ever meets the others of its key.
+A window over a key puts all rows of the key into one task. That is fine for
+most keys. Keys with more than ``hot_rows`` rows are cut into time chunks of
+about ``chunk_rows`` rows; the last row of a chunk is carried into the key's
+next chunk as an extra row, so that every chunk can be worked on alone with the
+same result. Only one summary row per (key, chunk) ever meets the others of its
+key. Without hot keys there are no chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftline.session import materialise
 
-def chunk_of(ts: Column, chunk_seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(chunk_seconds * 1_000_000)).cast("long")
+HOT_ROWS = 4_000_000
+CHUNK_ROWS = 250_000
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame | None:
+    """``(keys, _length)``: chunk length in microseconds of every hot key; None without any.
+
+    Written, so that its size is known to the joins that use it.
+    """
+    us = F.unix_micros(ts)
+    sizes = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(us).alias("lo"), F.max(us).alias("hi")
+    )
+    length = (F.col("hi") - F.col("lo") + 1) * (F.lit(chunk_rows) / F.col("n"))
+    hot = materialise(
+        sizes.filter(F.col("n") > hot_rows).select(
+            *keys, F.greatest(length.cast("long"), F.lit(1)).alias("_length")
+        ),
+        "hot-keys",
+    )
+    return None if hot.isEmpty() else hot
+
+
+def _chunked(df: DataFrame, keys: Sequence[str], ts: str, hot: DataFrame) -> DataFrame:
+    """Adds ``_chunk``; keys that are not hot have a single one."""
+    chunk = F.floor(F.unix_micros(ts) / F.col("_length")).cast("long")
+    return (
+        df.join(hot, list(keys), "left")
+        .withColumn("_chunk", F.coalesce(chunk, F.lit(0)))
+        .drop("_length")
+    )
 
 
 def with_previous(
@@ -25,11 +59,16 @@ def with_previous(
     ts: str,
     values: Sequence[str],
     tie: Sequence[str] = (),
-    chunk_seconds: int = 86_400,
+    hot_rows: int = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Adds ``prev_<v>``: the value of the key's previous row by (ts, tie)."""
     keys, order = list(keys), [ts, *tie]
-    chunked = df.withColumn("_chunk", chunk_of(F.col(ts), chunk_seconds))
+    hot = hot_keys(df, keys, ts, hot_rows, chunk_rows)
+    if hot is None:
+        whole = W.partitionBy(*keys).orderBy(*order)  # at most hot_rows rows
+        return df.withColumns({f"prev_{v}": F.lag(v).over(whole) for v in values})
+    chunked = _chunked(df, keys, ts, hot)
     last = chunked.groupBy(*keys, "_chunk").agg(
         F.max_by(F.struct(*values), F.struct(*order)).alias("_last")
     )
@@ -60,11 +99,16 @@ def row_numbers(
     ts: str,
     tie: Sequence[str] = (),
     name: str = "row",
-    chunk_seconds: int = 86_400,
+    hot_rows: int = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Adds the 1-based position of a row in its key's (ts, tie) order."""
     keys = list(keys)
-    chunked = df.withColumn("_chunk", chunk_of(F.col(ts), chunk_seconds))
+    hot = hot_keys(df, keys, ts, hot_rows, chunk_rows)
+    if hot is None:
+        whole = W.partitionBy(*keys).orderBy(ts, *tie)  # at most hot_rows rows
+        return df.withColumn(name, F.row_number().over(whole).cast("long"))
+    chunked = _chunked(df, keys, ts, hot)
     sizes = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -86,29 +130,54 @@ def latest_before(
     rows_ts: str,
     facts_ts: str,
     tie: Sequence[str] = (),
-    chunk_seconds: int = 86_400,
+    hot_rows: int = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Adds ``fact``: the key's latest row of ``facts`` not after the row's time (null if none).
 
-    An as-of join as one union and one sort per (key, chunk). Each chunk starts
-    with the last fact of the key's earlier chunks, so a chunk needs no other
-    chunk and no pair of rows is ever formed.
+    An as-of join as one union and one sort per key, or per chunk of a hot key.
+    A chunk starts with the last fact of the key's earlier chunks, so it needs
+    no other chunk, and no pair of rows is ever formed.
     """
     keys = list(keys)
-    payload = F.struct(*[F.col(c) for c in facts.columns])
     known = facts.dropna(subset=[*keys, facts_ts]).select(
         *keys,
-        chunk_of(F.col(facts_ts), chunk_seconds).alias("_chunk"),
         F.col(facts_ts).alias("_at"),
         F.struct(*tie).alias("_tie") if tie else F.lit(0).alias("_tie"),
-        payload.alias("fact"),
+        F.struct(*[F.col(c) for c in facts.columns]).alias("fact"),
+        F.lit(1).alias("_kind"),
     )
     asked = rows.select(
         *keys,
-        chunk_of(F.col(rows_ts), chunk_seconds).alias("_chunk"),
         F.col(rows_ts).alias("_at"),
         F.struct(*[F.col(c) for c in rows.columns]).alias("_row"),
+        F.lit(2).alias("_kind"),
+    )
+    both = known.select(*keys, "_at").unionAll(asked.select(*keys, "_at"))
+    hot = hot_keys(both, keys, "_at", hot_rows, chunk_rows)
+    if hot is None:
+        group = keys
+        merged = known.unionByName(asked, allowMissingColumns=True)
+    else:
+        group = [*keys, "_chunk"]
+        known, asked = _chunked(known, keys, "_at", hot), _chunked(asked, keys, "_at", hot)
+        carried = _carried_facts(known, asked, keys)
+        merged = known.unionByName(asked, allowMissingColumns=True).unionByName(
+            carried, allowMissingColumns=True
+        )
+    # Order in a group: carried fact, then facts before rows of the same instant.
+    order = W.partitionBy(*group).orderBy(
+        F.col("_kind") != 0, F.col("_at"), F.col("_kind"), F.col("_tie")
+    )
+    return (
+        merged.withColumn("fact", F.last("fact", ignorenulls=True).over(order))
+        .filter(F.col("_kind") == 2)
+        .select("_row.*", "fact")
     )
+
+
+def _carried_facts(known: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The last earlier fact for every (key, chunk) that holds rows."""
     last = known.groupBy(*keys, "_chunk").agg(
         F.max_by("fact", F.struct("_at", "_tie")).alias("fact")
     )
@@ -118,22 +187,8 @@ def latest_before(
         .join(last, [*keys, "_chunk"], "full_outer")
     )
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    carried = (
+    return (
         chunks.withColumn("fact", F.last("fact", ignorenulls=True).over(earlier))
         .filter(F.col("_asked") & F.col("fact").isNotNull())
         .select(*keys, "_chunk", F.lit(0).alias("_kind"), "fact")
     )
-    # Order inside a chunk: carried fact, then facts before rows of the same instant.
-    merged = (
-        known.withColumn("_kind", F.lit(1))
-        .unionByName(asked.withColumn("_kind", F.lit(2)), allowMissingColumns=True)
-        .unionByName(carried, allowMissingColumns=True)
-    )
-    order = W.partitionBy(*keys, "_chunk").orderBy(
-        F.col("_kind") != 0, F.col("_at"), F.col("_kind"), F.col("_tie")
-    )
-    return (
-        merged.withColumn("fact", F.last("fact", ignorenulls=True).over(order))
-        .filter(F.col("_kind") == 2)
-        .select("_row.*", "fact")
-    )

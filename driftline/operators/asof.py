@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.errors import MissingColumnError
-from driftline.functions.segments import latest_before
+from driftline.functions.segments import CHUNK_ROWS, HOT_ROWS, latest_before
 from driftline.session import materialise
 
 # Fixed value: default time to live of a feature row, in seconds (7 days).
@@ -62,7 +62,8 @@ def historical_features(
     sources: Sequence[tuple[FeatureView, DataFrame]],
     refs: Sequence[str],
     entity_ts: str = "event_timestamp",
-    chunk_seconds: int = 86_400,
+    hot_rows: int = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Entity rows with each view's latest feature values at the row's time.
 
@@ -75,7 +76,14 @@ def historical_features(
         if not wanted:
             continue
         found = latest_before(
-            out, view.shape(source), view.entity, entity_ts, view.timestamp, view.tie, chunk_seconds
+            out,
+            view.shape(source),
+            view.entity,
+            entity_ts,
+            view.timestamp,
+            view.tie,
+            hot_rows,
+            chunk_rows,
         )
         age = F.unix_micros(entity_ts) - F.unix_micros(F.col("fact")[view.timestamp])
         alive = age <= view.ttl_seconds * 1_000_000

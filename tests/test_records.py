@@ -358,7 +358,7 @@ def test_as_of_join_with_a_hot_key_matches_brute_force(spark):
     asked = [(hot(), T0 + timedelta(seconds=rng.randrange(10**6)), i) for i in range(300)]
     fdf = spark.createDataFrame(features, "k long, ts timestamp, x double")
     edf = spark.createDataFrame(asked, "k long, event_timestamp timestamp, id long")
-    got = {r["id"]: r["x"] for r in asof.historical_features(edf, [(VIEW, fdf)], ["v:x"], chunk_seconds=20_000).collect()}
+    got = {r["id"]: r["x"] for r in asof.historical_features(edf, [(VIEW, fdf)], ["v:x"], hot_rows=50, chunk_rows=10).collect()}
     for k, t, i in asked:
         past = [f for f in features if f[0] == k and timedelta(0) <= t - f[1] <= timedelta(days=7)]
         assert got[i] == (max(past, key=lambda f: f[1])[2] if past else None)

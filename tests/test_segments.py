@@ -20,13 +20,13 @@ def sample(n, seed, keys="abc", hot="a"):
 SCHEMA = "k string, ts timestamp, id long, v long"
 
 
-@pytest.mark.parametrize("chunk", [100, 3600, 10**6])
+@pytest.mark.parametrize("chunk", [(20, 5), (100, 40), (10**6, 10**6)])
 def test_previous_row_over_chunks(spark, chunk):
     data = sample(400, 1)
     df = spark.createDataFrame(data, SCHEMA).repartition(5)
     got = {
         r["id"]: (r["prev_v"], r["prev_id"])
-        for r in with_previous(df, ["k"], "ts", ["v", "id"], ["id"], chunk).collect()
+        for r in with_previous(df, ["k"], "ts", ["v", "id"], ["id"], *chunk).collect()
     }
     want, last = {}, {}
     for k, ts, i, v in sorted(data, key=lambda r: (r[0], r[1], r[2])):
@@ -35,23 +35,23 @@ def test_previous_row_over_chunks(spark, chunk):
     assert got == want
 
 
-@pytest.mark.parametrize("chunk", [100, 3600, 10**6])
+@pytest.mark.parametrize("chunk", [(20, 5), (100, 40), (10**6, 10**6)])
 def test_row_numbers_over_chunks(spark, chunk):
     data = sample(400, 2)
     df = spark.createDataFrame(data, SCHEMA)
-    got = {r["id"]: r["row"] for r in row_numbers(df, ["k"], "ts", ["id"], "row", chunk).collect()}
+    got = {r["id"]: r["row"] for r in row_numbers(df, ["k"], "ts", ["id"], "row", *chunk).collect()}
     want, count = {}, {}
     for k, ts, i, v in sorted(data, key=lambda r: (r[0], r[1], r[2])):
         count[k] = want[i] = count.get(k, 0) + 1
     assert got == want
 
 
-@pytest.mark.parametrize("chunk", [60, 1800, 10**6])
+@pytest.mark.parametrize("chunk", [(20, 5), (200, 40), (10**6, 10**6)])
 def test_latest_before_over_chunks(spark, chunk):
     facts, asked = sample(300, 3), sample(200, 4, keys="abcd")
     fdf = spark.createDataFrame(facts, "k string, fts timestamp, fid long, fv long")
     rdf = spark.createDataFrame(asked, SCHEMA)
-    found = latest_before(rdf, fdf, ["k"], "ts", "fts", ["fid"], chunk).collect()
+    found = latest_before(rdf, fdf, ["k"], "ts", "fts", ["fid"], *chunk).collect()
     assert len(found) == len(asked)
     for r in found:
         past = [f for f in facts if f[0] == r["k"] and f[1] <= r["ts"]]
@@ -60,8 +60,8 @@ def test_latest_before_over_chunks(spark, chunk):
 
 
 def test_no_window_over_a_whole_key_of_raw_rows(spark):
-    """Windows over raw rows are partitioned by chunk as well."""
-    df = spark.createDataFrame(sample(10, 5), SCHEMA)
-    plan = with_previous(df, ["k"], "ts", ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    """With a hot key, windows over raw rows are partitioned by chunk as well."""
+    df = spark.createDataFrame(sample(100, 5), SCHEMA)
+    plan = with_previous(df, ["k"], "ts", ["v"], (), 10, 5)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [lag" in line]
     assert windows and all("_chunk" in line for line in windows)
