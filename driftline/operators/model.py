@@ -20,6 +20,7 @@ from driftline.errors import MissingColumnError, TrainingError
 from driftline.functions.order_stats import FLOOR_INDEX, exact_quantiles
 from driftline.functions.scalars import ratio, stable_hash
 from driftline.operators.features import SEED, SPLIT_COLUMN, TEST_SIZE, stratified_split
+from driftline.session import materialise
 
 # Forest, folds, grid and importance sample of the training step.
 TREES, DEPTH, FOLDS = 100, 10, 5
@@ -123,7 +124,8 @@ def cross_validate(
     **forest: int,
 ) -> DataFrame:
     """``(fold, accuracy)`` on train rows only; one model per fold."""
-    marked = train.withColumn("_fold", fold_of(F.col(key), folds)).cache()
+    # Written once: every fit reads it several times.
+    marked = materialise(train.withColumn("_fold", fold_of(F.col(key), folds)), "folds")
     parts = []
     for fold in range(folds):  # as many fits as folds, each one distributed
         model = train_forest(marked.filter(F.col("_fold") != fold), features, target, **forest)

@@ -127,7 +127,7 @@ def file_line_counts(spark: SparkSession, sf: str) -> DataFrame:
     "cached_steps",
     """WITH s AS (SELECT page_id, sha256(url || '|quality') AS key FROM pages),
     m AS (SELECT sha256(url || '|quality') AS key, 'out/' || min(page_id) AS output,
-        max(TIMESTAMP '2024-01-31' - to_hours((page_id % 48)::INT)) AS created_at FROM pages WHERE page_id % 3 <> 0 GROUP BY 1)
+        max(TIMESTAMP '2024-01-31' - to_hours((page_id % 48)::INT)) AS created_at FROM pages WHERE url LIKE 'https:%' GROUP BY 1)
     SELECT page_id, key, CASE WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(created_at) <= 86400000000 THEN output END AS output,
       coalesce(epoch_us(TIMESTAMP '2024-01-31') - epoch_us(created_at) <= 86400000000, false) AS reuse
     FROM s LEFT JOIN m USING (key)""",
@@ -138,7 +138,7 @@ def cached_steps(spark: SparkSession, sf: str) -> DataFrame:
     as_of = _ts("2024-01-31")
     hours = (F.col("page_id") % 48) * 3_600_000_000
     kept = (
-        pages.filter(F.col("page_id") % 3 != 0)
+        pages.filter(F.col("url").startswith("https:"))
         .select(key, "page_id", F.timestamp_micros(F.unix_micros(as_of) - hours).alias("at"))
         .groupBy("key")
         .agg(
@@ -424,11 +424,11 @@ def assign_versions(spark: SparkSession, sf: str) -> DataFrame:
     SELECT n.model, 'champion' AS alias, version, n.run_id::VARCHAR AS run_id,
       coalesce(r.experiment_id, '') AS experiment_id, n.source AS storage_uri,
       CASE WHEN regexp_matches(n.source, '^(s3|gs|abs|https|http|pvc)://') THEN 'resolved' ELSE 'unfetchable' END AS status
-    FROM newest n LEFT JOIN (SELECT * FROM runs WHERE run_id % 5 <> 0) r ON n.run_id = r.run_id""",
+    FROM newest n LEFT JOIN (SELECT * FROM runs WHERE experiment_id <> 'PROMO') r ON n.run_id = r.run_id""",
 )
 def resolve_alias(spark: SparkSession, sf: str) -> DataFrame:
     versions = _versions(spark, sf).withColumn("run_id", F.col("run_id").cast("string"))
-    known = runs_table(spark, sf).filter(F.col("run_id") % 5 != 0)
+    known = runs_table(spark, sf).filter(F.col("experiment_id") != "PROMO")
     runs = known.withColumn("run_id", F.col("run_id").cast("string"))
     return registry.resolve_alias(registry.assign_alias(versions, "champion"), versions, runs)
 
