@@ -18,6 +18,9 @@ from driftline.session import materialise
 INITIAL_DELAY, INTERVAL, COUNT, WINDOW = 60, 60, 5, 120
 MIN_DENOMINATOR = 1e-10
 
+# Fixed value: message of a failed run (metric, failures, limit).
+FAILED_TEXT = 'Metric "%s" assessed Failed due to failed (%d) > failureLimit (%d)'
+
 
 @dataclass(frozen=True)
 class Gate:
@@ -170,7 +173,7 @@ def run_verdicts(verdicts: DataFrame, run: Sequence[str], champion: Column | Non
         F.when(
             failed,
             F.format_string(
-                'Metric "%s" assessed Failed due to failed (%d) > failureLimit (%d)',
+                FAILED_TEXT,
                 F.col("metric"),
                 F.col("failed"),
                 F.col("failure_limit"),

@@ -14,11 +14,35 @@ REPLICA_USD = 30
 MIN_REPLICAS, FREE_REPLICAS = 3, 2
 SEVERITIES = ("high", "medium", "low", "info")
 
+# Fixed values: (type, severity, recommendation) of every kind of finding.
+IDLE_POD = ("idle_pod", "low", "Review if pod is still needed or scale down")
+OVERPROVISIONED = (
+    "overprovisioned_deployment",
+    "medium",
+    "Consider reducing replicas if traffic is low",
+)
+ORPHANED_VOLUME = (
+    "orphaned_volume",
+    "high",
+    "Delete if no longer needed to reduce storage costs",
+)
+NO_ENDPOINTS = (
+    "service_no_endpoints",
+    "medium",
+    "Service has no backends - verify configuration",
+)
+REVIEW_SERVICE = (
+    "inference_service_review",
+    "info",
+    "Review traffic metrics to determine if service is utilized",
+)
+
 # Gi per unit, used when all units are asked for.
 _GI_PER_UNIT = {"Ki": 2.0**-20, "Mi": 2.0**-10, "Gi": 1.0, "Ti": 2.0**10}
 
 
-def _finding(kind: str, severity: str, resource: Column, advice: str, **details: Column) -> list:
+def _finding(finding: tuple[str, str, str], resource: Column, **details: Column) -> list:
+    kind, severity, advice = finding
     given = {
         "age_hours": F.lit(None).cast("double"),
         "replicas": F.lit(None).cast("long"),
@@ -56,9 +80,7 @@ def idle_pods(pods: DataFrame, as_of: Column, hours: float = IDLE_HOURS) -> Data
     age = (F.unix_micros(as_of) - F.unix_micros(last)) / F.lit(3_600_000_000.0)
     idle = pods.filter((F.col("phase") == "Running") & (restarts == 0) & (age > hours))
     return idle.select(
-        *_finding(
-            "idle_pod", "low", _named(), "Review if pod is still needed or scale down", age_hours=age
-        )
+        *_finding(IDLE_POD, _named(), age_hours=age)
     )
 
 
@@ -68,13 +90,7 @@ def overprovisioned(deployments: DataFrame, namespaces: Sequence[str] | None = N
     ready = F.coalesce("ready_replicas", F.lit(0))
     df = deployments if namespaces is None else deployments.filter(F.col("namespace").isin(*namespaces))
     return df.filter((wanted >= MIN_REPLICAS) & (ready == wanted)).select(
-        *_finding(
-            "overprovisioned_deployment",
-            "medium",
-            _named(),
-            "Consider reducing replicas if traffic is low",
-            replicas=wanted.cast("long"),
-        )
+        *_finding(OVERPROVISIONED, _named(), replicas=wanted.cast("long"))
     )
 
 
@@ -83,13 +99,7 @@ def orphaned_volumes(claims: DataFrame, pods: DataFrame) -> DataFrame:
     # distinct() first: a claim mounted by a third of all pods is one row here.
     used = pods.select("namespace", F.explode("claims").alias("name")).distinct()
     return claims.join(used, ["namespace", "name"], "left_anti").select(
-        *_finding(
-            "orphaned_volume",
-            "high",
-            _named(),
-            "Delete if no longer needed to reduce storage costs",
-            storage=F.col("storage"),
-        )
+        *_finding(ORPHANED_VOLUME, _named(), storage=F.col("storage"))
     )
 
 
@@ -99,12 +109,7 @@ def services_without_endpoints(
     df = services if namespaces is None else services.filter(F.col("namespace").isin(*namespaces))
     known = endpoints.select("namespace", "name").distinct()
     return df.join(known, ["namespace", "name"], "left_anti").select(
-        *_finding(
-            "service_no_endpoints",
-            "medium",
-            _named(),
-            "Service has no backends - verify configuration",
-        )
+        *_finding(NO_ENDPOINTS, _named())
     )
 
 
@@ -112,12 +117,7 @@ def ready_services(services: DataFrame) -> DataFrame:
     """Inference services with a true Ready condition, to be reviewed for traffic."""
     ready = F.exists("conditions", lambda c: (c["type"] == "Ready") & (c["status"] == "True"))
     return services.filter(F.coalesce(ready, F.lit(False))).select(
-        *_finding(
-            "inference_service_review",
-            "info",
-            _named(),
-            "Review traffic metrics to determine if service is utilized",
-        )
+        *_finding(REVIEW_SERVICE, _named())
     )
 
 
@@ -153,11 +153,11 @@ def storage_gi(quantity: Column, all_units: bool = False) -> Column:
 def savings(found: DataFrame, all_units: bool = False) -> DataFrame:
     """Estimated monthly savings in dollars, rounded to cents."""
     storage = F.when(
-        F.col("type") == "orphaned_volume",
+        F.col("type") == ORPHANED_VOLUME[0],
         storage_gi(F.col("storage"), all_units) * STORAGE_USD_PER_GI,
     )
     replicas = F.when(
-        (F.col("type") == "overprovisioned_deployment") & (F.col("replicas") > FREE_REPLICAS),
+        (F.col("type") == OVERPROVISIONED[0]) & (F.col("replicas") > FREE_REPLICAS),
         (F.col("replicas") - FREE_REPLICAS) * float(REPLICA_USD),
     )
     total = F.sum(F.coalesce(storage, replicas, F.lit(0.0)))

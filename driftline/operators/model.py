@@ -27,6 +27,9 @@ TREES, DEPTH, FOLDS = 100, 10, 5
 GRID = {"numTrees": (50, 100, 200), "maxDepth": (5, 10, 20)}
 IMPORTANCE_ROWS = 100
 
+# Fixed value: message of a failed gate.
+GATE_FAILED = "Model did not pass validation gate"
+
 
 # --- split and folds ----------------------------------------------------------
 
@@ -336,7 +339,7 @@ def model_gate(
         F.create_map(*[c for n, v in checks.items() for c in (F.lit(n), v)]).alias("checks"),
         passed.alias("passed"),
         F.when(F.col("rows") == 0, "no held-out rows")
-        .when(~passed, "Model did not pass validation gate")
+        .when(~passed, GATE_FAILED)
         .alias("error_message"),
     )
 
