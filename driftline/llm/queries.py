@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftline.llm import minhash
+from driftline.llm import minhash, mixing, secrets
 from driftline.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,66 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, folder))
 
 
-QUERIES: dict[str, Query] = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, folder)).select("doc_id", "secrets")
+    spans = F.col("secrets")
 
-ORACLES: dict[str, str] = {}
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(secrets.digest_text(spans, tuple(secrets.BASE)), 256).alias("base_sha256"),
+        secrets.digest_text(spans).alias("spans"),
+        *[count(kind).alias(f"n_{kind}") for kind in secrets.KINDS if kind not in secrets.BASE],
+    )
+
+
+def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder)).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken"
+    )
+
+
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 10))::BIGINT AS key
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS top,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+      WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight
+  FROM docs GROUP BY source),
+-- A source is at its limit if the level per weight at which it would stop is not above the settled one:
+-- the total that all sources take at that level is then at most the total to share.
+reached AS (
+  SELECT a.source, (SELECT sum(least(b.top, b.weight * a.top / a.weight)) FROM sources b)
+    <= 1.5::DOUBLE * (SELECT sum(source_size) FROM sources) AS full_up
+  FROM sources a),
+level AS (
+  SELECT (1.5::DOUBLE * sum(source_size) - sum(CASE WHEN full_up THEN top ELSE 0 END))
+    / nullif(sum(CASE WHEN full_up THEN 0 ELSE weight END), 0) AS level
+  FROM sources JOIN reached ON sources.source IS NOT DISTINCT FROM reached.source),
+goals AS (
+  SELECT s.source, source_size, CASE WHEN full_up THEN top ELSE weight * level END AS target
+  FROM sources s JOIN reached r ON s.source IS NOT DISTINCT FROM r.source, level),
+placed AS (
+  SELECT doc_id, size, source_size, target,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before,
+    CASE WHEN source_size > 0 THEN floor(floor(target) / source_size) ELSE 0 END AS whole
+  FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
+  (whole * size + greatest(0, least(size, floor(target) - whole * source_size - before)))::BIGINT AS taken
+FROM placed
+"""
+
+
+QUERIES: dict[str, Query] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_secret_scan": op2_secret_scan,
+    "op7_source_mix": op7_source_mix,
+}
+
+ORACLES: dict[str, str] = {"op7_source_mix": OP7_SQL}
