@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import minhash, mixing, packing, secrets
+from driftline.llm import fingerprints, minhash, mixing, packing, secrets
 from driftline.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,11 +77,85 @@ FROM placed
 """
 
 
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    fp = fingerprints
+    rows = fp.with_next(documents(spark, folder)).withColumn(
+        "edited", fp.half_replaced(F.col("text"), F.col("next_text"))
+    )
+    columns = {"own": "text", "changed": "edited", "following": "next_text"}
+    trees = rows.select(
+        "id",
+        F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        *[fp.tree(F.col(c)).alias(name) for name, c in columns.items()],
+    )
+    sets = trees.select(
+        "id", "n_chars", "edited_sha256",
+        fp.text_of(F.col("own")).alias("fingerprint"),
+        fp.text_of(F.col("changed")).alias("edited_fingerprint"),
+        *[fp.root(F.col(name)).alias(f"{name}_root") for name in columns],
+        *[fp.pieces(F.col(name)).alias(f"{name}_pieces") for name in columns],
+    )
+
+    def near(name: str):
+        return fp.likeness(*[F.col(f"{n}_{part}") for n in ("own", name) for part in ("root", "pieces")])
+
+    return sets.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.round(near("changed"), 9).alias("near_edited"), F.round(near("following"), 9).alias("near_next"),
+    )
+
+
+OP9_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    coalesce(lead(text) OVER (ORDER BY doc_id), first(text) OVER (ORDER BY doc_id), '') AS next_text
+  FROM documents),
+halves AS (
+  SELECT doc_id, length(text) AS n_chars, text AS own, next_text AS following,
+    left(text, length(text) - length(text) // 2) || left(next_text, length(text) // 2) AS changed
+  FROM docs),
+texts AS (SELECT *, sha256(changed) AS edited_sha256 FROM halves),
+pieces AS (
+  SELECT doc_id, n_chars, edited_sha256, which,
+    [[[left(sha256(x), 16) for x in regexp_extract_all(p, '[^.!?]{1,64}[.!?]*|[.!?]+')]
+       for p in regexp_extract_all(s, '[^
+]*
++|[^
+]+')]
+       for s in regexp_extract_all(value, '(?s).+?
+{2,}|.+')] AS t
+  FROM texts UNPIVOT (value FOR which IN (own, changed, following))),
+trees AS (
+  SELECT doc_id, n_chars, edited_sha256, which, list_distinct(flatten(flatten(t))) AS p,
+    [{'d': left(sha256(array_to_string([left(sha256(array_to_string(q, '')), 16) for q in s], '')), 16),
+      'q': array_to_string([left(sha256(array_to_string(q, '')), 16) || ':' || array_to_string(q, ',') for q in s], ';')}
+      for s in t] AS sections
+  FROM pieces),
+prints AS (
+  SELECT doc_id, n_chars, edited_sha256, which, p, sha256(array_to_string([s.d for s in sections], '')) AS root,
+    array_to_string(list_concat([sha256(array_to_string([s.d for s in sections], ''))],
+      [s.d || '(' || s.q || ')' for s in sections]), '/') AS print
+  FROM trees),
+near AS (
+  SELECT a.doc_id, b.which, b.print, CASE WHEN a.root = b.root THEN 1.0::DOUBLE ELSE
+    2.0::DOUBLE * len(list_intersect(a.p, b.p)) / greatest(len(a.p) + len(b.p), 1) END AS near
+  FROM prints a JOIN prints b ON a.doc_id = b.doc_id AND a.which = 'own')
+SELECT o.doc_id, o.n_chars, o.edited_sha256, o.print AS fingerprint, e.print AS edited_fingerprint,
+  round(e.near, 9) AS near_edited, round(n.near, 9) AS near_next
+FROM prints o
+JOIN near e ON o.doc_id = e.doc_id AND e.which = 'changed'
+JOIN near n ON o.doc_id = n.doc_id AND n.which = 'following'
+WHERE o.which = 'own'
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op4_packing": op4_packing,
     "op7_source_mix": op7_source_mix,
+    "op9_fingerprints": op9_fingerprints,
 }
 
-ORACLES: dict[str, str] = {"op7_source_mix": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_source_mix": OP7_SQL, "op9_fingerprints": OP9_SQL}
