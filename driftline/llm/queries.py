@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import fingerprints, minhash, mixing, packing, secrets
+from driftline.llm import fingerprints, minhash, mixing, packing, secrets, topk
 from driftline.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,26 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
 
+def op6_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+OP6_SQL = """
+WITH vectors AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum([q.v[i] * c.v[i] for i in range(1, len(q.v) + 1)]) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select(
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken"
@@ -154,8 +174,9 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op4_packing": op4_packing,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_source_mix": op7_source_mix,
     "op9_fingerprints": op9_fingerprints,
 }
 
-ORACLES: dict[str, str] = {"op7_source_mix": OP7_SQL, "op9_fingerprints": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_exact_top_k": OP6_SQL, "op7_source_mix": OP7_SQL, "op9_fingerprints": OP9_SQL}
