@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import fingerprints, minhash, mixing, packing, secrets, topk
+from driftline.llm import fingerprints, minhash, mixing, packing, secrets, substrings, topk
 from driftline.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_duplicates(documents(spark, folder)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
@@ -174,6 +180,7 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op4_packing": op4_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_source_mix": op7_source_mix,
     "op9_fingerprints": op9_fingerprints,

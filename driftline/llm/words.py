@@ -128,10 +128,22 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 * PI
 def sequence_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of every ``width`` consecutive words, in order."""
     n = len(hashes) - width + 1
-    total = np.zeros(max(n, 0), np.uint64)
-    for j in range(width if n > 0 else 0):
-        total += mix(hashes[j : j + n] + np.uint64(j + 1)) * np.uint64(2 * j + 3)
-    return mix(total + np.uint64(width))
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    up, down = _power_tables(len(hashes))
+    running = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=running[1:])
+    return mix((running[width:] - running[:-width]) * down[:n])
+
+
+def sliding(values: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
+    """The smallest (or other best) of every ``width`` consecutive values."""
+    size = 1
+    while 2 * size <= width:
+        values = best(values[:-size], values[size:])
+        size *= 2
+    rest = width - size
+    return best(values[:-rest], values[rest:]) if rest else values
 
 
 def long_column(values: np.ndarray) -> pa.Array:
