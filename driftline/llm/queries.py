@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import fingerprints, minhash, mixing, packing, secrets, substrings, topk
+from driftline.llm import fingerprints, language, minhash, mixing, packing, secrets, substrings, topk
 from driftline.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,22 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = language.fit_text(docs)
+    found = language.identify(docs, model, declared=F.col("lang"), host=F.col("source"))
+    return found.withColumn("confidence", F.round("confidence", 9))
+
+
+def page_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same operator on web pages, with markup and address; its texts' model comes from documents."""
+    pages = language.page_parts(spark.read.parquet(f"{folder}/pages.parquet"))
+    model = language.fit_text(documents(spark, folder))
+    parts = {c: F.col(c) for c in ("declared", "host", "site", "suffix")}
+    found = language.identify(pages, model, "page_id", **parts)
+    return found.withColumn("confidence", F.round("confidence", 9))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
@@ -179,6 +195,8 @@ WHERE o.which = 'own'
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_language_id": op3_language_id,
+    "page_languages": page_languages,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_top_k": op6_exact_top_k,
