@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import fingerprints, language, minhash, mixing, packing, secrets, substrings, topk
+from driftline.llm import fingerprints, hmm, language, minhash, mixing, packing, secrets, substrings, topk
 from driftline.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,19 @@ FROM placed
 """
 
 
+def _doc_number() -> Column:
+    """CRC-32 of the id as text, by which the contracts hold documents out."""
+    return F.crc32(F.col("doc_id").cast("string"))
+
+
+def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = hmm.score(documents(spark, folder), _doc_number() % 10 != 0)
+    return scored.select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
+
+
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     fp = fingerprints
     rows = fp.with_next(documents(spark, folder)).withColumn(
@@ -201,6 +214,7 @@ QUERIES: dict[str, Query] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_source_mix": op7_source_mix,
+    "op8_lm_scores": op8_lm_scores,
     "op9_fingerprints": op9_fingerprints,
 }
 
