@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import fingerprints, hmm, language, minhash, mixing, packing, secrets, substrings, topk
+from driftline.llm import fingerprints, hmm, language, minhash, mixing, packing, secrets, substrings, topk, toxicity
 from driftline.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,6 +205,20 @@ WHERE o.which = 'own'
 """
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    learned = (
+        docs.filter(_doc_number() % 3 != 1)
+        .join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
+        .select(F.col("doc_id").alias("id"), "text", "lang", "label")
+    )
+    scored = toxicity.score(docs, toxicity.train(learned))
+    return scored.select(
+        "doc_id", (_doc_number() % 3 == 1).alias("held_out"), "score", "predicted", "threshold", "flagged"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -216,6 +230,7 @@ QUERIES: dict[str, Query] = {
     "op7_source_mix": op7_source_mix,
     "op8_lm_scores": op8_lm_scores,
     "op9_fingerprints": op9_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op6_exact_top_k": OP6_SQL, "op7_source_mix": OP7_SQL, "op9_fingerprints": OP9_SQL}

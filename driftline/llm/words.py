@@ -23,6 +23,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+_NO_LETTER = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,9 +82,12 @@ def _piece_ends(separator: np.ndarray) -> Iterator[int]:
         yield n
 
 
-def find_words(buffer: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
-    """The words of the documents ``buffer[offsets[i]:offsets[i+1]]``."""
-    separator = _SEPARATOR[buffer]
+def find_words(buffer: np.ndarray, offsets: np.ndarray, lower: bool, letters: bool = False) -> Words:
+    """The words of the documents ``buffer[offsets[i]:offsets[i+1]]``.
+
+    With ``letters`` ASCII digits and punctuation separate words as well.
+    """
+    separator = (_NO_LETTER if letters else _SEPARATOR)[buffer]
     values = _LOWERED if lower else _VALUES
     first = np.zeros(len(buffer) + 1, bool)
     first[offsets] = True
