@@ -219,10 +219,11 @@ def near_duplicates(
     group = _labels(links)
     mixed = _mixed(shared, group)
     if not mixed.isEmpty():
-        mixed = write(_with_own(mixed, sets), "mixed")
+        mixed = write(_with_common(mixed, sets), "mixed")
         rest = write(_open_pairs(mixed, threshold, False).join(stars, ["a", "b"], "left_anti"), "pairs")
         links = write(links.union(_confirmed(rest, sets, threshold)), "links")
-        mixed = write(_mixed(mixed.drop("component"), _labels(links)), "mixed")
+        mixed = _mixed(mixed.drop("component", "common"), _labels(links))
+        mixed = write(_with_common(mixed, sets), "mixed")
         last = _open_pairs(mixed, threshold, True).join(stars.union(rest), ["a", "b"], "left_anti")
         links = write(links.union(_confirmed(write(last, "pairs"), sets, threshold)), "links")
     group = _labels(links)
@@ -259,24 +260,21 @@ def _mixed(shared: DataFrame, group: DataFrame) -> DataFrame:
     return members.join(mixed, "bucket", "left_semi")
 
 
-def _with_own(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``common``: how many of a member's shingles any other member of ``mixed`` has.
+def _with_common(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds ``common``: how many of a member's shingles another component of ``mixed`` has.
 
-    A pair cannot share more than the smaller ``common`` of the two.
+    Members of two components cannot share more than the smaller ``common`` of the two.
     """
-    ids = mixed.select("id").distinct()
-    own = (
-        sets.join(ids, "id")
-        .select("id", F.explode("items").alias("item"))
-        .groupBy("item")
-        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-        .filter("n = 1")
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("own"))
+    ids = mixed.select("id", "component").distinct()
+    items = sets.join(ids, "id").select("id", "component", F.explode("items").alias("item"))
+    spread = (
+        items.groupBy("item")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low <> high")
     )
-    return mixed.join(own, "id", "left").select(
-        "id", "n_shingles", "bucket", "component",
-        (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"),
+    common = items.join(spread, "item", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("common"))
+    return mixed.join(common, "id", "left").select(
+        "id", "n_shingles", "bucket", "component", F.coalesce("common", F.lit(0)).alias("common")
     )
 
 
@@ -288,10 +286,11 @@ def _open_pairs(mixed: DataFrame, threshold: int, every: bool) -> DataFrame:
     Members that have too much of their own for any link are left out.
     """
     able = mixed.filter(100 * F.col("common") >= threshold * F.col("n_shingles"))
+    able = able.join(able.groupBy("id").agg(F.collect_set("bucket").alias("buckets")), "id")
     least_own = F.struct(
         (F.col("n_shingles") - F.col("common")).alias("own"), F.col("id").alias("other"),
         F.col("n_shingles").alias("other_n"), F.col("common").alias("other_common"),
-        F.col("component").alias("other_component"),
+        F.col("component").alias("other_component"), F.col("buckets").alias("other_buckets"),
     )
     centres = able.groupBy("bucket").agg(F.min(least_own).alias("c")).select("bucket", "c.*")
     if every:
@@ -302,13 +301,19 @@ def _open_pairs(mixed: DataFrame, threshold: int, every: bool) -> DataFrame:
         other = able.select(
             "bucket", F.col("id").alias("other"), F.col("n_shingles").alias("other_n"),
             F.col("common").alias("other_common"), F.col("component").alias("other_component"),
+            F.col("buckets").alias("other_buckets"),
         )
     else:
         left, other = able, centres.drop("own")
     most = F.least("common", "other_common")
     fits = 100 * most >= threshold * (F.col("n_shingles") + F.col("other_n") - most)
+    # A pair that shares several buckets is made in one of them.
+    once = left["bucket"] == F.array_min(F.array_intersect("buckets", "other_buckets"))
     pairs = left.join(
         other,
-        (left["bucket"] == other["bucket"]) & (F.col("component") != F.col("other_component")) & fits,
+        (left["bucket"] == other["bucket"])
+        & (F.col("component") != F.col("other_component"))
+        & fits
+        & (once if every else F.lit(True)),
     )
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
