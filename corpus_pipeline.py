@@ -1,8 +1,110 @@
-"""documents -> a training mix: each stage keeps, changes or drops rows for the next one."""
+"""documents -> a packed training mix. Each stage works on all that the one before kept.
 
-STAGES: list = []
+Every stage is ``function(spark, docs, sf_dir)``; ``run`` writes its rows as
+Parquet below the shared folder and reads them again for the next one. All
+stages but the last return the columns of ``documents``. A row's number of
+characters follows its text.
+
+1. language ID: drops documents without a recognised language; ``lang`` becomes
+   the recognised one.
+2. MinHash near-dedup: one document of each group of near copies stays, the one
+   with the smallest id; of rows that repeat an id and a text, one.
+3. secret scans: spans of secrets become ``[SECRET]``; no document is dropped.
+4. mixing: every source's words come to its target. A document that is taken
+   more than once is there as often; the one at the cut ends after the last
+   word that is taken; documents that are not taken go.
+5. packing: the pieces of all documents with their places in sequences.
+
+Rows with null texts leave at the first stage. Rows with null ids are kept apart
+from every group by near-dedup. An empty table gives empty results.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftline.llm import language, minhash, mixing, packing, secrets
+from driftline.llm.tables import documents, write
+from driftline.llm.words import find_words, text_slices
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _columns(df: DataFrame, text: str = "text") -> DataFrame:
+    return df.withColumn("n_chars", F.char_length(text).cast("long")).select(*COLUMNS)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is recognised."""
+    model = language.fit_text(docs)
+    # The verdict stands beside its row, so that rows with equal or null ids keep their own.
+    rows = docs.select(F.struct(*COLUMNS).alias("row"), "text", "lang", "source")
+    found = language.identify(rows, model, "row", declared=F.col("lang"), host=F.col("source"))
+    kept = found.filter("kept").select("row.*", "language")
+    return _columns(kept.withColumn("lang", F.col("language")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies."""
+    groups = minhash.near_duplicates(docs)
+    dropped = groups.filter("not kept").select("doc_id").distinct()
+    unique = docs.dropDuplicates(["doc_id", "text"])
+    return _columns(unique.join(dropped, "doc_id", "left_anti"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts."""
+    return _columns(secrets.redact(docs))
+
+
+def _first_words(texts: pa.Array, counts: pa.Array) -> pa.Array:
+    """Each text up to the end of its n-th word."""
+    batch = pa.RecordBatch.from_arrays([texts, counts], ["text", "n"])
+    out = []
+    for rows, buffer, offsets in text_slices(batch):
+        words = find_words(buffer, offsets, lower=False)
+        data = buffer.tobytes()
+        for i, n in enumerate(rows.column("n").to_pylist()):
+            end = words.ends[words.bounds[i] + n - 1] if n else offsets[i]
+            out.append(data[offsets[i] : end].decode())
+    return pa.array(out, pa.string())
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats, cuts and drops documents so that every source meets its target."""
+    taken = mixing.mix(docs).filter("taken > 0").select(
+        F.col("doc_id").alias("id"), "text_hash", "size", "taken"
+    )
+    rows = docs.withColumn("hash", F.xxhash64("text"))
+    joined = rows.join(taken.dropDuplicates(["id", "text_hash"]), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")))
+    copies = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rest = (F.col("taken") % F.col("size")).cast("int")
+    whole = joined.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    cut = joined.filter(rest > 0).withColumn("text", F.arrow_udf(_first_words, "string")("text", rest))
+    return _columns(whole.select(*COLUMNS).union(cut.select(*COLUMNS)))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("minhash_near_dedup", drop_near_copies),
+    ("secret_scan", redact_secrets),
+    ("source_mix", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The trained language model, sketches and token ids are not SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
