@@ -99,6 +99,21 @@ def _best_filling(prices: np.ndarray, units: int) -> np.ndarray:
     return filling
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan on a few hundred rows; a threaded library call can stall on a busy machine."""
+    n = len(matrix)
+    rows = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        pivot = i + int(np.argmax(np.abs(rows[i:, i])))
+        if pivot != i:
+            rows[[i, pivot]] = rows[[pivot, i]]
+        rows[i] /= rows[i, i]
+        factors = rows[:, i].copy()
+        factors[i] = 0.0
+        rows -= np.multiply.outer(factors, rows[i])
+    return rows[:, n:]
+
+
 def cutting_patterns(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used, so that every piece is used once.
 
@@ -114,10 +129,10 @@ def cutting_patterns(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.
     known = np.array([filling[present] for filling, _ in _first_fit(counts)], float).T
     # At first each sequence holds pieces of one length only.
     basis = np.diag(units // (present + 1)).astype(float)
-    inverse = np.linalg.inv(basis)
+    inverse = np.diag(1 / np.diag(basis))
     for round_ in range(rounds):
         if round_ % 100 == 99:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
         prices = inverse.sum(axis=0)  # every sequence costs 1
         worth = (prices[:, None] * known).sum(axis=0)
         column = known[:, int(np.argmax(worth))]
@@ -137,9 +152,9 @@ def cutting_patterns(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.
         leaves = int(np.argmin(ratios))
         basis[:, leaves] = column
         row = inverse[leaves] / entering[leaves]
-        inverse -= np.outer(entering, row)
+        inverse -= np.multiply.outer(entering, row)
         inverse[leaves] = row
-    used = np.floor(np.linalg.solve(basis, need) + 1e-6).astype(int)
+    used = np.floor(np.maximum((_inverse(basis) * need).sum(axis=1), 0) + 1e-6).astype(int)
     plan, left = [], counts.astype(int).copy()
     for chosen, times in zip(basis.T, used.tolist(), strict=True):
         column = np.zeros(units, int)
