@@ -18,15 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.functions.scalars import clean_double
+from driftline.functions.scalars import clean_double, join_on_keys
 from driftline.session import materialise
 
 LINEAR = "linear"
 NEAREST_EVEN = "nearest_even"
 FLOOR_INDEX = "floor_index"
 
-_MAX_ROUNDS = 4
-
 
 def _position(method: str, prob: float, n: Column) -> Column:
     """0-based (fractional for LINEAR) position of a probability among n sorted values."""
@@ -56,7 +54,7 @@ def _narrow(
     large = (F.col("_inside") > limit) & (F.col("_lo") < F.col("_hi"))
     edges = [i / grid for i in range(grid + 1)]
     sketched = (
-        rows.join(state.filter(large).select(*bracket), keys)
+        join_on_keys(rows, state.filter(large).select(*bracket), keys)
         .filter(_inside(F.col("_v")))
         .groupBy(*bracket)
         .agg(F.percentile_approx("_v", edges, 4 * grid).alias("_edges"))
@@ -69,8 +67,7 @@ def _narrow(
         *[F.struct(F.lit(c).alias("i"), F.col(c).alias("pos")) for c in wanted]
     )
     narrowed = (
-        state.filter(large)
-        .join(sketched, bracket)
+        join_on_keys(state.filter(large), sketched, bracket)
         .select("*", F.inline(F.filter(positions, lambda t: t["pos"].isNotNull())).alias("_i", "_pos"))
         .select(
             *keys,
@@ -86,14 +83,14 @@ def _narrow(
     )
     narrowed = materialise(narrowed, "quantile-brackets")
     counted = (
-        rows.join(narrowed.select(*bracket), keys)
+        join_on_keys(rows, narrowed.select(*bracket), keys)
         .groupBy(*bracket)
         .agg(
             F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
             F.count_if(_inside(F.col("_v"))).alias("_inside"),
         )
     )
-    return narrowed.join(counted, bracket).unionByName(state.filter(~large))
+    return join_on_keys(narrowed, counted, bracket).unionByName(state.filter(~large))
 
 
 def exact_quantiles(
@@ -166,18 +163,19 @@ def _rank_brackets(
         ),
         "quantile-groups",
     )
-    for _ in range(_MAX_ROUNDS):
-        if state.filter((F.col("_inside") > limit) & (F.col("_lo") < F.col("_hi"))).isEmpty():
-            break
+    # Each round cuts a bracket to a few of ``grid`` parts, so that this ends.
+    while not state.filter((F.col("_inside") > limit) & (F.col("_lo") < F.col("_hi"))).isEmpty():
         state = materialise(_narrow(rows, state, keys, wanted, limit, grid), "quantile-state")
     by_value = W.partitionBy(*bracket).orderBy("_v")
-    return (
-        rows.join(state.select(*bracket), keys)
+    ranked = (
+        join_on_keys(rows, state.select(*bracket), keys)
         .filter(_inside(F.col("_v")))
         .groupBy(*bracket, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_end", F.sum("_c").over(by_value))
-        .join(state.drop("_inside"), bracket)
+    )
+    return (
+        join_on_keys(ranked, state.drop("_inside"), bracket)
         .withColumn("_end", F.col("_end") + F.col("_below"))
         .withColumn("_start", F.col("_end") - F.col("_c"))
     )

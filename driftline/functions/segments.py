@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftline.functions.scalars import join_on_keys
 from driftline.session import materialise
 
 HOT_ROWS = 4_000_000
@@ -47,7 +48,7 @@ def _chunked(df: DataFrame, keys: Sequence[str], ts: str, hot: DataFrame) -> Dat
     """Adds ``_chunk``; keys that are not hot have a single one."""
     chunk = F.floor(F.unix_micros(ts) / F.col("_length")).cast("long")
     return (
-        df.join(hot, list(keys), "left")
+        join_on_keys(df, hot, keys, "left")
         .withColumn("_chunk", F.coalesce(chunk, F.lit(0)))
         .drop("_length")
     )
@@ -115,9 +116,9 @@ def row_numbers(
         *keys, "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
     inside = W.partitionBy(*keys, "_chunk").orderBy(ts, *tie)
+    numbered = chunked.withColumn(name, F.row_number().over(inside))
     return (
-        chunked.withColumn(name, F.row_number().over(inside))
-        .join(offsets, [*keys, "_chunk"])
+        join_on_keys(numbered, offsets, [*keys, "_chunk"])
         .withColumn(name, F.col(name) + F.col("_offset"))
         .drop("_chunk", "_offset")
     )

@@ -216,15 +216,22 @@ def notifications(
 ) -> DataFrame:
     """``(group, sent_at, alerts, reason)``: what a grouping, throttling router sends.
 
+    An alert is told apart by the columns of ``fingerprint`` (by default all but
+    the time); rows that repeat one at an instant count once.
+
     A group starts when one of its alerts fires after a step without any. It is
     flushed ``wait`` seconds later and then every ``interval``. A flush sends if
     it is the first, if the set of alerts changed, or if ``repeat`` has passed
     since the last send.
     """
     by = list(by)
-    ident = F.xxhash64(*(fingerprint or by))
-    instants = firing.groupBy(*by, ts).agg(
-        F.count(F.lit(1)).alias("alerts"), F.bit_xor(ident).alias("set")
+    ident = F.xxhash64(*(fingerprint or [c for c in firing.columns if c != ts]))
+    alerts = firing.select(*by, ts, ident.alias("_ident")).distinct()
+    # Two sums over the set: different sets have different ones but for chance.
+    spread = F.xxhash64("_ident", F.lit(1))
+    instants = alerts.groupBy(*by, ts).agg(
+        F.count(F.lit(1)).alias("alerts"),
+        F.struct(F.bit_xor("_ident"), F.bit_xor(spread), F.count(F.lit(1))).alias("set"),
     )
     # From here on: one row per group and evaluation instant, or fewer.
     order = W.partitionBy(*by).orderBy(F.unix_micros(ts))

@@ -28,7 +28,6 @@ SPLIT_COLUMN = "is_train"
 _SCALED = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 _HASH_BITS = 60
 _SPLIT_BUCKET_BITS = 12
-_PROBE_BUCKETS = 4096
 _FEW_CLASSES = 10_000  # so many (class, limit) rows are broadcast
 
 
@@ -58,42 +57,19 @@ def cardinality_filter(
 ) -> DataFrame:
     """``(column, n_unique, kept)``; nulls are not counted.
 
-    Values are first grouped by hash bucket, which costs a bounded shuffle. More
-    buckets than ``max_categories`` prove that there are too many values; a
-    column with fewer buckets, each holding one value, is counted exactly. Only
-    a column where two values share a bucket is counted again by value.
-    ``n_unique`` is null for a column dropped by the proof.
+    Every column is counted exactly: values are made distinct before the count,
+    with a partial step before the shuffle.
     """
     spark = df.sparkSession
     schema = "column string, n_unique long, kept boolean"
     if not columns:
         return spark.createDataFrame([], schema)
     bound = max(max_categories, 0)
-
-    def values(names: Sequence[str]) -> DataFrame:
-        pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in names]
-        return df.select(F.inline(F.array(*pairs))).filter(F.col("v").isNotNull())
-
-    buckets = (
-        values(columns)
-        .groupBy("column", F.pmod(F.xxhash64("v"), F.lit(_PROBE_BUCKETS)).alias("b"))
-        .agg((F.min("v") != F.max("v")).alias("shared"))
-    )
-    probed = {
-        r["column"]: r
-        for r in buckets.groupBy("column")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("shared").alias("shared"))
-        .collect()  # one row per column
-    }
-    exact = {c: 0 for c in columns if c not in probed}
-    exact |= {c: r["n"] for c, r in probed.items() if not r["shared"] and r["n"] <= bound}
-    open_columns = [c for c, r in probed.items() if r["shared"] and r["n"] <= bound]
-    if open_columns:
-        counted = values(open_columns).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-        exact |= {r["column"]: r["n"] for r in counted.collect()}
-    return spark.createDataFrame(
-        [(c, exact.get(c), exact.get(c, bound + 1) <= bound) for c in columns], schema
-    )
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns]
+    values = df.select(F.inline(F.array(*pairs))).filter(F.col("v").isNotNull())
+    counted = values.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    exact = {r["column"]: r["n"] for r in counted.collect()}  # one row per column
+    return spark.createDataFrame([(c, exact.get(c, 0), exact.get(c, 0) <= bound) for c in columns], schema)
 
 
 # --- split --------------------------------------------------------------------

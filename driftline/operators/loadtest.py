@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.order_stats import FLOOR_INDEX, NEAREST_EVEN, exact_quantiles
+from driftline.functions.scalars import join_on_keys
 
 
 def percentile_nearest_rank(
@@ -29,7 +30,7 @@ def p95_floor_index(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     """Mean and the item at index floor(0.95*n), rounded to 4 places."""
     p95 = exact_quantiles(df, keys, value, [0.95], FLOOR_INDEX)
     mean = df.groupBy(*keys).agg(F.avg(value).alias("mean"))
-    return p95.join(mean, list(keys)).select(
+    return join_on_keys(p95, mean, keys).select(
         *keys, "n", F.round("mean", 4).alias("mean"), F.round(F.col("q")[0], 4).alias("p95")
     )
 
@@ -105,13 +106,14 @@ def cost_per_mtok(tokens_per_s: Column, hourly_usd: float) -> Column:
 
 
 def first_errors(
-    results: DataFrame, level: str, order: str, error: str = "error", length: int = 200
+    results: DataFrame, level: str, order: str, error: str = "error", length: int | None = None
 ) -> DataFrame:
-    """The first error text per level."""
+    """The first error text per level; ``length`` cuts it, as the report of a session does."""
+    first = F.min_by(error, order)
     return (
         results.filter(F.col(error).isNotNull() & (F.col(error) != ""))
         .groupBy(level)
-        .agg(F.substring(F.min_by(error, order), 1, length).alias("first_error"))
+        .agg((first if length is None else F.substring(first, 1, length)).alias("first_error"))
     )
 
 

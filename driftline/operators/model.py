@@ -22,10 +22,9 @@ from driftline.functions.scalars import ratio, stable_hash
 from driftline.operators.features import SEED, SPLIT_COLUMN, TEST_SIZE, stratified_split
 from driftline.session import materialise
 
-# Forest, folds, grid and importance sample of the training step.
+# Forest, folds and grid of the training step.
 TREES, DEPTH, FOLDS = 100, 10, 5
 GRID = {"numTrees": (50, 100, 200), "maxDepth": (5, 10, 20)}
-IMPORTANCE_ROWS = 100
 
 # Fixed value: message of a failed gate.
 GATE_FAILED = "Model did not pass validation gate"
@@ -252,12 +251,12 @@ def permutation_importance(
     target: str,
     key: str,
     width: int,
-    rows: int | None = IMPORTANCE_ROWS,
+    rows: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """``(position, importance)``: accuracy lost when one feature comes from another row.
 
-    Uses ``rows`` held-out rows (None: all), the first in hash order. The donor
+    Uses all held-out rows, or ``rows`` of them, the first in hash order. The donor
     of a row is the next one of its hash bucket; buckets hold about 1000 rows.
     """
     hashed = held_out.withColumn("_h", stable_hash(F.col(key), seed))
@@ -439,8 +438,9 @@ def predict_with(
 ) -> DataFrame:
     """Scores with a function of a pandas frame, batch by batch in the tasks.
 
-    Adds ``prediction`` and ``error``. A batch on which the model raises gives
-    rows with an error text; the job goes on.
+    Adds ``prediction`` and ``error``. A row on which the model raises gets an
+    error text; the job goes on. A batch that raises is tried again in halves, so
+    that the result does not depend on how rows are dealt to batches.
     """
     schema = T.StructType(
         [
@@ -451,14 +451,23 @@ def predict_with(
     )
     wanted = list(features)
 
+    def scored(batch: pd.DataFrame) -> tuple[list, list]:
+        try:
+            values = list(predict(batch[wanted]))
+            if len(values) != len(batch):
+                raise ValueError(f"{len(values)} predictions for {len(batch)} rows")
+            return values, [None] * len(batch)
+        except Exception as problem:  # a failing model is data, not a failed job
+            if len(batch) == 1:
+                return [None], [f"{type(problem).__name__}: {problem}"]
+            half = len(batch) // 2
+            first, second = scored(batch.iloc[:half]), scored(batch.iloc[half:])
+            return first[0] + second[0], first[1] + second[1]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                values, error = list(predict(batch[wanted])), None
-                if len(values) != len(batch):
-                    raise ValueError(f"{len(values)} predictions for {len(batch)} rows")
-            except Exception as problem:  # a failing model is data, not a failed job
-                values, error = [None] * len(batch), f"{type(problem).__name__}: {problem}"
-            yield batch.assign(prediction=values, error=error)
+            if len(batch):
+                values, errors = scored(batch)
+                yield batch.assign(prediction=values, error=errors)
 
     return df.mapInPandas(run, schema)

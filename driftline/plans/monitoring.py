@@ -651,6 +651,27 @@ def alert_notifications(spark: SparkSession, sf: str) -> DataFrame:
     return at_edge(alerts.notifications(firing, step_seconds=HOUR))
 
 
+@query(
+    "grouped_notifications",
+    f"""WITH {_PAIRED},
+    i AS (SELECT alertname, severity, ts, count(DISTINCT namespace) AS alerts,
+      list_sort(list(DISTINCT namespace)) AS names FROM fire GROUP BY ALL),
+    s AS (SELECT *, ts - to_hours(row_number() OVER (PARTITION BY alertname, severity ORDER BY ts)) AS g FROM i),
+    t AS (SELECT *, min(ts) OVER (PARTITION BY alertname, severity, g) AS started FROM s),
+    u AS (SELECT *, CASE WHEN ts = started THEN 0 ELSE ceil((epoch(ts) - epoch(started) - 30) / 300)::BIGINT END AS flush FROM t),
+    v AS (SELECT *, lag(names) OVER (PARTITION BY alertname, severity, started ORDER BY flush) AS earlier FROM u),
+    w AS (SELECT *, max(CASE WHEN earlier IS NULL OR earlier <> names THEN flush END) OVER (
+      PARTITION BY alertname, severity, started ORDER BY flush ROWS UNBOUNDED PRECEDING) AS since FROM v)
+    SELECT alertname, severity, started + to_seconds(30 + flush * 300) AS sent_at, alerts,
+      CASE WHEN flush = 0 THEN 'new' WHEN flush = since THEN 'changed' ELSE 'repeat' END AS reason
+    FROM w WHERE (flush - since) % 48 = 0""",
+)
+def grouped_notifications(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of several alerts: services come and go while a group fires."""
+    firing = _paired(spark, sf)
+    return at_edge(alerts.notifications(firing, ["alertname", "severity"], step_seconds=HOUR))
+
+
 # --- J: canary ----------------------------------------------------------------
 
 _CANARY_GRID = {"initial": 4 * HOUR, "interval": 4 * HOUR, "count": 5}

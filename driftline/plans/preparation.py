@@ -231,7 +231,7 @@ def column_roles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "cardinality_filter",
-    """SELECT c AS "column", CASE WHEN n <= 10 THEN n END AS n_unique, n <= 10 AS kept FROM (
+    """SELECT c AS "column", n AS n_unique, n <= 10 AS kept FROM (
       SELECT 'p_name' AS c, count(DISTINCT p_name) AS n FROM part
       UNION ALL SELECT 'p_brand', count(DISTINCT p_brand) FROM part
       UNION ALL SELECT 'p_type', count(DISTINCT p_type) FROM part)""",
@@ -342,16 +342,21 @@ def align_named(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "align_positional",
     """SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS f_0, round(embedding[32]::DOUBLE, 6) AS f_31,
-      round(embedding[64]::DOUBLE, 6) AS f_63 FROM embeddings WHERE len(embedding) = 64""",
+      round(embedding[64]::DOUBLE, 6) AS f_63 FROM embeddings""",
 )
 def align_positional(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = table(spark, sf, "embeddings").filter(F.size("embedding") == 64)
+    vectors = table(spark, sf, "embeddings")
     names = [f"f_{i}" for i in range(64)]
     aligned = features.align_positional(vectors, "embedding", names, ["vec_id"])
     return at_edge(aligned.select("vec_id", "f_0", "f_31", "f_63"))
 
 
-@query("misaligned_rows", "SELECT vec_id, label FROM embeddings WHERE len(embedding) <> 64")
+@query(
+    "misaligned_rows",
+    "SELECT vec_id, label FROM embeddings WHERE len(embedding[1:60 + vec_id % 5]) <> 64",
+)
 def misaligned_rows(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = table(spark, sf, "embeddings")
+    """Vectors cut to 60 to 64 numbers, by their ids; only those with 64 fit."""
+    kept = (60 + F.col("vec_id") % 5).cast("int")
+    vectors = table(spark, sf, "embeddings").withColumn("embedding", F.slice("embedding", F.lit(1), kept))
     return features.misaligned_rows(vectors, "embedding", 64).select("vec_id", "label")

@@ -22,25 +22,24 @@ def _ts(text: str):
 # --- A: intake ----------------------------------------------------------------
 
 
-@query("csv_round_trip", "SELECT * FROM customer")
+@query("csv_round_trip", "SELECT * FROM documents")
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    path = new_shared_path(spark, "customer-csv")
-    files.write_csv(table(spark, sf, "customer"), path)
+    """Texts with quotes, separators and line breaks, written and read again."""
+    path = new_shared_path(spark, "documents-csv")
+    files.write_csv(table(spark, sf, "documents"), path)
     return files.read_csv_table(
-        spark,
-        path,
-        "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+        spark, path, "doc_id long, text string, lang string, source string, n_chars long"
     )
 
 
 @query(
     "feature_source",
-    "SELECT event_id, ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-15'",
+    "SELECT event_id, ts, value FROM events",
 )
 def feature_source(spark: SparkSession, sf: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     source = files.read_feature_source(spark, f"{sf}/events.parquet", "ts")
-    return at_edge(source.filter(F.col("ts") >= _ts("2024-01-15")).select("event_id", "ts", "value"))
+    return at_edge(source.select("event_id", "ts", "value"))
 
 
 @query(
@@ -357,7 +356,7 @@ def p95_floor_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "first_errors",
-    f"WITH {_RESULTS} SELECT concurrency, left(arg_min(error, event_id), 200) AS first_error FROM r WHERE error IS NOT NULL GROUP BY 1",
+    f"WITH {_RESULTS} SELECT concurrency, arg_min(error, event_id) AS first_error FROM r WHERE error IS NOT NULL GROUP BY 1",
 )
 def first_errors(spark: SparkSession, sf: str) -> DataFrame:
     return loadtest.first_errors(_results(spark, sf), "concurrency", "event_id")
@@ -645,11 +644,9 @@ def services(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def endpoints(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers with a line shipped in the first week of 1996."""
-    items = table(spark, sf, "lineitem").filter(
-        (F.col("l_shipdate") >= _ts("1996-01-01")) & (F.col("l_shipdate") < _ts("1996-01-08"))
-    )
-    return items.select(
+    """Suppliers whose number of lines is not a multiple of three."""
+    lines = table(spark, sf, "lineitem").groupBy("l_suppkey").count().filter("count % 3 <> 0")
+    return lines.select(
         _ns("l_suppkey").alias("namespace"), _named("svc-", "l_suppkey").alias("name")
     )
 
@@ -675,7 +672,7 @@ fi AS (
     (c_custkey % 50) || CASE WHEN c_custkey % 3 = 0 THEN 'Ti' ELSE 'Gi' END
   FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
   UNION ALL SELECT 'service_no_endpoints', 'medium', 'ns-' || (s_suppkey % 5) || '/svc-' || s_suppkey, NULL, NULL, NULL
-  FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-01-08')
+  FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem GROUP BY l_suppkey HAVING count(*) % 3 <> 0)
   UNION ALL SELECT 'inference_service_review', 'info', 'models/' || n_name, NULL, NULL, NULL FROM nation WHERE n_nationkey % 3 = 0)"""
 
 

@@ -57,8 +57,10 @@ def read_csv_table(
     :class:`EmptyDataError`. With ``strict`` a malformed row fails the job that
     meets it; otherwise its text is kept in ``_malformed`` and its cells that
     cannot be read are null. Without a schema one is inferred, for exploration.
+    Quoted cells may hold quotes (doubled) and line breaks; a file is then read
+    by one task, so write large tables as several files.
     """
-    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    reader = spark.read.options(header=True, encoding="UTF-8", quote='"', escape='"', multiLine=True)
     try:
         if schema is None:
             df = reader.option("inferSchema", True).csv(path)
@@ -125,7 +127,9 @@ def stream_source(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Cells with quotes, separators or line breaks are quoted, quotes in them doubled."""
+    whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', **whole).csv(path)
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -160,11 +164,17 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
 
 
 def line_counts(spark: SparkSession, path: str, minimum: int = 2) -> DataFrame:
-    """``(path, lines, enough)`` per text file."""
+    """``(path, lines, enough)`` per text file, files without any line included."""
     lines = spark.read.option("recursiveFileLookup", True).text(path)
+    counted = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.count(F.lit(1)).alias("lines")
+    )
+    # The list of files; no content is read.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return (
-        lines.groupBy(F.col("_metadata.file_path").alias("path"))
-        .agg(F.count(F.lit(1)).alias("lines"))
+        files.select(F.col("_metadata.file_path").alias("path"))
+        .join(counted, "path", "left")
+        .withColumn("lines", F.coalesce("lines", F.lit(0)))
         .withColumn("enough", F.col("lines") >= minimum)
     )
 

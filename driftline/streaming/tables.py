@@ -73,7 +73,7 @@ def guarded(writer: BatchWriter, problems: str) -> BatchWriter:
         try:
             writer(batch, number)
         except Exception as error:  # one failed cycle must not stop the loop
-            note = [(number, type(error).__name__, str(error)[:2000])]
+            note = [(number, type(error).__name__, str(error))]
             batch.sparkSession.createDataFrame(
                 note, "batch long, error string, message string"
             ).write.mode("overwrite").json(f"{problems}/cycle={number}")

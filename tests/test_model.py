@@ -114,7 +114,20 @@ def test_outside_model(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": [1.0, 2.0]}))
     assert [r["prediction"] for r in model.predict_with(df, lambda f: f["x"] * 2, ["x"]).collect()] == [2.0, 4.0]
     short = model.predict_with(df, lambda f: [], ["x"]).collect()
-    assert all("0 predictions" in r["error"] for r in short)
+    assert len(short) == 2 and all("0 predictions" in r["error"] for r in short)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 7])
+def test_one_failing_row_fails_alone(spark, parts):
+    def model_of(frame):
+        if (frame["x"] == 37).any():
+            raise ValueError("no 37")
+        return frame["x"] * 2
+
+    df = spark.range(100).select(F.col("id").cast("double").alias("x")).repartition(parts)
+    rows = model.predict_with(df, model_of, ["x"]).collect()
+    assert [r["x"] for r in rows if r["error"]] == [37.0]
+    assert all(r["prediction"] == 2 * r["x"] for r in rows if not r["error"]) and len(rows) == 100
 
 
 def test_features_feed_the_model(spark, flowers):

@@ -32,6 +32,7 @@ def test_against_numpy(spark, method, limit):
         "one": np.array([2.5]),
         "two": np.array([1.0, 2.0]),
         "tail": np.exp(rng.normal(0, 5, 2000)),
+        None: rng.normal(size=500),
     }
     frame = pd.concat([pd.DataFrame({"g": k, "v": v}) for k, v in groups.items()])
     df = spark.createDataFrame(frame).repartition(7)

@@ -29,6 +29,24 @@ def write(path, text, encoding="utf-8"):
     return str(path)
 
 
+def test_csv_cells_with_quotes_and_line_breaks(spark, tmp_path):
+    rows = [(1, 'x "q" y'), (2, "two\nlines, and a comma"), (3, " blanks "), (4, 'ends with "')]
+    path = str(tmp_path / "quoted")
+    files.write_csv(spark.createDataFrame(rows, "a long, b string"), path)
+    assert sorted(tuple(r) for r in files.read_csv_table(spark, path, "a long, b string").collect()) == rows
+    single = write(tmp_path / "one.csv", 'a,b\n1,"x ""q"" y"\n2,"two\nlines"\n')
+    lenient = files.read_csv_table(spark, single, "a long, b string", strict=False)
+    assert [r["b"] for r in lenient.orderBy("a").collect()] == ['x "q" y', "two\nlines"]
+    assert files.malformed_rows(lenient).count() == 0
+
+
+def test_a_file_without_lines_is_counted(spark, tmp_path):
+    write(tmp_path / "none.txt", "")
+    write(tmp_path / "three.txt", "a\nb\nc\n")
+    found = {r["path"].rsplit("/", 1)[1]: (r["lines"], r["enough"]) for r in files.line_counts(spark, str(tmp_path)).collect()}
+    assert found == {"none.txt": (0, False), "three.txt": (3, True)}
+
+
 def test_csv_errors_are_told_apart(spark, tmp_path):
     schema = "a int, b double, c string"
     with pytest.raises(SourceError):
@@ -51,11 +69,11 @@ def test_na_tokens_are_null(spark, tmp_path):
 @pytest.mark.parametrize(
     "url, reason",
     [
-        ("https://example.com/data.csv", None),
-        ("http://example.com/data.csv", None),
-        ("ftp://example.com/data.csv", "unsupported scheme"),
-        ("example.com/data.csv", "invalid format"),
-        ("https:///data.csv", "invalid format"),
+        ("https://files.test.invalid/iris.csv", None),
+        ("http://files.test.invalid/iris.csv", None),
+        ("ftp://files.test.invalid/iris.csv", "unsupported scheme"),
+        ("files.test.invalid/iris.csv", "invalid format"),
+        ("https:///iris.csv", "invalid format"),
         ("", "invalid format"),
         (None, "invalid format"),
     ],
@@ -166,7 +184,9 @@ def test_summary_excludes_failures(spark):
     assert (row["requests"], row["ok"], row["errors"]) == (2, 1, 1)
     assert row["aggregate_tokens_per_s"] == 20.0 and row["total_output_tokens"] == 100
     assert row["latency_p95_s"] == 5.0 and row["per_request_tokens_per_s_median"] == 20.0
-    assert len(loadtest.first_errors(results, "concurrency", "total_s").first()["first_error"]) == 200
+    assert len(loadtest.first_errors(results, "concurrency", "total_s").first()["first_error"]) == 400
+    cut = loadtest.first_errors(results, "concurrency", "total_s", length=200)
+    assert len(cut.first()["first_error"]) == 200
     line = loadtest.report_lines(loadtest.benchmark_summary(results, walls), 0.72).first()["line"]
     assert line.startswith("| 4 | 1/1 | 0.1s |") and line.count("|") == loadtest.REPORT_HEADER.count("|")
 

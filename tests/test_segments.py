@@ -12,7 +12,7 @@ def sample(n, seed, keys="abc", hot="a"):
     rng = random.Random(seed)
     out = []
     for i in range(n):
-        key = hot if rng.random() < 0.6 else rng.choice(keys)
+        key = hot if rng.random() < 0.6 else rng.choice([*keys, None])
         out.append((key, T0 + timedelta(seconds=rng.randrange(0, 40_000)), i, rng.randrange(5)))
     return out
 
@@ -29,7 +29,7 @@ def test_previous_row_over_chunks(spark, chunk):
         for r in with_previous(df, ["k"], "ts", ["v", "id"], ["id"], *chunk).collect()
     }
     want, last = {}, {}
-    for k, ts, i, v in sorted(data, key=lambda r: (r[0], r[1], r[2])):
+    for k, ts, i, v in sorted(data, key=lambda r: (r[0] or "", r[1], r[2])):
         want[i] = last.get(k, (None, None))
         last[k] = (v, i)
     assert got == want
@@ -41,7 +41,7 @@ def test_row_numbers_over_chunks(spark, chunk):
     df = spark.createDataFrame(data, SCHEMA)
     got = {r["id"]: r["row"] for r in row_numbers(df, ["k"], "ts", ["id"], "row", *chunk).collect()}
     want, count = {}, {}
-    for k, ts, i, v in sorted(data, key=lambda r: (r[0], r[1], r[2])):
+    for k, ts, i, v in sorted(data, key=lambda r: (r[0] or "", r[1], r[2])):
         count[k] = want[i] = count.get(k, 0) + 1
     assert got == want
 
@@ -54,11 +54,23 @@ def test_latest_before_over_chunks(spark, chunk):
     found = latest_before(rdf, fdf, ["k"], "ts", "fts", ["fid"], *chunk).collect()
     assert len(found) == len(asked)
     for r in found:
-        past = [f for f in facts if f[0] == r["k"] and f[1] <= r["ts"]]
+        past = [f for f in facts if f[0] and f[0] == r["k"] and f[1] <= r["ts"]]
         want = max(past, key=lambda f: (f[1], f[2]))[2] if past else None
         assert (r["fact"]["fid"] if r["fact"] else None) == want
 
 
+@pytest.mark.parametrize("chunk", [(20, 5), (10**6, 10**6)])
+def test_a_hot_null_key_loses_no_row(spark, chunk):
+    data = [(None if i % 2 else "a", T0 + timedelta(seconds=i), i, i) for i in range(100)]
+    df = spark.createDataFrame(data, SCHEMA)
+    numbered = row_numbers(df, ["k"], "ts", ["id"], "row", *chunk).collect()
+    assert sorted((r["k"] or "", r["row"]) for r in numbered) == sorted(
+        (k, n) for k in ("", "a") for n in range(1, 51)
+    )
+    before = {r["id"]: r["prev_id"] for r in with_previous(df, ["k"], "ts", ["id"], ["id"], *chunk).collect()}
+    assert before == {i: i - 2 if i > 1 else None for i in range(100)}
+
+
 def test_no_window_over_a_whole_key_of_raw_rows(spark):
     """With a hot key, windows over raw rows are partitioned by chunk as well."""
     df = spark.createDataFrame(sample(100, 5), SCHEMA)
