@@ -137,6 +137,12 @@ def _rank_whole_groups(
     )
 
 
+def _large_rows(state: DataFrame, limit: int) -> int:
+    """Rows in the brackets that are still to be cut down."""
+    large = (F.col("_inside") > limit) & (F.col("_lo") < F.col("_hi"))
+    return state.filter(large).agg(F.coalesce(F.sum("_inside"), F.lit(0))).first()[0]
+
+
 def _rank_brackets(
     rows: DataFrame,
     sizes: DataFrame,
@@ -163,9 +169,12 @@ def _rank_brackets(
         ),
         "quantile-groups",
     )
-    # Each round cuts a bracket to a few of ``grid`` parts, so that this ends.
-    while not state.filter((F.col("_inside") > limit) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+    # Until no bracket is large, or the large ones are down to a few heavily repeated values.
+    left, before = _large_rows(state, limit), math.inf
+    while 0 < left < before:
+        before = left
         state = materialise(_narrow(rows, state, keys, wanted, limit, grid), "quantile-state")
+        left = _large_rows(state, limit)
     by_value = W.partitionBy(*bracket).orderBy("_v")
     ranked = (
         join_on_keys(rows, state.select(*bracket), keys)
