@@ -230,14 +230,15 @@ def near_duplicates(
     found = classes.join(group, classes["id"] == group["node"], "left").select(
         *digest, F.coalesce("component", "id").alias("component")
     )
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return (
         sketched.select("id", *digest)
         .join(found, digest, "left")
         .select(
             F.col("id").alias(id_column),
             "n_shingles",
-            F.coalesce("component", "id").alias("component_id"),
-            F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
+            component.alias("component_id"),
+            F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
         )
     )
 
