@@ -164,7 +164,7 @@ def metric_verdicts(taken: DataFrame, run: Sequence[str]) -> DataFrame:
 
 
 def run_verdicts(verdicts: DataFrame, run: Sequence[str], champion: Column | None = None) -> DataFrame:
-    """Per run: phase, first failing metric's message and the recommended action.
+    """Per run: phase, the message of the failing metric that is first by name, and the action.
 
     ``champion`` is an aggregate over the run that tells where to roll back to.
     """

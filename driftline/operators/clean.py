@@ -82,19 +82,21 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return best.select("feature", F.col("b.value").alias("mode"), (-F.col("b.n")).alias("n"))
 
 
-def impute(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
+def impute(
+    df: DataFrame, columns: Sequence[str] | None = None, with_nulls: Sequence[str] | None = None
+) -> tuple[DataFrame, list[str]]:
     """Fills nulls: numbers with the median, everything else with the mode.
 
     Returns the table and the filled columns. A number column with nulls
-    becomes double, since a median may fall between two values.
+    becomes double, since a median may fall between two values. ``with_nulls``
+    names the columns that have nulls, where that is known already.
     """
     names = list(columns) if columns is not None else df.columns
     if not names:
         return df, []
-    with_nulls = [
-        r["column"]
-        for r in null_profile(df.select(*names)).filter((F.col("nulls") > 0)).collect()
-    ]
+    if with_nulls is None:
+        profile = null_profile(df.select(*names)).filter(F.col("nulls") > 0)
+        with_nulls = [r["column"] for r in profile.collect()]  # one row per column
     numeric = _numeric(df, with_nulls)
     other = [c for c in with_nulls if c not in numeric]
     fill: dict[str, Column] = {}
@@ -166,7 +168,8 @@ def clean(
     if original == 0:
         raise EmptyDataError("the input has no rows")
     dropped = [r["column"] for r in profile if r["share"] > null_threshold]
-    filled, imputed = impute(df.drop(*dropped))
+    with_nulls = [r["column"] for r in profile if r["nulls"] > 0 and r["column"] not in dropped]
+    filled, imputed = impute(df.drop(*dropped), with_nulls=with_nulls)
     removed, rows = 0, original
     if drop_rows and filled.columns:
         filled = drop_null_rows(filled)

@@ -27,7 +27,7 @@ SPLIT_COLUMN = "is_train"
 
 _SCALED = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 _HASH_BITS = 60
-_SPLIT_BUCKET_BITS = 12
+_SPLIT_ROWS = 1_000_000  # rows ranked by one task, at most 2**20 counts per class
 _FEW_CLASSES = 10_000  # so many (class, limit) rows are broadcast
 
 
@@ -75,17 +75,19 @@ def cardinality_filter(
 # --- split --------------------------------------------------------------------
 
 
-def _smallest_hashes(df: DataFrame, group: str, share: float, few: bool) -> DataFrame:
+def _smallest_hashes(df: DataFrame, group: str, share: float, few: bool, rows: int) -> DataFrame:
     """``(group, limit)``: the ceil(share*n)-th smallest hash of every group.
 
     A histogram over the leading hash bits finds the bucket that holds it; only
     the rows of that bucket are ranked. With ``few`` groups the wanted buckets
     (one row per group) are broadcast instead of shuffling all rows.
     """
-    shift = _HASH_BITS - _SPLIT_BUCKET_BITS
+    # The more rows, the more bits, so that a bucket stays about as large.
+    bits = min(20, max(12, math.ceil(math.log2(rows / _SPLIT_ROWS)))) if rows else 12
+    shift = _HASH_BITS - bits
     hashed = df.select(group, "_h", F.shiftright("_h", shift).alias("_b"))
     per_bucket = hashed.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    whole = W.partitionBy(group)  # at most 2**_SPLIT_BUCKET_BITS rows per group
+    whole = W.partitionBy(group)  # at most 2**bits rows per group
     wanted = (
         per_bucket.withColumn("_n", F.sum("_c").over(whole))
         .withColumn("_end", F.sum("_c").over(whole.orderBy("_b")))
@@ -128,7 +130,7 @@ def stratified_split(
         hashed = df.withColumn("_h", stable_hash(identity, seed))
         # One global group: its limit is a single number.
         group = hashed.select(F.lit("all").alias("_class"), "_h")
-        limit = _smallest_hashes(group, "_class", test_size, True).first()
+        limit = _smallest_hashes(group, "_class", test_size, True, total).first()
         bound = limit["_limit"] if limit else -1
         return hashed.withColumn(
             SPLIT_COLUMN, F.when(F.col("_h") > bound, 1).otherwise(0)
@@ -137,7 +139,7 @@ def stratified_split(
     hashed = df.withColumn("_h", stable_hash(identity, seed)).withColumn("_class", klass)
     # One row per class; kept, because later steps read the split several times.
     few = shape["classes"] <= _FEW_CLASSES
-    limits = _smallest_hashes(hashed, "_class", test_size, few)
+    limits = _smallest_hashes(hashed, "_class", test_size, few, total)
     if few:
         known = df.sparkSession.createDataFrame(limits.collect(), limits.schema)
         side = F.broadcast(known)

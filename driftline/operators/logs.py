@@ -135,6 +135,6 @@ def run_status(
 
 
 def metric_trend(runs: DataFrame, metric: str, ts: str = "ts") -> DataFrame:
-    """A metric of every run over time."""
+    """A metric of every run with its time, in no particular order."""
     value = F.element_at("metrics", metric)
-    return runs.filter(value.isNotNull()).select("model", "run_id", ts, value.alias(metric)).orderBy(ts)
+    return runs.filter(value.isNotNull()).select("model", "run_id", ts, value.alias(metric))

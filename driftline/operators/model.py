@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from driftline.errors import MissingColumnError, TrainingError
 from driftline.functions.order_stats import FLOOR_INDEX, exact_quantiles
-from driftline.functions.scalars import ratio, stable_hash
+from driftline.functions.scalars import join_on_keys, ratio, stable_hash
 from driftline.operators.features import SEED, SPLIT_COLUMN, TEST_SIZE, stratified_split
 from driftline.session import materialise
 
@@ -46,9 +47,29 @@ def use_upstream_split(
     )
 
 
-def fold_of(key: Column, folds: int = FOLDS, seed: int = SEED) -> Column:
-    """Fold number from the row's key: nearly equal shares of every class, no shuffle."""
-    return F.pmod(stable_hash(key, seed), F.lit(folds)).cast("int")
+FOLD_ROWS = 200_000  # rows ranked by one task
+
+
+def stratified_folds(
+    df: DataFrame, target: str, key: str, folds: int = FOLDS, seed: int = SEED, fold_rows: int = FOLD_ROWS
+) -> DataFrame:
+    """Adds ``_fold``: the rows of a class, in hash order, go to the folds in turn.
+
+    A class has at most one row more in a fold than in another. Ranges of the
+    hash are ranked each for itself and begin where the ranges before them end,
+    so that a class with most of the rows is many tasks.
+    """
+    hashed = df.withColumn("_h", stable_hash(F.col(key), seed))
+    ranges = max(1, math.ceil(hashed.count() / fold_rows))
+    hashed = hashed.withColumn("_r", F.floor(F.col("_h") / 2.0**60 * ranges))
+    sizes = hashed.groupBy(target, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(target).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(target, "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(target, "_r").orderBy("_h")
+    ranked = hashed.withColumn("_row", F.row_number().over(inside) - 1)
+    placed = join_on_keys(ranked, starts, [target, "_r"])
+    fold = F.pmod(F.col("_row") + F.col("_before"), F.lit(folds)).cast("int")
+    return placed.withColumn("_fold", fold).drop("_h", "_r", "_row", "_before")
 
 
 # --- forest -------------------------------------------------------------------
@@ -125,9 +146,11 @@ def cross_validate(
     folds: int = FOLDS,
     **forest: int,
 ) -> DataFrame:
-    """``(fold, accuracy)`` on train rows only; one model per fold."""
+    """``(fold, accuracy)`` on train rows only; one model per fold, none with fewer rows than folds."""
     # Written once: every fit reads it several times.
-    marked = materialise(train.withColumn("_fold", fold_of(F.col(key), folds)), "folds")
+    marked = materialise(stratified_folds(train, target, key, folds), "folds")
+    if marked.count() < folds:
+        return train.sparkSession.createDataFrame([], "fold int, accuracy double")
     parts = []
     for fold in range(folds):  # as many fits as folds, each one distributed
         model = train_forest(marked.filter(F.col("_fold") != fold), features, target, **forest)
@@ -161,7 +184,8 @@ def grid_search(
 ) -> tuple[CrossValidatorModel, DataFrame]:
     """Cross-validated accuracy of every grid point; the best one is fitted on all train rows."""
     indexed, labels = _indexed(train, target)
-    indexed = indexed.withColumn("_fold", fold_of(F.col(key), folds))
+    # Written once: every fit reads it several times.
+    indexed = materialise(stratified_folds(indexed, target, key, folds), "grid-folds")
     pipeline = forest_pipeline(features, target, labels, seed=seed)
     forest = next(s for s in pipeline.getStages() if isinstance(s, RandomForestClassifier))
     builder = ParamGridBuilder()

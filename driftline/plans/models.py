@@ -10,7 +10,7 @@ from driftline.functions.scalars import align_down
 from driftline.operators import features, model
 from driftline.plans.registry import at_edge, query, table
 
-TREES, DEPTH = 20, 5
+TREES, DEPTH = model.TREES, model.DEPTH
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,10 +57,22 @@ def forest_quality(spark: SparkSession, sf: str) -> DataFrame:
     return at_edge(model.evaluate(scored, "label"))
 
 
+@query(
+    "fold_sizes",
+    """WITH h AS (SELECT vec_id, label, ('0x' || substr(sha256(vec_id::VARCHAR || '|42'), 1, 15))::BIGINT AS h FROM embeddings),
+    f AS (SELECT label, ((row_number() OVER (PARTITION BY label ORDER BY h) - 1) % 5)::INT AS fold FROM h)
+    SELECT label, fold, count(*) AS rows FROM f GROUP BY 1, 2""",
+)
+def fold_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of every class in every fold."""
+    folds = model.stratified_folds(vectors(spark, sf), "label", "vec_id")
+    return folds.groupBy("label", F.col("_fold").alias("fold")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("cv_scores")
 def cv_scores(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _split(spark, sf)
-    return model.cross_validate(train, "vector", "label", "vec_id", trees=TREES, depth=DEPTH)
+    return model.cross_validate(train, "vector", "label", "vec_id")
 
 
 @query("grid_search")
@@ -88,7 +100,7 @@ def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
 @query("cv_summary")
 def cv_summary(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _split(spark, sf)
-    folds = model.cross_validate(train, "vector", "label", "vec_id", trees=5, depth=DEPTH)
+    folds = model.cross_validate(train, "vector", "label", "vec_id")
     return model.cross_validation_summary(folds)
 
 
