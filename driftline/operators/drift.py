@@ -66,6 +66,10 @@ class DriftConfig:
     max_ranges: int = 65_536
 
 
+# Ranges (six numbers each) that are broadcast when values are read again.
+BROADCAST_RANGES = 100_000
+
+
 def is_numeric(field: T.StructField) -> bool:
     """Drift's notion of numeric: any number, booleans included."""
     return isinstance(field.dataType, _NUMERIC)
@@ -399,10 +403,10 @@ def numeric_drift(
     reread = {r["id"] for r in edges.filter("open").select("id").distinct().collect()}
     if reread:
         chosen = [f for f in features if f.id in reread]
-        # At most columns * max_ranges rows.
-        open_ranges = F.broadcast(
-            edges.filter("open").select("id", "r", "n_ref", "n_cur", "s_ref", "s_cur")
-        )
+        # At most columns * max_ranges rows; beyond BROADCAST_RANGES the joins shuffle.
+        open_ranges = edges.filter("open").select("id", "r", "n_ref", "n_cur", "s_ref", "s_cur")
+        if open_ranges.count() <= BROADCAST_RANGES:
+            open_ranges = F.broadcast(open_ranges)
         by_value = W.partitionBy("id", "r").orderBy("value")
         inside = (
             _ranged(wide, chosen, cuts, config.n_bins)
