@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from driftline.plans import load_all
 from tests.conftest import SMALL
 from tests.oracle_check import compare, connect
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load_all()
 
 
 @pytest.fixture(scope="module")
@@ -24,5 +25,10 @@ def test_sql_belongs_to_queries():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_entry_holds_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 6
