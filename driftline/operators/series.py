@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-from driftline.functions.scalars import matches, ratio
+from driftline.functions.scalars import join_on_keys, matches, ratio
 from driftline.functions.segments import with_previous
 from driftline.session import materialise
 
@@ -40,17 +40,24 @@ def buckets(
     )
 
 
-def dense(df: DataFrame, labels: Sequence[str], step_seconds: int) -> DataFrame:
-    """Adds the missing steps of every series between the first and last step of the table.
+def dense(
+    df: DataFrame, labels: Sequence[str], step_seconds: int, after_seconds: int | None = None
+) -> DataFrame:
+    """Adds the missing steps of every series between the table's first and last step.
 
-    Reads ``df`` several times; give it a recorded series, not a query over raw rows.
+    With ``after_seconds`` (the longest window over the series) a series begins
+    with its own first step and ends so long after its own last one, so that a
+    short-lived series takes no rows in which no window can see it. Reads ``df``
+    several times; give it a recorded series, not a query over raw rows.
     """
     step = F.expr(f"INTERVAL {step_seconds} SECOND")
     first, last = df.agg(F.min("ts")).scalar(), df.agg(F.max("ts")).scalar()
-    grid = df.select(*labels).distinct().select(
-        *labels, F.explode(F.sequence(first, last, step)).alias("ts")
-    )
-    return grid.join(df, [*labels, "ts"], "left")
+    if after_seconds is not None:
+        first = F.col("_first")
+        last = F.least(last, F.col("_last") + F.expr(f"INTERVAL {after_seconds} SECOND"))
+    spans = df.groupBy(*labels).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    grid = spans.select(*labels, F.explode(F.sequence(first, last, step)).alias("ts"))
+    return join_on_keys(grid, df, [*labels, "ts"], "left")
 
 
 def trailing(labels: Sequence[str], window_seconds: int, step_seconds: int) -> WindowSpec:

@@ -81,7 +81,8 @@ def error_ratios(
     and quiet steps weigh the same; steps without requests have no ratio. All
     windows share one sort.
     """
-    full = dense(record(counted, "requests"), labels, step)
+    seen = max(period, *windows.values())
+    full = dense(record(counted, "requests"), labels, step, seen)
     shortest = min(windows, key=windows.get)
     sums = {}
     for name, seconds in windows.items():

@@ -378,8 +378,8 @@ def average_over_time(spark: SparkSession, sf: str) -> DataFrame:
 _SLO_BASE = f"""{REQ},
 b AS (SELECT service, {be(slo.STEP)} AS ts, count(*) FILTER (status = '500') AS bad, count(*) AS total
       FROM req GROUP BY 1, 2),
-grid AS (SELECT service, unnest(generate_series((SELECT min(ts) FROM b), (SELECT max(ts) FROM b), INTERVAL 5 MINUTES)) AS ts
-         FROM (SELECT DISTINCT service FROM b)),
+spans AS (SELECT service, min(ts) AS lo, least((SELECT max(ts) FROM b), max(ts) + INTERVAL 30 DAYS) AS hi FROM b GROUP BY 1),
+grid AS (SELECT service, unnest(generate_series(lo, hi, INTERVAL 5 MINUTES)) AS ts FROM spans),
 f AS (SELECT service, ts, bad, total FROM grid LEFT JOIN b USING (service, ts)),
 r AS (SELECT service, ts, {', '.join(f"sum(bad) OVER {over(w, slo.STEP)} / nullif(sum(total) OVER {over(w, slo.STEP)}, 0) AS ratio_{n}" for n, w in slo.WINDOWS.items())} FROM f),
 rr AS (SELECT *, avg(ratio_5m) OVER {over(slo.PERIOD, slo.STEP)} AS ratio_period FROM r)"""

@@ -67,8 +67,9 @@ def compare(spark, con, folder, build, sql):
     if left[0] != right[0]:
         return f"columns {left[0]} vs {right[0]}", len(got), took, sql_took
     if left[1] != right[1]:
-        only_left = [r for r in left[1] if r not in set(right[1])][:3]
-        only_right = [r for r in right[1] if r not in set(left[1])][:3]
+        in_left, in_right = set(left[1]), set(right[1])
+        only_left = [r for r in left[1] if r not in in_right][:3]
+        only_right = [r for r in right[1] if r not in in_left][:3]
         return (
             f"{len(left[1])} vs {len(right[1])} rows\n  columns {left[0]}"
             f"\n  spark {only_left}\n  sql   {only_right}",

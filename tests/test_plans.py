@@ -5,10 +5,10 @@ import sys
 
 import pytest
 
-import __spark_entry__ as entry
+from driftline.plans import load_all
 from tests.conftest import SMALL
 
-QUERIES = entry.queries()
+QUERIES = load_all()[0]
 
 # Queries whose plan is a read of what a stream or job wrote.
 PLANNED = sorted(n for n in QUERIES if not n.startswith(("stream_", "cv_", "grid_", "forest_", "dash_")))
