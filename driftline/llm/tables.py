@@ -77,3 +77,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = after.select("node", "component")
         if after.filter("before <> component").isEmpty():
             return labels
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """The ``rows`` rows whose keys have the smallest hashes, ``total`` being about all there are.
+
+    A share of the hashes that holds some four times as many rows is cut off
+    first, so that what is sorted stays as small as the sample.
+    """
+    share = min(1.0, (4 * rows + 100) / max(total, 1))
+    hashed = F.xxhash64(key)
+    near = df if share >= 1 else df.filter(F.pmod(hashed, F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    return near.orderBy(hashed, key).limit(rows)

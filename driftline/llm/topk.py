@@ -23,7 +23,7 @@ K = 20
 SHARD_ROWS = 4096
 QUERY_ROWS = 1024
 #: Query tiles are sent to at most this many groups of shards.
-GROUPS = 64
+GROUPS = 1024
 FAN_IN = 16
 #: Larger components (after scaling) take no part: doubles do not hold them exactly.
 LARGEST = 2**53
@@ -129,7 +129,9 @@ def top_k(
     """
     slim = [F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector")]
     shards = write(_tiles(vectors.select(*slim), shard_rows, scale), "shards")
-    asked = write(_tiles(queries.select(*slim).coalesce(8), query_rows, scale), "queries")
+    # Dealt anew, so that few queries among many rows still make full tiles.
+    asked = queries.select(*slim).repartition(max(1, -(-queries.count() // query_rows)))
+    asked = write(_tiles(asked, query_rows, scale), "queries")
     n_shards = shards.count()
     groups = max(1, min(GROUPS, n_shards))
     copies = asked.select(
