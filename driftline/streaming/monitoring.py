@@ -77,6 +77,11 @@ def _output(labels: Sequence[str], df: DataFrame, more: list[T.StructField]) ->
     return T.StructType([df.schema[c] for c in labels] + more)
 
 
+def _forget_at(state: GroupState, until: pd.Timestamp) -> None:
+    """Lets the state end once the watermark has passed ``until``."""
+    state.setTimeoutTimestamp(max(until.value // 1_000_000, state.getCurrentWatermarkMs()) + 1)
+
+
 def hold(
     stream: DataFrame,
     labels: Sequence[str],
@@ -84,11 +89,13 @@ def hold(
     for_seconds: int,
     step_seconds: int,
     ts: str = "ts",
+    late: str = LATENESS,
 ) -> DataFrame:
     """Streaming :func:`driftline.operators.series.hold`.
 
     Input: one row per (labels, evaluation instant), in order across
-    micro-batches. State: start and last instant of the current run.
+    micro-batches; rows behind the watermark are dropped. State: start and last
+    instant of the current run, forgotten when the watermark is past the run.
     """
     labels = list(labels)
     output = _output(
@@ -105,6 +112,9 @@ def hold(
     def run(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # a later row starts a new run anyway
+            state.remove()
+            return
         times = sorted(t for b in batches for t in b[ts])
         since_us, last_us = state.get if state.exists else (None, None)
         since = None if since_us is None else pd.Timestamp(since_us, unit="us")
@@ -117,22 +127,28 @@ def hold(
             rows.append((*key, now, since, "firing" if now - since >= wanted else "pending"))
         if rows:
             state.update((since.value // 1000, last.value // 1000))
+            _forget_at(state, last + step)
             yield pd.DataFrame(rows, columns=output.names)
 
     return (
-        stream.filter(condition)
+        stream.withWatermark(ts, late)
+        .filter(condition)
         .select(*labels, ts)
         .groupBy(*labels)
         .applyInPandasWithState(
-            run, output, "since long, last long", "append", GroupStateTimeout.NoTimeout
+            run, output, "since long, last long", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
 
 def throttle(
-    stream: DataFrame, by: Sequence[str], repeat_seconds: int, ts: str = "ts"
+    stream: DataFrame, by: Sequence[str], repeat_seconds: int, ts: str = "ts", late: str = LATENESS
 ) -> DataFrame:
-    """The first alert of a group, and then one whenever ``repeat_seconds`` have passed since the last."""
+    """The first alert of a group, and then one whenever ``repeat_seconds`` have passed since the last.
+
+    Rows behind the watermark are dropped; a group is forgotten when the
+    watermark is so far past its last alert that the next one is sent anyway.
+    """
     by = list(by)
     output = _output(by, stream, [T.StructField(ts, T.TimestampType())])
     wait = pd.Timedelta(seconds=repeat_seconds)
@@ -140,6 +156,9 @@ def throttle(
     def run(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = sorted(t for b in batches for t in b[ts])
         sent = pd.Timestamp(state.get[0], unit="us") if state.exists else None
         rows = []
@@ -149,12 +168,16 @@ def throttle(
                 rows.append((*key, now))
         if rows:
             state.update((sent.value // 1000,))
+        if sent is not None:
+            _forget_at(state, sent + wait)
+        if rows:
             yield pd.DataFrame(rows, columns=output.names)
 
     return (
-        stream.select(*by, ts)
+        stream.withWatermark(ts, late)
+        .select(*by, ts)
         .groupBy(*by)
-        .applyInPandasWithState(run, output, "sent long", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(run, output, "sent long", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
