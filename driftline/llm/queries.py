@@ -208,12 +208,8 @@ WHERE o.which = 'own'
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    learned = (
-        docs.filter(_doc_number() % 3 != 1)
-        .join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
-        .select(F.col("doc_id").alias("id"), "text", "lang", "label")
-    )
-    scored = toxicity.score(docs, toxicity.train(learned))
+    learned = labels.filter(_doc_number() % 3 != 1)
+    scored = toxicity.score(docs, toxicity.train(docs, learned, label_column="toxic"))
     return scored.select(
         "doc_id", (_doc_number() % 3 == 1).alias("held_out"), "score", "predicted", "threshold", "flagged"
     )

@@ -119,7 +119,7 @@ def test_class_probabilities_sum_to_one():
 
 def test_scores_of_no_rows(spark, nothing):
     assert hmm.score(nothing, F.lit(True)).count() == 0
-    network = toxicity.train(nothing.select("id", "text", "lang", F.lit(0).alias("label")))
+    network = toxicity.train(nothing, nothing.select("doc_id", F.lit(0).alias("label")))
     assert toxicity.score(nothing, network).count() == 0
 
 
@@ -140,7 +140,8 @@ def test_toxicity_of_texts_without_words(spark, text):
     rng = random.Random(6)
     rows = [(i, " ".join(f"w{chr(97 + rng.randrange(26))}" for _ in range(20)) + (" vile" if i % 4 == 0 else ""),
              "en", int(i % 4 == 0)) for i in range(200)]
-    network = toxicity.train(spark.createDataFrame(rows, "id long, text string, lang string, label int"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, label int")
+    network = toxicity.train(docs.drop("label"), docs.select("doc_id", "label"))
     asked = frame(spark, [(1, text, None, None), (2, "so VILE!", "en", None), (3, "wa wb", "en", None)])
     found = {r["doc_id"]: r["score"] for r in toxicity.score(asked, network).collect()}
     assert found[2] > 0.7 > found[3] and abs(found[1] - found[3]) < 0.3
