@@ -49,9 +49,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
     groups = minhash.near_duplicates(docs)
-    dropped = groups.filter("not kept").select("doc_id").distinct()
-    unique = docs.dropDuplicates(["doc_id", "text"])
-    return _columns(unique.join(dropped, "doc_id", "left_anti"))
+    # Written, so that Spark knows their sizes and deals out the texts only if it must.
+    dropped = write(groups.filter("not kept").select("doc_id").distinct(), "dropped")
+    repeated = write(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    return _columns(kept)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

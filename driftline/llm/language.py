@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.tables import write
-from driftline.llm.words import mix, text_slices
+from driftline.llm.words import PIECE, mix, text_slices
 
 BINS = 1 << 15
 EFFECTIVE = 100
@@ -108,7 +108,7 @@ def text_evidence(rows: DataFrame, model: TextModel, carried: list[str]) -> Data
     def work(batches):
         table = shared.value
         for batch in batches:
-            for part, buffer, offsets in text_slices(batch):
+            for part, buffer, offsets in text_slices(batch, limit=PIECE):
                 n = np.maximum(np.diff(offsets) - 2, 0)
                 totals = np.zeros((part.num_rows, width))
                 if len(buffer) > 2:
@@ -178,7 +178,8 @@ def identify(
     shares = F.array(*[F.lit(float(x)) for x in whole / whole.sum()])
     joined = found
     for key in keys:
-        sums = _sums(found.filter(F.col(key).isNotNull()), key, width, f"{key}_sums")
+        # Written, so that Spark knows its size and need not deal out the texts for a few values.
+        sums = write(_sums(found.filter(F.col(key).isNotNull()), key, width, f"{key}_sums"), "sums")
         joined = joined.join(sums, joined[key] == sums[f"{key}_of_{key}_sums"], "left")
 
     def without_own(sums: str) -> Column:

@@ -27,9 +27,16 @@ def setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
+#: Rows handed to Python at once; whole documents are long rows, and executors hold several batches.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+
+
 def write(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder, rereads it and drops its shuffle files."""
-    with setting(df.sparkSession, CLEANUP, "true"):
+    spark = df.sparkSession
+    key, rows = BATCH_ROWS
+    fewer = str(min(rows, int(spark.conf.get(key, "10000")) or rows))
+    with setting(spark, CLEANUP, "true"), setting(spark, key, fewer):
         return materialise(df, label)
 
 

@@ -109,7 +109,7 @@ def find_words(buffer: np.ndarray, offsets: np.ndarray, lower: bool, letters: bo
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets), buffer)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 * PIECE):
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 * PIECE):
     """Cuts a batch into slices of about ``limit`` bytes of text, whole rows each.
 
     Yields (slice, bytes of its texts, offsets); a null text is an empty one.
