@@ -135,7 +135,9 @@ def duplicate_windows(
     copies = classed.filter("id <> source_id").select("id", "source_id").distinct()
     originals = classed.filter("id = source_id")
     listed = originals.select("id", F.explode("blocks").alias("block"))
-    repeated = listed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("block")
+    # Written, so that a very common block's rows can be split among tasks by the join.
+    repeated = listed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = write(repeated.select("block"), "repeated")
     matched = write(
         listed.distinct().join(repeated, "block").groupBy("id").agg(F.collect_list("block").alias("blocks")),
         "matched",
@@ -147,7 +149,7 @@ def duplicate_windows(
         .filter("n > 1")
         .select("window", F.col("source.id").alias("source_id"), F.col("source.start").alias("source_start"))
     )
-    later = windows.join(references, "window").filter(
+    later = windows.join(write(references, "references"), "window").filter(
         (F.col("id") != F.col("source_id")) | (F.col("start") != F.col("source_start"))
     )
     return copies, later.select("id", "start", "source_id", "source_start")
