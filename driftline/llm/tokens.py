@@ -5,12 +5,14 @@ with at most one blank before it. A text is therefore cut into words (with that
 blank) and the white space between them; each distinct word of a batch is
 encoded once, and texts are put together from the parts. Encoded words are kept
 for the following batches. Texts with rarer white space than blank and
-``\\x09``-``\\x0D`` are encoded as a whole.
+``\\x09``-``\\x0D``, and texts that spell an added token of the vocabulary (it
+becomes its one id), are encoded as a whole.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 
@@ -44,9 +46,13 @@ class Tokenizer:
             for line in lines:
                 piece, rank = line.split()
                 ranks[base64.b64decode(piece)] = int(rank)
+        with open(path, encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
         self._bpe = tiktoken.Encoding(
-            "public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added
         )
+        whole = [_RARE_SPACE.pattern, *(re.escape(t.encode()) for t in added)]
+        self._whole = re.compile(b"|".join(whole))
         self._bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         self._bytes[list(ranks.values())] = list(map(len, ranks))
         self._forget()
@@ -59,7 +65,7 @@ class Tokenizer:
         self._spaces: dict[bytes, int] = {}
 
     def encode(self, text: str) -> list[int]:
-        return self._bpe.encode_ordinary(text)
+        return self._bpe.encode(text, allowed_special="all")
 
     def _remember(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Encodes and stores the words ``buffer[start:end]``; their numbers.
@@ -150,7 +156,7 @@ class Tokenizer:
         sums = np.concatenate([[0], np.cumsum(sizes)])
         places = np.repeat(self._starts[parts] - sums[:-1], sizes) + np.arange(sums[-1])
         ids, bounds = self._ids[places], sums[np.concatenate([[0], np.cumsum(counts)])]
-        rare = {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in _RARE_SPACE.finditer(data)}
+        rare = {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in self._whole.finditer(data)}
         if not rare:
             return ids, bounds
         texts = [

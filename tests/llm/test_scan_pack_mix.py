@@ -90,6 +90,27 @@ def test_ids_are_the_tokenizers(odd_rows):
     assert encode(texts) == want
 
 
+def test_added_tokens_are_one_id(spark):
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(tokens.vocabulary_path())
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<|", "a", "The", " ", "  ", "\n", "\n\n", "é", "'s", "　"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x <|endof", "text|> y"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(4000)]
+    want = [e.ids for e in known.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275] and encode(texts) == want
+    long = "one <|endoftext|>two " * 900
+    docs = spark.createDataFrame(list(enumerate([*texts[:200], long])), "doc_id long, text string")
+    seen = 0
+    for r in packing.pack(docs).collect():
+        ids = [*known.encode([*texts[:200], long][r["doc_id"]], add_special_tokens=False).ids, packing.END_ID]
+        piece = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(piece.tobytes())
+        seen += r["length"]
+    assert seen == sum(len(e) + 1 for e in want[:200]) + len(known.encode(long, add_special_tokens=False).ids) + 1
+
+
 def check_packing(rows, texts):
     """Every id in exactly one piece, no gap in a sequence, digests right."""
     words = tokens.tokenizer(tokens.vocabulary_path())
