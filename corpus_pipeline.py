@@ -7,8 +7,9 @@ characters follows its text.
 
 1. language ID: drops documents without a recognised language; ``lang`` becomes
    the recognised one.
-2. MinHash near-dedup: one document of each group of near copies stays, the one
-   with the smallest id; of rows that repeat an id and a text, one.
+2. MinHash near-dedup: one document of each group of near copies (0.8 or more of
+   their five-word shingles shared) stays, the one with the smallest id; of rows
+   that repeat an id and a text, one.
 3. secret scans: spans of secrets become ``[SECRET]``; no document is dropped.
 4. mixing: every source's words come to its target. A document that is taken
    more than once is there as often; the one at the cut ends after the last
@@ -30,6 +31,8 @@ from driftline.llm.tables import documents, write
 from driftline.llm.words import find_words, text_slices
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Per cent of shared shingles from which documents are near copies; at 0.80 these bands miss a pair with 1.3e-7.
+NEAR, NEAR_BANDS = 80, 40
 
 
 def _columns(df: DataFrame, text: str = "text") -> DataFrame:
@@ -48,7 +51,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
-    groups = minhash.near_duplicates(docs)
+    groups = minhash.near_duplicates(docs, threshold=NEAR, bands=NEAR_BANDS)
     # Written, so that Spark knows their sizes and deals out the texts only if it must.
     dropped = write(groups.filter("not kept").select("doc_id").distinct(), "dropped")
     repeated = write(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")

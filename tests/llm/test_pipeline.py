@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from driftline.llm import queries
 from driftline.llm.tables import documents, write
-from tests.llm.test_dedup import brute_components
+from tests.llm.test_dedup import brute_components, shingles
 from tests.llm.test_scan_pack_mix import brute_targets, check_packing
 from tests.oracle_check import compare, connect
 
@@ -38,6 +38,24 @@ def test_stages(spark):
     check_packing(packed, {})
 
 
+def test_near_copies_from_four_fifths_on(spark):
+    """Copies that end in ``own`` words of their own share (n - own) of (n + own) shingles."""
+    rows, want = [], set()
+    for i, (n, own) in enumerate([(90, 10), (96, 10), (96, 9), (96, 8), (96, 11), (89, 10)] * 10):
+        words = [f"d{i}w{j}" for j in range(n + 4)]
+        copy = words[:-own] + [f"d{i}v{j}" for j in range(own)]
+        rows += [(2 * i, " ".join(words), "en", "a", 0), (2 * i + 1, " ".join(copy), "en", "a", 0)]
+        want |= {2 * i} if 5 * (n - own) >= 4 * (n + own) else {2 * i, 2 * i + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, FOLDER)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+    # The given documents: every pair from 0.80 on is linked, so no two that stay are as similar.
+    given = documents(spark, FOLDER)
+    kept = [shingles(r["text"]) for r in corpus_pipeline.drop_near_copies(spark, given, FOLDER).collect()]
+    assert 0 < len(kept) < given.count()
+    assert not any(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(kept) for b in kept[:i] if a and b)
+
+
 def test_odd_rows_pass_through(spark, odd, nothing):
     for docs in (odd, nothing):
         rows = docs.select(*corpus_pipeline.COLUMNS)
