@@ -82,11 +82,9 @@ def _first_words(texts: pa.Array, counts: pa.Array) -> pa.Array:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats, cuts and drops documents so that every source meets its target."""
-    taken = mixing.mix(docs).filter("taken > 0").select(
-        F.col("doc_id").alias("id"), "text_hash", "size", "taken"
-    )
-    rows = docs.withColumn("hash", F.xxhash64("text"))
-    joined = rows.join(taken.dropDuplicates(["id", "text_hash"]), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")))
+    # The row goes with its decision: equal rows are taken differently at the cut and across sources.
+    rows = docs.select(F.struct(*COLUMNS).alias("row"), "doc_id", "text", "source")
+    joined = mixing.mix(rows, carry="row").filter("taken > 0").select("row.*", "size", "taken")
     copies = F.floor(F.col("taken") / F.col("size")).cast("int")
     rest = (F.col("taken") % F.col("size")).cast("int")
     whole = joined.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))

@@ -81,21 +81,27 @@ def mix(
     most: float = MOST,
     seed: str = SEED,
     range_rows: int = RANGE_ROWS,
+    carry: str | None = None,
 ) -> DataFrame:
-    """(id, text_hash, source, size, source_size, target, taken) per row of ``docs``.
+    """(id, text_hash, source, size, source_size, target, taken[, carry]) per row of ``docs``.
 
     ``taken`` counts words, repeats included: whole copies, and for the document
     at the cut its first words. The sum per source is its target rounded down.
     Null texts and texts without words have the size 0 and are never taken; null
     sources form a source; rows that share an id are ordered by their text's
-    hash, and equal rows stand next to each other. An empty table gives an empty one.
+    hash, and equal rows stand next to each other. A column ``carry`` comes back
+    beside its own row's decision, so that equal rows need no join to tell them
+    apart; rows with equal texts are then ordered by its hash. An empty table gives
+    an empty one.
     """
+    carried = [carry] if carry else []
     slim = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.col(source_column).cast("string").alias("source"),
         word_count(F.col(text_column)).alias("size"),
         random_key(id_column, text_column, seed).alias("key"),
         F.xxhash64(text_column).alias("text_hash"),
+        *carried,
     )
     slim = write(slim, "sizes")
     sizes = slim.groupBy("source").agg(
@@ -124,7 +130,7 @@ def mix(
         F.col("range").alias("start_range"),
         F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("start"),
     )
-    order = ("key", "doc_id", "text_hash")
+    order = ["key", "doc_id", "text_hash", *map(F.xxhash64, carried)]
     inside = W.partitionBy("source", "range").orderBy(*order)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(before), F.lit(0)))
@@ -144,4 +150,5 @@ def mix(
         "source_size",
         "target",
         (whole * F.col("size") + again).cast("long").alias("taken"),
+        *carried,
     )

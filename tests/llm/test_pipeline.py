@@ -56,6 +56,24 @@ def test_near_copies_from_four_fifths_on(spark):
     assert not any(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(kept) for b in kept[:i] if a and b)
 
 
+def test_equal_rows_are_taken_each_for_itself(spark):
+    """Copies without id at the cut of one source and in another, and rows that repeat an id."""
+    text = "one two three four five"
+    rows = [(None, text, "en", s, len(text)) for s, n in (("a", 3000), ("b", 2001), ("c", 1000)) for _ in range(n)]
+    rows += [(7, text, lang, s, len(text)) for lang in ("en", "de") for s in ("a", "c")]
+    rows += [(100 + i, f"w{i} x y", "en", "b", 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs.repartition(4), FOLDER).collect()
+    before, after = {}, {}
+    for data, sums in ((rows, before), (mixed, after)):
+        for r in data:
+            sums[r[3]] = sums.get(r[3], 0) + len(r[1].split())
+    targets = brute_targets(before)
+    assert after == {s: int(t + 1e-6) for s, t in targets.items()}
+    again = corpus_pipeline.mix_sources(spark, docs.repartition(7), FOLDER).collect()
+    assert sorted(map(str, again)) == sorted(map(str, mixed))
+
+
 def test_odd_rows_pass_through(spark, odd, nothing):
     for docs in (odd, nothing):
         rows = docs.select(*corpus_pipeline.COLUMNS)
