@@ -3,14 +3,57 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from threading import Condition
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 BatchWriter = Callable[[DataFrame, int], None]
 
 
+class _LateRows(StreamingQueryListener):
+    """Adds up the dropped late rows of every run as its batches end: three values per run."""
+
+    def __init__(self) -> None:
+        self.changed = Condition()
+        self.dropped: dict[str, int] = {}
+        self.batch: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        with self.changed:
+            self.dropped[str(event.runId)] = 0
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        run = str(progress.runId)
+        with self.changed:
+            if run in self.dropped:
+                self.dropped[run] += sum(o.numRowsDroppedByWatermark for o in progress.stateOperators)
+                self.batch[run] = progress.batchId
+            self.changed.notify_all()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+
+_late_rows: WeakKeyDictionary[SparkSession, _LateRows] = WeakKeyDictionary()
+
+
+def count_late_rows(spark: SparkSession) -> None:
+    """Counts the dropped late rows of the session's queries that start from now on."""
+    if spark not in _late_rows:
+        _late_rows[spark] = listener = _LateRows()
+        spark.streams.addListener(listener)
+
+
 def start(
     df: DataFrame,
     writer: BatchWriter,
@@ -19,6 +62,7 @@ def start(
     interval: str | None = None,
 ) -> StreamingQuery:
     """Runs ``writer`` per micro-batch, every ``interval``; without one until the input is used up."""
+    count_late_rows(df.sparkSession)
     out = df.writeStream.outputMode(mode).foreachBatch(writer).option("checkpointLocation", checkpoint)
     out = out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)
     return out.start()
@@ -28,6 +72,7 @@ def start_table(
     df: DataFrame, path: str, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
     """Appends finished rows to a parquet table, exactly once."""
+    count_late_rows(df.sparkSession)
     out = df.writeStream.outputMode("append").format("parquet").option("path", path)
     out = out.option("checkpointLocation", checkpoint)
     out = out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)
@@ -81,10 +126,24 @@ def guarded(writer: BatchWriter, problems: str) -> BatchWriter:
     return write
 
 
-def dropped_late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark had passed them, over the recent progress."""
-    return sum(
-        operator.numRowsDroppedByWatermark
-        for progress in query.recentProgress
-        for operator in progress.stateOperators
-    )
+def dropped_late_rows(query: StreamingQuery, wait: float = 60.0) -> int:
+    """Rows that came after the watermark had passed them, in all batches of this run so far.
+
+    Counts queries of :func:`start` and :func:`start_table`, and those started
+    after :func:`count_late_rows`. Reports reach the count a moment after their
+    batch; one that is not there after ``wait`` seconds raises.
+    """
+    run = str(query.runId)
+    late = next((x for x in _late_rows.values() if run in x.dropped), None)
+    if late is None:
+        raise ValueError("call count_late_rows before the query starts")
+    latest = query.lastProgress
+    least = latest.batchId if latest else -1
+
+    def complete() -> bool:
+        return run in late.ended or (query.isActive and late.batch.get(run, -1) >= least)
+
+    with late.changed:
+        if not late.changed.wait_for(complete, wait):
+            raise TimeoutError("the reports of the last batches have not come")
+        return late.dropped[run]

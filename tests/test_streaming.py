@@ -167,3 +167,26 @@ def test_late_rows_are_counted(spark, tmp_path):
     query = tables.drain(tables.start(counted, tables.versioned(f"{path}/t"), f"{path}/c"))
     total = tables.newest(spark, f"{path}/t", ["service", "ts"]).agg(F.sum("total")).first()[0]
     assert total + tables.dropped_late_rows(query) == 3 and tables.dropped_late_rows(query) == 1
+
+
+@pytest.mark.parametrize("kind", ["batches", "table"])
+def test_late_rows_of_more_batches_than_reports_are_kept(spark, tmp_path, kind):
+    folder, path = str(tmp_path / "in"), str(tmp_path)
+    schema = "ts timestamp, service string, status string"
+    days = [T0 + timedelta(days=2), T0 + timedelta(days=3), T0, T0, T0] + [T0 + timedelta(days=4 + i) for i in range(4)]
+    for day in days:
+        spark.createDataFrame([(day, "s", "200")], schema).coalesce(1).write.mode("append").parquet(folder)
+    source = stream_source(spark, folder, spark.createDataFrame([], schema).schema, files_per_batch=1)
+    counted = monitoring.request_buckets(source, F.col("status") == "500", ["service"])
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        if kind == "table":
+            query = tables.start_table(counted, f"{path}/t", f"{path}/c")
+        else:
+            query = tables.start(counted, tables.versioned(f"{path}/t"), f"{path}/c")
+        tables.drain(query)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    kept = sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+    assert kept < 3 and len(query.recentProgress) <= 2
+    assert tables.dropped_late_rows(query) == 3
