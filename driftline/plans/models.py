@@ -78,8 +78,7 @@ def cv_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query("grid_search")
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _split(spark, sf)
-    grid = {"numTrees": (5, 10), "maxDepth": (3, 5)}
-    return model.grid_search(train, "vector", "label", "vec_id", grid, folds=3)[1]
+    return model.grid_search(train, "vector", "label", "vec_id")[1]
 
 
 @query("feature_importance")

@@ -139,3 +139,22 @@ def test_features_feed_the_model(spark, flowers):
     served = {r["id"]: r["prediction"] for r in model.batch_score(raw, fitted).collect()}
     for r in model.batch_score(held_out, fitted).collect():
         assert served[r["id"]] == r["prediction"]
+
+
+def test_registered_grid_search_is_the_whole_one(spark, monkeypatch):
+    import inspect
+
+    from driftline.plans import models
+
+    asked = {}
+    signature = inspect.signature(model.grid_search)
+
+    def noted(*args, **kwargs):
+        call = signature.bind(*args, **kwargs)
+        call.apply_defaults()
+        asked.update(call.arguments)
+        return None, None
+
+    monkeypatch.setattr(models.model, "grid_search", noted)
+    models.grid_search(spark, "/root/testdata/sf0.001")
+    assert asked["grid"] == {"numTrees": (50, 100, 200), "maxDepth": (5, 10, 20)} and asked["folds"] == 5
