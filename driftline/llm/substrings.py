@@ -1,4 +1,4 @@
-"""Passages that repeat: documents parsed against an index of all reference blocks.
+"""Passages that repeat: windows of documents joined to an index of all reference blocks.
 
 A window is ``width`` consecutive words of a document. A word is removed if a
 window that covers it also starts earlier (in a document with a smaller id, or
@@ -11,10 +11,10 @@ earlier in the same one); windows are judged on the input as it came.
    for its block. Blocks whose hash occurs once in the corpus match nothing.
 3. *References.* The windows of the other blocks are indexed by their hash; the
    first occurrence of each is its reference.
-4. *Factors.* A document is parsed from left to right into the longest runs that
-   go on word by word in one reference (relative Lempel-Ziv). The windows across
-   the boundary of two factors are checked against the index as well, so that a
-   change of the reference loses no word. Factors are the duplicate spans.
+4. *Factors.* A hash join with the references finds every repeated window; runs
+   of windows that go on word by word in one reference are then put together.
+   These factors are the duplicate spans. Nothing is extended against a
+   reference, so this is not a relative Lempel-Ziv parse.
 """
 
 from __future__ import annotations
