@@ -1,18 +1,21 @@
 """Order-dependent work on groups of any size.
 
 A window over a key puts all rows of the key into one task. That is fine for
-most keys. Keys with more than ``hot_rows`` rows are cut into time chunks of
-about ``chunk_rows`` rows; the last row of a chunk is carried into the key's
-next chunk as an extra row, so that every chunk can be worked on alone with the
-same result. Only one summary row per (key, chunk) ever meets the others of its
-key. Without hot keys there are no chunks.
+most keys. Keys with more than ``hot_rows`` rows are cut by row rank in their
+order into chunks of about ``chunk_rows`` rows; what a chunk needs from the
+earlier ones (a last row, a total) is carried to it, so that every chunk can be
+worked on alone with the same result. Only one summary row per (key, chunk) ever
+meets the others of its key. Without hot keys there are no chunks.
+
+Chunks are equal in rows, not in time: rows that crowd on one instant, or are
+equal altogether, are split like any others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,35 +26,36 @@ HOT_ROWS = 4_000_000
 CHUNK_ROWS = 250_000
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame | None:
-    """``(keys, _length)``: chunk length in microseconds of every hot key; None without any.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """``(keys, _rows)`` of every hot key; None without any.
 
     Written, so that its size is known to the joins that use it.
     """
-    us = F.unix_micros(ts)
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(us).alias("lo"), F.max(us).alias("hi")
-    )
-    length = (F.col("hi") - F.col("lo") + 1) * (F.lit(chunk_rows) / F.col("n"))
-    hot = materialise(
-        sizes.filter(F.col("n") > hot_rows).select(
-            *keys, F.greatest(length.cast("long"), F.lit(1)).alias("_length")
-        ),
-        "hot-keys",
-    )
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = materialise(sizes.filter(F.col("_rows") > hot_rows), "hot-keys")
     return None if hot.isEmpty() else hot
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], ts: str, hot: DataFrame) -> DataFrame:
-    """Adds ``_chunk``; keys that are not hot have a single one."""
-    chunk = F.floor(F.unix_micros(ts) / F.col("_length")).cast("long")
-    return (
-        join_on_keys(df, hot, keys, "left")
-        .withColumn("_chunk", F.coalesce(chunk, F.lit(0)))
-        .drop("_length")
+def _chunked(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame, chunk_rows: int
+) -> DataFrame:
+    """Adds ``_chunk``, ascending in a hot key's order; keys that are not hot have the chunk 0.
+
+    Only hot rows are dealt out by range. They are written before, so that the
+    place by which equal rows are told apart is the same when a task runs again,
+    and after, so that every reader sees the same chunks.
+    """
+    marked = join_on_keys(df, hot, keys, "left")
+    cold = marked.filter(F.col("_rows").isNull()).drop("_rows").withColumn("_chunk", F.lit(0))
+    crowded = materialise(marked.filter(F.col("_rows").isNotNull()).drop("_rows"), "hot-rows")
+    parts = max(2, -(-hot.agg(F.sum("_rows")).first()[0] // chunk_rows))
+    ranged = (
+        crowded.withColumn("_place", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *keys, *order, "_place")
+        .withColumn("_chunk", F.spark_partition_id() + 1)
+        .drop("_place")
     )
+    return cold.unionByName(materialise(ranged, "hot-chunks"))
 
 
 def with_previous(
@@ -65,11 +69,11 @@ def with_previous(
 ) -> DataFrame:
     """Adds ``prev_<v>``: the value of the key's previous row by (ts, tie)."""
     keys, order = list(keys), [ts, *tie]
-    hot = hot_keys(df, keys, ts, hot_rows, chunk_rows)
+    hot = hot_keys(df, keys, hot_rows)
     if hot is None:
         whole = W.partitionBy(*keys).orderBy(*order)  # at most hot_rows rows
         return df.withColumns({f"prev_{v}": F.lag(v).over(whole) for v in values})
-    chunked = _chunked(df, keys, ts, hot)
+    chunked = _chunked(df, keys, order, hot, chunk_rows)
     last = chunked.groupBy(*keys, "_chunk").agg(
         F.max_by(F.struct(*values), F.struct(*order)).alias("_last")
     )
@@ -105,11 +109,11 @@ def row_numbers(
 ) -> DataFrame:
     """Adds the 1-based position of a row in its key's (ts, tie) order."""
     keys = list(keys)
-    hot = hot_keys(df, keys, ts, hot_rows, chunk_rows)
+    hot = hot_keys(df, keys, hot_rows)
     if hot is None:
         whole = W.partitionBy(*keys).orderBy(ts, *tie)  # at most hot_rows rows
         return df.withColumn(name, F.row_number().over(whole).cast("long"))
-    chunked = _chunked(df, keys, ts, hot)
+    chunked = _chunked(df, keys, [ts, *tie], hot, chunk_rows)
     sizes = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -124,6 +128,44 @@ def row_numbers(
     )
 
 
+def running_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    sums: Mapping[str, str | Column],
+    xors: Mapping[str, str | Column] | None = None,
+    hot_rows: int = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Adds the running sums (and running exclusive-ors) of a key's rows in ``order``, the row included.
+
+    ``order`` should tell a key's rows apart. The result's columns map to the
+    summed ones; null counts as 0.
+    """
+    keys, kinds = list(keys), {**{n: F.sum for n in sums}, **{n: F.bit_xor for n in xors or {}}}
+    given = {n: F.col(c) if isinstance(c, str) else c for n, c in {**sums, **(xors or {})}.items()}
+    df = df.withColumns({f"_of_{n}": F.coalesce(c, F.lit(0)) for n, c in given.items()})
+    helpers = [f"_of_{n}" for n in given]
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({n: kinds[n](f"_of_{n}").over(whole) for n in given}).drop(*helpers)
+    chunked = _chunked(df, keys, order, hot, chunk_rows)
+    totals = chunked.groupBy(*keys, "_chunk").agg(*[kinds[n](f"_of_{n}").alias(f"_all_{n}") for n in given])
+    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select(
+        *keys, "_chunk",
+        *[F.coalesce(kinds[n](f"_all_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in given],
+    )
+    inside = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    here = chunked.withColumns({n: kinds[n](f"_of_{n}").over(inside) for n in given})
+    before = {n: F.col(f"_before_{n}") for n in given}
+    joined = join_on_keys(here, carried, [*keys, "_chunk"]).withColumns({
+        n: F.col(n) + before[n] if n in sums else F.col(n).bitwiseXOR(before[n]) for n in given
+    })
+    return joined.drop("_chunk", *helpers, *[f"_before_{n}" for n in given])
+
+
 def latest_before(
     rows: DataFrame,
     facts: DataFrame,
@@ -154,18 +196,13 @@ def latest_before(
         F.struct(*[F.col(c) for c in rows.columns]).alias("_row"),
         F.lit(2).alias("_kind"),
     )
-    both = known.select(*keys, "_at").unionAll(asked.select(*keys, "_at"))
-    hot = hot_keys(both, keys, "_at", hot_rows, chunk_rows)
-    if hot is None:
-        group = keys
-        merged = known.unionByName(asked, allowMissingColumns=True)
-    else:
+    merged = known.unionByName(asked, allowMissingColumns=True)
+    hot = hot_keys(merged, keys, hot_rows)
+    group = keys
+    if hot is not None:
         group = [*keys, "_chunk"]
-        known, asked = _chunked(known, keys, "_at", hot), _chunked(asked, keys, "_at", hot)
-        carried = _carried_facts(known, asked, keys)
-        merged = known.unionByName(asked, allowMissingColumns=True).unionByName(
-            carried, allowMissingColumns=True
-        )
+        merged = _chunked(merged, keys, ["_at", "_kind", "_tie"], hot, chunk_rows)
+        merged = merged.unionByName(_carried_facts(merged, keys), allowMissingColumns=True)
     # Order in a group: carried fact, then facts before rows of the same instant.
     order = W.partitionBy(*group).orderBy(
         F.col("_kind") != 0, F.col("_at"), F.col("_kind"), F.col("_tie")
@@ -177,19 +214,14 @@ def latest_before(
     )
 
 
-def _carried_facts(known: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
-    """The last earlier fact for every (key, chunk) that holds rows."""
-    last = known.groupBy(*keys, "_chunk").agg(
-        F.max_by("fact", F.struct("_at", "_tie")).alias("fact")
-    )
-    chunks = (
-        asked.select(*keys, "_chunk", F.lit(True).alias("_asked"))
-        .distinct()
-        .join(last, [*keys, "_chunk"], "full_outer")
+def _carried_facts(merged: DataFrame, keys: list[str]) -> DataFrame:
+    """The last earlier fact for every (key, chunk)."""
+    last = merged.groupBy(*keys, "_chunk").agg(
+        F.max_by("fact", F.when(F.col("_kind") == 1, F.struct("_at", "_tie"))).alias("fact")
     )
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     return (
-        chunks.withColumn("fact", F.last("fact", ignorenulls=True).over(earlier))
-        .filter(F.col("_asked") & F.col("fact").isNotNull())
+        last.withColumn("fact", F.last("fact", ignorenulls=True).over(earlier))
+        .filter(F.col("fact").isNotNull())
         .select(*keys, "_chunk", F.lit(0).alias("_kind"), "fact")
     )
