@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import fingerprints, hmm, language, minhash, mixing, packing, secrets, substrings, topk, toxicity
+from driftline.llm import (
+    fingerprints,
+    hmm,
+    language,
+    minhash,
+    mixing,
+    packing,
+    prefix_trie,
+    secrets,
+    substrings,
+    topk,
+    toxicity,
+)
 from driftline.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,6 +227,60 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+#: CRC-32 (reflected, polynomial 0xEDB88320) of a decimal id, modulo 4, byte by byte and bit by bit.
+_CRC_MOD_4 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    range(1, length(CAST({id} AS VARCHAR)) + 1), lambda i: ascii(substr(CAST({id} AS VARCHAR), i, 1))::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT for x in range(8)]),
+      lambda c, z: xor(c >> 1, (c & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) & 3"""
+
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'r': role, 't': text, 'w': words} ORDER BY pos) AS s FROM turns GROUP BY conv_id),
+asked AS (SELECT conv_id, s, conv_id - conv_id % 20 AS base, """ + _CRC_MOD_4.format(id="conv_id") + r""" AS h FROM own),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.s, [])[1:a.h], a.s[a.h + 1:]) AS s
+  FROM asked a LEFT JOIN own b ON b.conv_id = a.base),
+steps AS (
+  SELECT conv_id, unnest(range(0, len(s) + 1)) AS depth, s FROM rebuilt),
+placed AS (
+  SELECT conv_id, depth, len(s) AS length,
+    sha256(CAST([{'r': x.r, 't': x.t} for x in s[1:depth]] AS VARCHAR)) AS node,
+    sha256(CAST([{'r': x.r, 't': x.t} for x in s[1:depth - 1]] AS VARCHAR)) AS above,
+    CASE WHEN depth > 0 THEN s[depth].w ELSE 0 END AS words
+  FROM steps),
+nodes AS (
+  SELECT depth, node, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+    any_value(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+  FROM placed GROUP BY depth, node),
+children AS (SELECT depth - 1 AS depth, above AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+-- Every node below its ancestors, by the smallest member's own path.
+below AS (
+  SELECT a.depth, a.node, sum((n.n_convs - 1) * n.words) AS saved_tokens,
+    count(*) FILTER (c.n IS NULL) AS n_leaves
+  FROM nodes n
+  JOIN placed a ON a.conv_id = n.conv_id AND a.depth <= n.depth
+  LEFT JOIN children c ON c.depth = n.depth AND c.node = n.node
+  GROUP BY 1, 2)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+  coalesce(c.n, 0)::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens,
+  n.ends_sha256
+FROM nodes n
+JOIN below b ON b.depth = n.depth AND b.node = n.node
+LEFT JOIN children c ON c.depth = n.depth AND c.node = n.node
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = n.above
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -227,6 +293,12 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op6_exact_top_k": OP6_SQL, "op7_source_mix": OP7_SQL, "op9_fingerprints": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op6_exact_top_k": OP6_SQL,
+    "op7_source_mix": OP7_SQL,
+    "op9_fingerprints": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
+}
