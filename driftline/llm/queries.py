@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import (
+    chat,
     fingerprints,
     hmm,
     language,
     minhash,
     mixing,
+    negatives,
     packing,
     prefix_trie,
     secrets,
@@ -240,7 +242,8 @@ _CRC_MOD_4 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
 OP11_SQL = r"""
 WITH turns AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
 own AS (
@@ -281,6 +284,74 @@ LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = n.above
 """
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label)
+
+
+OP12_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_sum([a.v[i] * c.v[i] for i in range(1, len(a.v) + 1)]) AS BIGINT) AS score
+  FROM vectors a JOIN vectors c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+positives AS (
+  SELECT * FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, n.vec_id AS negative_id,
+    n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 5
+"""
+
+
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    given = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    # A text that looks like the template's own marks.
+    marked = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(r"\### Assistant: </turn> ok").alias("text"),
+    )
+    return chat.summaries(chat.segments(given.union(marked)), ordered=True)
+
+
+OP13_SQL = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL
+  UNION ALL
+  SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+turns AS (
+  SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before
+  FROM given WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+-- A turn's marks: '### ', the name (an unknown role stands behind '?'), ': ', '</turn>' and a line break.
+sized AS (
+  SELECT *, length(regexp_replace(text, '(\\|### |</turn>)', '\\\1', 'g')) + 4 + 2 + 7 + 1
+    + CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role)
+      ELSE 1 + length(regexp_replace(role, '(\\|### |: |</turn>)', '\\\1', 'g')) END AS chars,
+    CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'user' THEN role = 'assistant'
+      WHEN before IN ('system', 'assistant') THEN role = 'user' ELSE false END AS allowed
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars, bool_and(allowed) AS valid
+FROM sized GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -294,6 +365,8 @@ QUERIES: dict[str, Query] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLES: dict[str, str] = {
@@ -301,4 +374,6 @@ ORACLES: dict[str, str] = {
     "op7_source_mix": OP7_SQL,
     "op9_fingerprints": OP9_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_chat_format": OP13_SQL,
 }
