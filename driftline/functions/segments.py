@@ -134,19 +134,19 @@ def running_totals(
     order: Sequence[str],
     sums: Mapping[str, str | Column],
     xors: Mapping[str, str | Column] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Adds the running sums (and running exclusive-ors) of a key's rows in ``order``, the row included.
 
     ``order`` should tell a key's rows apart. The result's columns map to the
-    summed ones; null counts as 0.
+    summed ones; null counts as 0. Without ``hot_rows`` no key is held to be hot.
     """
     keys, kinds = list(keys), {**{n: F.sum for n in sums}, **{n: F.bit_xor for n in xors or {}}}
     given = {n: F.col(c) if isinstance(c, str) else c for n, c in {**sums, **(xors or {})}.items()}
     df = df.withColumns({f"_of_{n}": F.coalesce(c, F.lit(0)) for n, c in given.items()})
     helpers = [f"_of_{n}" for n in given]
-    hot = hot_keys(df, keys, hot_rows)
+    hot = None if hot_rows is None else hot_keys(df, keys, hot_rows)
     if hot is None:
         whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({n: kinds[n](f"_of_{n}").over(whole) for n in given}).drop(*helpers)

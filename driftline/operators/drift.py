@@ -5,23 +5,28 @@ Jensen-Shannon distance. Categorical features: chi-squared and Cramer's V.
 
 Plan for numeric features (all exact):
 
-1. one pass gives counts, moments and extremes per feature; a sample then gives
-   cut points, more of them for larger tables;
-2. one pass counts both sides per (feature, cut range, histogram bucket). That
+1. one pass gives counts, moments, extremes and a mergeable quantile sketch per
+   feature and side. They are written as a small table; the sketches' quantiles
+   cut the values of a feature into ranges;
+2. one pass counts both sides per (feature, range, histogram bucket). That
    settles PSI and JS, and bounds the KS distance inside every range;
 3. only ranges whose bound beats the best distance seen at a range edge are
-   read again, value by value. A range is a group of its own and holds about
-   two million rows however large the table is, so no task sorts a whole feature.
+   read again, value by value, with prefix sums over the values. A range that
+   holds many values is split by row rank, so no task sorts a whole range.
+
+The cuts stay in the written table: rows look their range up in it by a binary
+search of projections. :func:`store_profile` keeps the same things of a
+reference for good; :func:`drift_against` then compares tables with it without
+reading the reference again.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from dataclasses import astuple, dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +34,9 @@ from pyspark.sql import types as T
 from driftline.errors import DataError
 from driftline.functions.order_stats import LINEAR, exact_quantiles, unpivot
 from driftline.functions.scalars import clean_double, equal_width_bucket, ratio
+from driftline.functions.segments import HOT_ROWS, running_totals
 from driftline.functions.statistics import chi2_p_value, kolmogorov_p_value
-from driftline.session import materialise
+from driftline.session import materialise, new_shared_path
 
 # Default thresholds, bins and smoothing of the drift statistics.
 DRIFT_THRESHOLD = 0.1
@@ -62,12 +68,20 @@ class DriftConfig:
     n_bins: int = N_BINS
     # How finely the values of a feature are cut; affects speed only.
     rows_per_range: int = 2_000_000
-    min_ranges: int = 256
-    max_ranges: int = 65_536
+    min_ranges: int = 64
+    max_ranges: int = 1024
 
 
 # Ranges (six numbers each) that are broadcast when values are read again.
 BROADCAST_RANGES = 100_000
+# Fixed size of a feature's quantile sketch: its ranks err by about 0.6 percent.
+SKETCH_K = 512
+# Bytes of a table (as Spark estimates them) that go into the sketches; of larger ones a share of the rows does.
+SKETCH_BYTES = 64 << 30
+# Cuts of all features together that rows look their ranges up in.
+MOST_CUTS = 1 << 20
+# Open ranges that are named in the filter over a stored reference's values.
+NAMED_RANGES = 1_000
 
 
 def is_numeric(field: T.StructField) -> bool:
@@ -166,133 +180,123 @@ def categorical_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --- numeric statistics -------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class _Feature:
-    """What one pass over both sides tells about a numeric feature."""
-
-    id: int
-    name: str
-    n_ref: int
-    n_cur: int
-    ref_mean: float
-    cur_mean: float
-    ref_std: float | None
-    cur_std: float | None
-    lo: float
-    hi: float
-    degenerate: bool  # one side holds a single value
-
-
-_FEATURE_SCHEMA = (
-    "id int, feature string, n_ref long, n_cur long, ref_mean double, cur_mean double, "
-    "ref_std double, cur_std double, lo double, hi double, degenerate boolean"
-)
-
-
 def _wide(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Both sides below each other: ``cur`` and the values as ``v0, v1 ...``."""
+    return _side(reference, False, columns).unionAll(_side(current, True, columns))
 
-    def side(df: DataFrame, cur: bool) -> DataFrame:
-        return df.select(
-            F.lit(cur).alias("cur"), *[clean_double(c).alias(f"v{i}") for i, c in enumerate(columns)]
-        )
 
-    return side(reference, False).unionAll(side(current, True))
+def _side(df: DataFrame, cur: bool, columns: Sequence[str]) -> DataFrame:
+    return df.select(
+        F.lit(cur).alias("cur"), *[clean_double(c).alias(f"v{i}") for i, c in enumerate(columns)]
+    )
 
 
-def _measure(wide: DataFrame, columns: Sequence[str]) -> list[_Feature]:
-    """Count, mean, deviation and extremes of every feature and side, in one pass."""
+def _measured(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(cur, id, feature, n, mean, std, min, max, sketch)`` per side and feature, in one pass, written."""
+    size = int(wide._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    share = min(1.0, SKETCH_BYTES / max(size, 1))
+    ids = range(len(columns))
+    if share < 1.0:
+        wide = wide.withColumn("_in", F.rand(7) < share)
+        wide = wide.withColumns({f"s{i}": F.when(F.col("_in"), F.col(f"v{i}")) for i in ids})
     aggregates = [
-        fn(f"v{i}").alias(f"{name}{i}")
-        for i in range(len(columns))
-        for name, fn in (
-            ("n", F.count),
-            ("mean", F.avg),
-            ("std", F.stddev_samp),
-            ("min", F.min),
-            ("max", F.max),
-        )
+        F.struct(
+            F.lit(i).alias("id"),
+            F.lit(columns[i]).alias("feature"),
+            F.count(f"v{i}").alias("n"),
+            F.avg(f"v{i}").alias("mean"),
+            F.stddev_samp(f"v{i}").alias("std"),
+            F.min(f"v{i}").alias("min"),
+            F.max(f"v{i}").alias("max"),
+            F.kll_sketch_agg_double(f"s{i}" if share < 1.0 else f"v{i}", F.lit(SKETCH_K)).alias("sketch"),
+        ).alias(f"m{i}")
+        for i in ids
     ]
-    rows = {r["cur"]: r for r in wide.groupBy("cur").agg(*aggregates).collect()}  # two rows
-    found = []
-    for i, name in enumerate(columns):
-        ref, cur = rows.get(False), rows.get(True)
-        if ref is None or cur is None or ref[f"n{i}"] == 0 or cur[f"n{i}"] == 0:
-            continue
-        found.append(
-            _Feature(
-                i,
-                name,
-                ref[f"n{i}"],
-                cur[f"n{i}"],
-                ref[f"mean{i}"],
-                cur[f"mean{i}"],
-                ref[f"std{i}"],
-                cur[f"std{i}"],
-                min(ref[f"min{i}"], cur[f"min{i}"]),
-                max(ref[f"max{i}"], cur[f"max{i}"]),
-                ref[f"min{i}"] == ref[f"max{i}"] or cur[f"min{i}"] == cur[f"max{i}"],
-            )
-        )
-    return found
+    found = wide.groupBy("cur").agg(*aggregates)
+    return materialise(found.select("cur", F.inline(F.array(*[f"m{i}" for i in ids]))), "measured")
 
 
-def _cut_points(
-    wide: DataFrame, features: Sequence[_Feature], config: DriftConfig
-) -> dict[int, list[float]]:
-    """Where the values of each feature are cut into ranges of about equal size.
+def _with_cuts(
+    measured: DataFrame, config: DriftConfig, n_columns: int
+) -> tuple[DataFrame, int]:
+    """``(id, cuts)``, where each feature is cut into ranges of about equal size, and the number of ranges.
 
-    The cuts come from a sample. They only spread the work: every row is
-    counted in its range, and any cuts give the same statistics.
+    Cuts only spread the work: every row is counted in its range, and any cuts
+    give the same statistics.
     """
-    total = max(f.n_ref + f.n_cur for f in features)
-    ranges = int(min(max(total // config.rows_per_range, config.min_ranges), config.max_ranges))
-    fraction = min(1.0, 400.0 * ranges / total)
-    sample = wide if fraction >= 1.0 else wide.sample(fraction, seed=7)
-    grid = [i / ranges for i in range(1, ranges)]
-    pairs = F.array(*[F.struct(F.lit(f.id).alias("id"), F.col(f"v{f.id}").alias("v")) for f in features])
-    rows = (
-        sample.select(F.inline(pairs))
-        .filter(F.col("v").isNotNull())
-        .groupBy("id")
-        .agg(F.percentile_approx("v", grid, 4 * ranges).alias("cuts"))
-        .collect()  # one row per feature, at most max_ranges numbers each
-    )
-    found = {r["id"]: sorted({c for c in r["cuts"] if math.isfinite(c)}) for r in rows}
-    return {f.id: found.get(f.id) or [f.lo] for f in features}
-
-
-def _ranged(
-    wide: DataFrame,
-    features: Sequence[_Feature],
-    cuts: dict[int, list[float]],
-    bins: int,
-) -> DataFrame:
-    """Long rows ``(cur, id, value, r, bucket)``: range number and histogram bucket."""
-    ranged = Bucketizer(
-        splitsArray=[[-math.inf, *cuts[f.id], math.inf] for f in features],
-        inputCols=[f"v{f.id}" for f in features],
-        outputCols=[f"r{f.id}" for f in features],
-        handleInvalid="keep",
-    ).transform(wide)
-
-    def bucket(f: _Feature) -> Column:
-        if f.lo == f.hi:
-            return F.lit(0)
-        return equal_width_bucket(F.col(f"v{f.id}"), F.lit(f.lo), F.lit(f.hi), bins)
-
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(f.id).alias("id"),
-                F.col(f"v{f.id}").alias("value"),
-                F.col(f"r{f.id}").cast("int").alias("r"),
-                bucket(f).alias("bucket"),
-            )
-            for f in features
-        ]
+    total = measured.groupBy("id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    most = max(2, min(config.max_ranges, MOST_CUTS // n_columns))
+    ranges = int(min(max(total // config.rows_per_range, config.min_ranges), most))
+    ranks = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    sketch = measured.groupBy("id").agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    quantiles = F.when(
+        F.kll_sketch_get_n_double("sketch") > 0, F.kll_sketch_get_quantile_double("sketch", ranks)
+    )
+    finite = F.filter(quantiles, lambda x: F.abs(x) < F.lit(float("inf")))
+    return sketch.select("id", F.array_sort(F.array_distinct(finite)).alias("cuts")), ranges
+
+
+def _known(measured: DataFrame, cuts: DataFrame) -> DataFrame:
+    """One row per feature with values on both sides: what is known of it, and its cuts."""
+
+    def side(cur: bool, name: str) -> DataFrame:
+        return measured.filter((F.col("cur") == cur) & (F.col("n") > 0)).select(
+            "id", *(["feature"] if cur else []), F.col("n").alias(f"n_{name}"), F.col("mean").alias(f"{name}_mean"),
+            F.col("std").alias(f"{name}_std"), F.col("min").alias(f"_{name}_min"), F.col("max").alias(f"_{name}_max"),
+        )
+
+    both = side(False, "ref").join(side(True, "cur"), "id").join(cuts, "id")
+    return both.select(
+        "id", "feature", "n_ref", "n_cur", "ref_mean", "cur_mean", "ref_std", "cur_std",
+        F.least("_ref_min", "_cur_min").alias("lo"),
+        F.greatest("_ref_max", "_cur_max").alias("hi"),
+        # One side holds a single value.
+        (
+            (F.col("_ref_min") == F.col("_ref_max")) | (F.col("_cur_min") == F.col("_cur_max"))
+        ).alias("degenerate"),
+        F.coalesce("cuts", F.array().cast("array<double>")).alias("cuts"),
+    )
+
+
+def _lookup(known: DataFrame, n_columns: int) -> Column:
+    """cuts, lo and hi of every feature at the place of its id, read from the written table when a query runs."""
+    facts = F.map_from_entries(F.collect_list(F.struct("id", F.struct("cuts", "lo", "hi"))))
+    places = F.array(*[F.lit(i) for i in range(n_columns)])
+    return known.agg(F.transform(places, lambda i: F.try_element_at(facts, i))).scalar()
+
+
+def _range_of(rows: DataFrame, facts: Column, most: int) -> DataFrame:
+    """Adds ``r``, the number of the feature's cuts (``most`` or fewer) not above ``value``, by binary search."""
+    rows = rows.withColumn("r", F.lit(0))
+    step = 1 << max(most.bit_length() - 1, 0)
+    while step:
+        at = F.get(F.get(facts, F.col("id"))["cuts"], F.col("r") + (step - 1))
+        rows = rows.withColumn("r", F.col("r") + F.when(at <= F.col("value"), step).otherwise(0))
+        step //= 2
+    return rows
+
+
+def _bucket_of(value: Column, facts: Column, bins: int) -> Column:
+    """Histogram bucket of a value over its feature's joint range."""
+    own = F.get(facts, F.col("id"))
+    return F.when(
+        own["lo"] < own["hi"], equal_width_bucket(value, own["lo"], own["hi"], bins)
+    ).otherwise(F.lit(0))
+
+
+def _long(wide: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """``(cur, id, value)``: the values of some features below each other."""
+    items = F.array(*[F.struct(F.lit(i).alias("id"), F.col(f"v{i}").alias("value")) for i in ids])
+    return wide.select("cur", F.inline(items)).filter(F.col("value").isNotNull())
+
+
+def _cells(rows: DataFrame, bins: int, facts: Column) -> DataFrame:
+    """Counts of both sides per (feature, range, bucket), with the extremes inside."""
+    return (
+        rows.withColumn("bucket", _bucket_of(F.col("value"), facts, bins))
+        .groupBy("id", "r", "bucket")
+        .agg(*_counts(), F.min("value").alias("v_min"), F.max("value").alias("v_max"))
     )
-    return ranged.select("cur", F.inline(items)).filter(F.col("value").isNotNull())
 
 
 def _counts() -> list[Column]:
@@ -373,49 +377,27 @@ def _range_edges(cells: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def numeric_drift(
-    reference: DataFrame,
-    current: DataFrame,
-    columns: Sequence[str],
-    config: DriftConfig = DriftConfig(),
+def _statistics(
+    known: DataFrame, cells: DataFrame, values_of: Callable[[DataFrame, list[int]], DataFrame], bins: int
 ) -> DataFrame:
-    """KS, PSI, JS and moments per numeric feature that has values on both sides."""
-    spark = reference.sparkSession
-    wide = _wide(reference, current, columns)
-    features = _measure(wide, columns)
-    known = spark.createDataFrame([astuple(f) for f in features], _FEATURE_SCHEMA)
-    if not features:
-        empty = "ks_statistic double, psi double, js_distance double, ks_pvalue double"
-        return known.drop("id", "lo", "hi", "degenerate").join(
-            spark.createDataFrame([], f"feature string, {empty}"), "feature"
-        )
-    cuts = _cut_points(wide, features, config)
-    # At most (columns * ranges * bins) rows, read several times: written once.
-    cells = materialise(
-        _ranged(wide, features, cuts, config.n_bins)
-        .groupBy("id", "r", "bucket")
-        .agg(*_counts(), F.min("value").alias("v_min"), F.max("value").alias("v_max")),
-        "cells",
-    )
+    """KS, PSI and JS from counts per cell.
+
+    ``values_of`` gives ``(id, r, value, c_ref, c_cur)`` of the ranges that are
+    still open, given as a table, in the features of the given ids.
+    """
     edges = materialise(_range_edges(cells, known), "edges")
     distances = edges.select("id", F.col("at_edge").alias("d"))
     # Only features with an open range are read again, and only their open ranges kept.
-    reread = {r["id"] for r in edges.filter("open").select("id").distinct().collect()}
+    reread = sorted(r["id"] for r in edges.filter("open").select("id").distinct().collect())
     if reread:
-        chosen = [f for f in features if f.id in reread]
         # At most columns * max_ranges rows; beyond BROADCAST_RANGES the joins shuffle.
         open_ranges = edges.filter("open").select("id", "r", "n_ref", "n_cur", "s_ref", "s_cur")
         if open_ranges.count() <= BROADCAST_RANGES:
             open_ranges = F.broadcast(open_ranges)
-        by_value = W.partitionBy("id", "r").orderBy("value")
+        values = materialise(values_of(open_ranges.select("id", "r"), reread), "open-values")
+        hot_rows = HOT_ROWS if values.count() > HOT_ROWS else None
         inside = (
-            _ranged(wide, chosen, cuts, config.n_bins)
-            .join(open_ranges.select("id", "r"), ["id", "r"], "left_semi")
-            .groupBy("id", "r", "value")
-            .agg(*_counts())
-            .withColumns(
-                {"d_ref": F.sum("c_ref").over(by_value), "d_cur": F.sum("c_cur").over(by_value)}
-            )
+            running_totals(values, ["id", "r"], ["value"], {"d_ref": "c_ref", "d_cur": "c_cur"}, None, hot_rows)
             .join(open_ranges, ["id", "r"])
             .select(
                 "id",
@@ -429,14 +411,171 @@ def numeric_drift(
     ks = distances.groupBy("id").agg(F.max("d").alias("ks_statistic"))
     return (
         known.join(ks, "id")
-        .join(_binned(cells, known, config.n_bins), "id")
+        .join(_binned(cells, known, bins), "id")
         .withColumn(
             "ks_pvalue",
             kolmogorov_p_value(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur")),
         )
-        .drop("id", "lo", "hi")
+        .drop("id", "lo", "hi", "cuts")
+    )
+
+
+def numeric_drift(
+    reference: DataFrame,
+    current: DataFrame,
+    columns: Sequence[str],
+    config: DriftConfig = DriftConfig(),
+) -> DataFrame:
+    """KS, PSI, JS and moments per numeric feature that has values on both sides."""
+    wide, n = _wide(reference, current, columns), len(columns)
+    measured = _measured(wide, columns)
+    cuts, ranges = _with_cuts(measured, config, n)
+    known = materialise(_known(measured, cuts), "known")
+    facts = _lookup(known, n)
+    # At most (columns * ranges * bins) rows, read several times: written once.
+    ranged = _range_of(_long(wide, range(n)), facts, ranges)
+    cells = materialise(_cells(ranged, config.n_bins, facts).join(known.select("id"), "id", "left_semi"), "cells")
+
+    def values_of(open_ranges: DataFrame, ids: list[int]) -> DataFrame:
+        again = _range_of(_long(wide, ids), facts, ranges)
+        return again.join(open_ranges, ["id", "r"], "left_semi").groupBy("id", "r", "value").agg(*_counts())
+
+    return _statistics(known, cells, values_of, config.n_bins)
+
+
+# --- a stored reference -------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class DriftProfile:
+    """A reference as :func:`store_profile` keeps it, and the columns it was taken of."""
+
+    spark: SparkSession
+    path: str
+    numeric: tuple[str, ...]
+    categorical: tuple[str, ...]
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+
+def store_profile(
+    reference: DataFrame,
+    columns: Sequence[str] | None = None,
+    path: str | None = None,
+    config: DriftConfig = DriftConfig(),
+) -> DriftProfile:
+    """Writes what later comparisons need of a reference; the reference itself is not read again.
+
+    ``measured`` (moments, extremes, quantile sketch and cuts per feature),
+    ``ranges`` (count, extremes and values per range), ``values`` (count per
+    value, sorted by feature and value, so that a few ranges are a few row
+    groups) and ``categories``. Null and NaN are no values.
+    """
+    spark = reference.sparkSession
+    path = path or new_shared_path(spark, "drift-profile")
+    numeric, categorical, _ = split_columns(reference, reference, columns)
+    if numeric:
+        wide, n = _side(reference, False, numeric), len(numeric)
+        measured = _measured(wide, numeric)
+        cuts, ranges = _with_cuts(measured, config, n)
+        measured.join(cuts, "id").write.parquet(f"{path}/measured")
+        known = spark.read.parquet(f"{path}/measured").select("id", "cuts", F.col("min").alias("lo"), F.col("max").alias("hi"))
+        counted = (
+            _range_of(_long(wide, range(n)), _lookup(known, n), ranges)
+            .groupBy("id", "r", "value")
+            .agg(F.count(F.lit(1)).alias("c_ref"))
+        )
+        slot = (F.col("id").cast("long") * (1 << 32) + F.col("r")).alias("slot")
+        counted.select(slot, "id", "r", "value", "c_ref").repartitionByRange("slot", "value").sortWithinPartitions(
+            "slot", "value"
+        ).write.parquet(f"{path}/values")
+        spark.read.parquet(f"{path}/values").groupBy("id", "r").agg(
+            F.sum("c_ref").alias("c_ref"), F.min("value").alias("v_min"), F.max("value").alias("v_max")
+        ).write.parquet(f"{path}/ranges")
+    if categorical:
+        _categories(reference, categorical).groupBy("feature", "value").agg(
+            F.count(F.lit(1)).alias("c_ref")
+        ).write.parquet(f"{path}/categories")
+    names = [("numeric", c) for c in numeric] + [("categorical", c) for c in categorical]
+    # Written last: a profile without it was not finished.
+    spark.createDataFrame(list(enumerate(names)), "id int, of struct<kind:string,name:string>").coalesce(
+        1
+    ).write.parquet(f"{path}/columns")
+    return DriftProfile(spark, path, tuple(numeric), tuple(categorical))
+
+
+def open_profile(spark: SparkSession, path: str) -> DriftProfile:
+    """The profile that :func:`store_profile` wrote to ``path``."""
+    rows = sorted(spark.read.parquet(f"{path}/columns").collect())  # one row per column
+    kinds = {k: tuple(r["of"]["name"] for r in rows if r["of"]["kind"] == k) for k in ("numeric", "categorical")}
+    return DriftProfile(spark, path, kinds["numeric"], kinds["categorical"])
+
+
+def _named(df: DataFrame, slots: DataFrame) -> DataFrame:
+    """Rows of some (id, r); a short list is named in the filter, so that other row groups are skipped."""
+    found = [r[0] for r in slots.select(F.col("id").cast("long") * (1 << 32) + F.col("r")).limit(NAMED_RANGES + 1).collect()]
+    if len(found) <= NAMED_RANGES:
+        return df.filter(F.col("slot").isin(found))
+    return df.join(slots, ["id", "r"], "left_semi")
+
+
+def numeric_drift_against(
+    profile: DriftProfile, current: DataFrame, config: DriftConfig = DriftConfig()
+) -> DataFrame:
+    """As :func:`numeric_drift`, with the stored reference.
+
+    Of the reference its ranges are read, and the values of those ranges only
+    that a histogram edge cuts or that may hold the largest distance.
+    """
+    columns = profile.numeric
+    n, bins = len(columns), config.n_bins
+    wide = _side(current, True, columns)
+    stored = profile.table("measured")
+    measured = stored.drop("cuts").unionByName(_measured(wide, columns))
+    known = materialise(_known(measured, stored.select("id", "cuts")), "known")
+    facts = _lookup(known, n)
+    # The stored ranges were cut with this many cuts at most.
+    most = stored.agg(F.max(F.size("cuts"))).first()[0] or 0
+
+    ranges = (
+        profile.table("ranges")
+        .join(F.broadcast(known.select("id")), "id", "left_semi")  # one row per column
+        .withColumns({
+            "low": _bucket_of(F.col("v_min"), facts, bins), "high": _bucket_of(F.col("v_max"), facts, bins)
+        })
+    )
+    whole = ranges.filter("low = high").select("id", "r", F.col("low").alias("bucket"), "c_ref", "v_min", "v_max")
+    # At most bins - 1 ranges a feature.
+    cut = materialise(ranges.filter("low <> high").select("id", "r"), "cut-ranges")
+    parted = (
+        _named(profile.table("values"), cut)
+        .withColumn("bucket", _bucket_of(F.col("value"), facts, bins))
+        .groupBy("id", "r", "bucket")
+        .agg(F.sum("c_ref").alias("c_ref"), F.min("value").alias("v_min"), F.max("value").alias("v_max"))
+    )
+    ranged = _range_of(_long(wide, range(n)), facts, most)
+    no = F.lit(0).cast("long")
+    sides = [
+        whole.withColumn("c_cur", no),
+        parted.withColumn("c_cur", no),
+        _cells(ranged, bins, facts).join(F.broadcast(known.select("id")), "id", "left_semi"),
+    ]
+    cells = reduce(DataFrame.unionByName, sides).groupBy("id", "r", "bucket").agg(
+        F.sum("c_ref").alias("c_ref"), F.sum("c_cur").alias("c_cur"),
+        F.min("v_min").alias("v_min"), F.max("v_max").alias("v_max"),
     )
 
+    def values_of(open_ranges: DataFrame, ids: list[int]) -> DataFrame:
+        kept = _named(profile.table("values"), open_ranges).select("id", "r", "value", "c_ref", no.alias("c_cur"))
+        own = _range_of(_long(wide, ids), facts, most).join(open_ranges, ["id", "r"], "left_semi")
+        own = own.select("id", "r", "value", no.alias("c_ref"), F.lit(1).cast("long").alias("c_cur"))
+        return kept.unionByName(own).groupBy("id", "r", "value").agg(
+            F.sum("c_ref").alias("c_ref"), F.sum("c_cur").alias("c_cur")
+        )
+
+    return _statistics(known, materialise(cells, "cells"), values_of, bins)
+
 
 # --- categorical statistics ---------------------------------------------------
 
@@ -446,7 +585,21 @@ def categorical_drift(reference: DataFrame, current: DataFrame, columns: Sequenc
     both = _categories(reference, columns, [F.lit(False).alias("cur")]).unionAll(
         _categories(current, columns, [F.lit(True).alias("cur")])
     )
-    counts = both.groupBy("feature", "value").agg(*_counts())
+    return _association(both.groupBy("feature", "value").agg(*_counts()))
+
+
+def categorical_drift_against(profile: DriftProfile, current: DataFrame) -> DataFrame:
+    """As :func:`categorical_drift`, with the stored reference's counts."""
+    own = _categories(current, profile.categorical).groupBy("feature", "value").agg(
+        F.count(F.lit(1)).alias("c_cur")
+    )
+    both = profile.table("categories").filter(F.col("feature").isin(list(profile.categorical)))
+    full = both.join(own, ["feature", "value"], "full_outer").fillna(0, ["c_ref", "c_cur"])
+    return _association(full)
+
+
+def _association(counts: DataFrame) -> DataFrame:
+    """Chi-squared and Cramer's V from ``(feature, value, c_ref, c_cur)``."""
     totals = counts.groupBy("feature").agg(
         F.sum("c_ref").alias("n_ref"),
         F.sum("c_cur").alias("n_cur"),
@@ -542,22 +695,47 @@ def detect_drift(
     if reference is None:
         raise DataError("a reference table is needed to detect drift")
     numeric, categorical, _ = split_columns(reference, current, columns)
+    return _features(
+        reference.sparkSession,
+        numeric_drift(reference, current, numeric, config) if numeric else None,
+        categorical_drift(reference, current, categorical) if categorical else None,
+        config,
+    )
+
+
+def drift_against(
+    profile: DriftProfile, current: DataFrame, config: DriftConfig = DriftConfig()
+) -> DataFrame:
+    """As :func:`detect_drift`, with a reference that :func:`store_profile` kept.
+
+    Columns that ``current`` lacks give no row.
+    """
+    numeric = tuple(c for c in profile.numeric if c in current.columns)
+    categorical = tuple(c for c in profile.categorical if c in current.columns)
+    # Columns keep their places, by which the stored tables know them.
+    filled = current.withColumns({c: F.lit(None).cast("double") for c in profile.numeric if c not in numeric})
+    known = DriftProfile(profile.spark, profile.path, profile.numeric, categorical)
+    return _features(
+        profile.spark,
+        numeric_drift_against(profile, filled, config) if numeric else None,
+        categorical_drift_against(known, current) if categorical else None,
+        config,
+    )
+
+
+def _features(
+    spark: SparkSession, numeric: DataFrame | None, categorical: DataFrame | None, config: DriftConfig
+) -> DataFrame:
+    """Numeric and categorical statistics below each other, with score and severity."""
     parts = []
-    if numeric:
-        parts.append(
-            _shaped(
-                numeric_drift(reference, current, numeric, config),
-                {
-                    "kind": F.lit("numeric"),
-                    "drift_score": (F.col("ks_statistic") + F.col("js_distance")) / 2,
-                },
-            )
-        )
-    if categorical:
+    if numeric is not None:
+        score = (F.col("ks_statistic") + F.col("js_distance")) / 2
+        parts.append(_shaped(numeric, {"kind": F.lit("numeric"), "drift_score": score}))
+    if categorical is not None:
         chi = F.col("chi_squared")
         parts.append(
             _shaped(
-                categorical_drift(reference, current, categorical),
+                categorical,
                 {
                     "kind": F.lit("categorical"),
                     "drift_score": F.col("cramers_v"),
@@ -569,11 +747,8 @@ def detect_drift(
             )
         )
     if not parts:
-        return reference.sparkSession.createDataFrame([], _RESULT).transform(_scored(config))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.transform(_scored(config))
+        return spark.createDataFrame([], _RESULT).transform(_scored(config))
+    return reduce(DataFrame.unionByName, parts).transform(_scored(config))
 
 
 def _scored(config: DriftConfig):

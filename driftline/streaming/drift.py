@@ -1,7 +1,8 @@
 """Drift of a stream against a fixed reference.
 
-Two forms. :func:`drift_each_cycle` compares every micro-batch with the whole
-reference by the batch operator (exact, one reference pass per cycle).
+Two forms. :func:`drift_each_cycle` compares every micro-batch with a stored
+profile of the whole reference (exact; the reference is read once, before the
+first cycle).
 :func:`window_counts` keeps only bucket counts per event-time window; with the
 reference's fixed bin edges :func:`window_drift` then needs no reference rows.
 Because the edges are fixed, PSI and JS refer to the reference's range with an
@@ -21,22 +22,30 @@ from driftline.operators.drift import (
     DENSITY_SMOOTHING,
     N_BINS,
     DriftConfig,
-    detect_drift,
+    DriftProfile,
+    drift_against,
     drift_metrics,
+    store_profile,
 )
 from driftline.streaming.monitoring import LATENESS
 from driftline.streaming.tables import BatchWriter
 
 
 def drift_each_cycle(
-    reference: DataFrame,
+    reference: DataFrame | DriftProfile,
     columns: Sequence[str],
     model: str,
     path: str,
     ts: str,
     config: DriftConfig = DriftConfig(),
 ) -> BatchWriter:
-    """Writer for a micro-batch: drift metrics against the reference, stamped with the batch's last time."""
+    """Writer for a micro-batch: drift metrics against the reference, stamped with the batch's last time.
+
+    A table is profiled here, once; a stored profile is used as it is, also by
+    streams that start again.
+    """
+    if isinstance(reference, DataFrame):
+        reference = store_profile(reference, columns, config=config)
 
     def write(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
@@ -44,7 +53,7 @@ def drift_each_cycle(
         kept = batch.persist()  # read once per pass of the drift operator
         try:
             as_of = kept.agg(F.max(ts).alias("t")).first()["t"]
-            found = detect_drift(reference.select(*columns), kept.select(*columns), config=config)
+            found = drift_against(reference, kept.select(*columns), config)
             metrics = drift_metrics(found, model, F.lit(as_of).cast("timestamp"))
             metrics.write.mode("overwrite").parquet(f"{path}/batch={number}")
         finally:

@@ -192,3 +192,89 @@ def test_kolmogorov_tail(spark):
     df = spark.createDataFrame([(1.3580986393225505 / math.sqrt(50.0),)], "d double")
     p = df.select(kolmogorov_p_value(F.col("d"), F.lit(100), F.lit(100))).first()[0]
     assert p == pytest.approx(0.05, abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ["tail", "ties", "one value in the reference", "one value in both", "tiny"])
+def test_stored_reference(spark, name):
+    """A stored profile gives the statistics that the reference itself gives."""
+    a, b = SAMPLES[name](np.random.default_rng(6))
+    config = DriftConfig(min_ranges=5, max_ranges=5)
+    ref, cur = sides(spark, a, b)
+    profile = drift.store_profile(ref, config=config)
+    row = drift.drift_against(drift.open_profile(spark, profile.path), cur, config).first()
+    psi, js = psi_js(a, b)
+    assert row["ks_statistic"] == pytest.approx(ks(a, b), abs=1e-12)
+    assert row["psi"] == pytest.approx(psi, abs=1e-9)
+    assert row["js_distance"] == pytest.approx(js, abs=1e-6)
+    assert row["ref_mean"] == pytest.approx(a.mean()) and row["n_ref"] == len(a) and row["n_cur"] == len(b)
+
+
+def mixed(spark, seed, n):
+    rng = np.random.default_rng(seed)
+    rows = [
+        (float(rng.normal(seed)), float("nan") if i % 7 == 0 else float(i % 11), int(i % 3), None,
+         None if i % 5 == 0 else "abc"[i % (2 + seed)], i % 2 == 0, float(np.exp(rng.normal(0, 5))))
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "x double, y double, k int, none double, c string, flag boolean, tail double")
+
+
+def by_feature(df):
+    return {r["feature"]: r.asDict() for r in df.collect()}
+
+
+def test_stored_reference_of_many_columns(spark):
+    ref, cur = mixed(spark, 0, 900), mixed(spark, 1, 200)
+    config = DriftConfig(min_ranges=16, max_ranges=16)
+    profile = drift.store_profile(ref, config=config)
+    got, want = by_feature(drift.drift_against(profile, cur, config)), by_feature(drift.detect_drift(ref, cur, config=config))
+    assert got.keys() == want.keys() == {"x", "y", "k", "c", "flag", "tail"}
+    for feature, row in got.items():
+        assert row == pytest.approx(want[feature], abs=1e-9, nan_ok=True), feature
+    # Columns that a batch lacks give no row; the others stay.
+    fewer = by_feature(drift.drift_against(profile, cur.drop("y", "c"), config))
+    assert fewer.keys() == {"x", "k", "flag", "tail"} and fewer["tail"] == pytest.approx(got["tail"], abs=1e-9, nan_ok=True)
+    nothing = drift.drift_against(profile, cur.limit(0), config)
+    assert nothing.count() == 0 and nothing.columns == drift.detect_drift(ref, cur).columns
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_cuts_stay_in_their_table(spark, monkeypatch):
+    """No cut is a literal of the plan, and an open range with many values is split by row rank."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=4000), rng.normal(0.05, 1, 4000)
+    ref, cur = sides(spark, a, b)
+    made, read = [], []
+    write = drift.materialise
+    monkeypatch.setattr(drift, "materialise", lambda df, label: made.append((label, plan_of(df))) or write(df, label))
+    totals = drift.running_totals
+    monkeypatch.setattr(
+        drift, "running_totals",
+        lambda df, keys, order, sums, xors, hot: read.append(df.count()) or totals(df, keys, order, sums, xors, 50, 20),
+    )
+    row = drift.detect_drift(ref, cur, config=DriftConfig(min_ranges=8, max_ranges=8)).first()
+    assert row["ks_statistic"] == pytest.approx(ks(a, b), abs=1e-12) and read[0] > 200
+    cells = [plan for label, plan in made if label in ("cells", "open-values")]
+    assert len(cells) == 2 and all("scalar-subquery" in plan for plan in cells)
+    measured = drift._measured(drift._wide(ref, cur, ["x"]), ["x"])
+    known, ranges = drift._with_cuts(measured, DriftConfig(min_ranges=8, max_ranges=8), 1)
+    assert ranges == 8
+    for cut in known.first()["cuts"]:
+        assert not any(str(cut)[:8] in plan for plan in cells)
+
+
+def test_a_batch_does_not_read_the_reference(spark, tmp_path, monkeypatch):
+    ref, cur = mixed(spark, 0, 300), mixed(spark, 1, 100)
+    ref.write.parquet(f"{tmp_path}/reference")
+    profile = drift.store_profile(spark.read.parquet(f"{tmp_path}/reference"), path=f"{tmp_path}/profile")
+    seen = []
+    write = drift.materialise
+    monkeypatch.setattr(drift, "materialise", lambda df, label: seen.extend(df.inputFiles()) or write(df, label))
+    found = drift.drift_against(profile, cur)
+    seen += found.inputFiles()
+    assert found.count() == 6
+    assert any(f"{tmp_path}/profile/ranges" in file for file in seen)
+    assert not any(f"{tmp_path}/reference" in file for file in seen)
