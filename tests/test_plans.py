@@ -44,3 +44,12 @@ def test_cost_join_sums_before_it_shuffles(spark):
 def test_import_needs_no_session():
     code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and len(e.oracle_sql()) > 100"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_a_missing_library_of_the_training_data_leaves_the_other_queries():
+    code = (
+        "import sys; sys.modules['ahocorasick'] = None\n"
+        "import __spark_entry__ as e; found = e.queries()\n"
+        "assert len(found) > 100 and len(e.oracle_sql()) > 100 and not any(n.startswith('op') for n in found)"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
