@@ -18,8 +18,6 @@ A list has at most ``k`` entries, and at most ``FAN_IN`` lists meet in a merge.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.tables import write
+from driftline.llm.topk import whole_components
 
 SCALE = 256
 K = 5
@@ -87,16 +86,6 @@ def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     return out[:m, :n]
 
 
-def whole_components(x: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * x) of finite doubles: int64, or object where a component does not fit."""
-    with np.errstate(over="ignore"):
-        scaled = np.floor(scale * x)
-    if x.size == 0 or np.abs(scaled).max() < 2.0**62:
-        return scaled.astype(np.int64)
-    flat = [int(s) if math.isfinite(s) else int(v) * scale for s, v in zip(scaled.ravel(), x.ravel(), strict=True)]
-    return np.array(flat, dtype=object).reshape(x.shape)
-
-
 def scores(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products of two integer matrices' rows; a score beyond a long becomes its limit."""
     if anchors.dtype != object and rows.dtype != object:

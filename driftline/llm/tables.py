@@ -27,8 +27,9 @@ def setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
-#: Rows handed to Python at once; whole documents are long rows, and executors hold several batches.
+#: Rows and bytes handed to Python at once; whole documents are long rows, and executors hold several batches.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def write(df: DataFrame, label: str) -> DataFrame:
@@ -36,7 +37,7 @@ def write(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     key, rows = BATCH_ROWS
     fewer = str(min(rows, int(spark.conf.get(key, "10000")) or rows))
-    with setting(spark, CLEANUP, "true"), setting(spark, key, fewer):
+    with setting(spark, CLEANUP, "true"), setting(spark, key, fewer), setting(spark, *BATCH_BYTES):
         return materialise(df, label)
 
 

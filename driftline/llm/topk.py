@@ -1,10 +1,11 @@
 """Exact top-k search by inner product: tiles, partial selection, tree merge.
 
-Vectors are gathered into shard tiles and query tiles, both as integer
-matrices. Every query tile is dealt to every group of shards and multiplied with
-each shard of the group; from a product only each query's ``k`` best are kept
-(ties go to the smaller id). Their lists are then merged ``FAN_IN`` tiles at a
-time until one list per query is left, so no task sees more than
+Vectors are gathered into shard tiles and query tiles. Every query tile is dealt
+to every group of shards and multiplied, as integer matrices, with each shard of
+the group; from a product only each query's ``k`` best are kept (ties go to the
+smaller id) and merged with those of the group's earlier shards, so that one
+list per query and group is written. These lists are then merged ``FAN_IN`` at a
+time until one list per query is left, so no task sees more than about
 ``FAN_IN * k`` entries of a query, whatever the number of vectors.
 """
 
@@ -22,15 +23,23 @@ SCALE = 64
 K = 20
 SHARD_ROWS = 4096
 QUERY_ROWS = 1024
-#: Query tiles are sent to at most this many groups of shards.
-GROUPS = 1024
+#: Shards that a query tile meets in one task, one after the other.
+GROUP_SHARDS = 32
 FAN_IN = 16
-#: Larger components (after scaling) take no part: doubles do not hold them exactly.
-LARGEST = 2**53
 
 
-def scaled_rows(ids: pa.Array, vectors: pa.Array, scale: int):
-    """(ids, integer matrix) per vector length; rows with nulls or non-finite components left out."""
+def whole_components(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of finite doubles: int64, or object where a component does not fit."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(scale * x)
+    if x.size == 0 or np.abs(scaled).max() < 2.0**62:
+        return scaled.astype(np.int64)
+    flat = [int(s) if np.isfinite(s) else int(v) * scale for s, v in zip(scaled.ravel(), x.ravel(), strict=True)]
+    return np.array(flat, dtype=object).reshape(x.shape)
+
+
+def usable_rows(ids: pa.Array, vectors: pa.Array):
+    """(ids, matrix of doubles) per vector length; rows with nulls or non-finite components left out."""
     lengths = np.array([len(v) if v is not None else 0 for v in vectors.to_pylist()])
     values = vectors.to_pylist()
     usable = [
@@ -39,17 +48,17 @@ def scaled_rows(ids: pa.Array, vectors: pa.Array, scale: int):
     ]
     for length in sorted(set(lengths[usable].tolist())):
         rows = np.array([i for i in usable if lengths[i] == length])
-        matrix = np.floor(scale * np.array([values[i] for i in rows], np.float64))
-        fine = (np.abs(matrix) < LARGEST).all(axis=1)  # false for inf and nan as well
+        matrix = np.array([values[i] for i in rows], np.float64)
+        fine = np.isfinite(matrix).all(axis=1)
         if fine.any():
             key = np.array(ids.take(pa.array(rows[fine])).to_pylist(), np.int64)
-            yield length, key, matrix[fine].astype(np.int64)
+            yield length, key, matrix[fine]
 
 
 TILE = "tile long, width int, ids binary, matrix binary"
 
 
-def _tiles(vectors: DataFrame, rows: int, scale: int) -> DataFrame:
+def _tiles(vectors: DataFrame, rows: int) -> DataFrame:
     """Tiles of at most ``rows`` vectors of one length, ascending by id inside."""
 
     def work(batches):
@@ -69,8 +78,8 @@ def _tiles(vectors: DataFrame, rows: int, scale: int) -> DataFrame:
             })
 
         for batch in batches:
-            for width, ids, matrix in scaled_rows(batch.column(0), batch.column(1), scale):
-                held = waiting.setdefault(width, [np.empty(0, np.int64), np.empty((0, width), np.int64)])
+            for width, ids, matrix in usable_rows(batch.column(0), batch.column(1)):
+                held = waiting.setdefault(width, [np.empty(0, np.int64), np.empty((0, width))])
                 held[0] = np.concatenate([held[0], ids])
                 held[1] = np.concatenate([held[1], matrix])
                 while len(held[0]) >= rows:
@@ -87,6 +96,7 @@ def best_of_tile(queries, query_ids, shard, shard_ids, k: int):
     """(row of the query, score, id) of each query's ``k`` best in one shard, its own id left out."""
     n = len(shard_ids)
     largest = int(np.abs(queries).max(initial=0)) * int(np.abs(shard).max(initial=0)) * shard.shape[1]
+    largest = max(largest, 2**53 * (queries.dtype == object or shard.dtype == object))
     if (largest + 1) * 2 * n < 2**53:  # doubles hold a score and a column together
         scores = queries.astype(np.float64) @ shard.astype(np.float64).T
         # Of equal scores the first column, which has the smaller id, counts more.
@@ -108,6 +118,16 @@ def best_of_tile(queries, query_ids, shard, shard_ids, k: int):
     return tuple(np.array(c, np.int64) for c in columns)
 
 
+def merged(held, more, k: int):
+    """The ``k`` best of two lists (row, score, id) per row, best first."""
+    row, score, found = (np.concatenate(c) for c in zip(held, more, strict=True))
+    order = np.lexsort((found, ~score, row))
+    row, score, found = row[order], score[order], found[order]
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    rank = np.arange(len(row)) - np.repeat(starts, np.diff([*starts, len(row)]))
+    return [c[rank < k] for c in (row, score, found)]
+
+
 def top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -121,66 +141,78 @@ def top_k(
     """(query_id, rank, id, score): for every row of ``queries`` its ``k`` best rows of ``vectors``.
 
     Components become ``floor(scale * x)``; scores are their exact inner
-    products (saturated at the limits of a long). Rows without id, with a null
-    vector or component, a non-finite one or one beyond 2**53 take no part, nor
-    do vectors of another length than the query's. Rows with the query's id are
+    products (a score beyond a long becomes its limit, where ties go by id). Rows
+    without id, with a null vector or component or a non-finite one take no part,
+    nor do vectors of another length than the query's. Rows with the query's id are
     not its candidates. A repeated query row is answered each time. Empty tables
     give an empty one.
     """
     slim = [F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector")]
-    shards = write(_tiles(vectors.select(*slim), shard_rows, scale), "shards")
+    shards = write(_tiles(vectors.select(*slim), shard_rows), "shards")
     # Dealt anew, so that few queries among many rows still make full tiles.
     asked = queries.select(*slim).repartition(max(1, -(-queries.count() // query_rows)))
-    asked = write(_tiles(asked, query_rows, scale), "queries")
+    asked = write(_tiles(asked, query_rows), "queries")
     n_shards = shards.count()
-    groups = max(1, min(GROUPS, n_shards))
+    width = vectors.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-n_shards // GROUP_SHARDS), min(n_shards, width))
     copies = asked.select(
-        F.col("tile").alias("query_tile"), F.col("width").alias("query_width"),
+        F.col("tile").alias("query_tile"), "width",
         F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("query_group"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
     )
     dealt = shards.withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int"))
-    pairs = dealt.join(copies, (F.col("group") == F.col("query_group")) & (F.col("width") == F.col("query_width")))
+    # The queries are the streamed side: the pairs of a tile with its group's shards follow each other.
+    pairs = copies.join(dealt, ["group", "width"])
+
+    def lists_of(tile, q_ids, held, part):
+        row, score, found = held
+        edges = np.searchsorted(row, np.arange(len(q_ids) + 1))
+        # ``worse`` is the score's complement: ascending order is best first, without overflow.
+        entries = pa.StructArray.from_arrays([pa.array(~score), pa.array(found)], names=["worse", "id"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(q_ids), tile)),
+                pa.array(np.arange(len(q_ids))),
+                pa.array(q_ids),
+                pa.array(np.full(len(q_ids), part)),
+                pa.ListArray.from_arrays(pa.array(edges, pa.int32()), entries),
+            ],
+            ["query_tile", "query_row", "query_id", "part", "best"],
+        )
 
     def work(batches):
+        part = TaskContext.get().partitionId()
+        tile, q, q_ids, held = None, None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                pair = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                width = pair["width"]
-                q, s = (np.frombuffer(pair[c], np.int64).reshape(-1, width) for c in ("query_matrix", "matrix"))
-                q_ids, s_ids = (np.frombuffer(pair[c], np.int64) for c in ("query_ids", "ids"))
-                row, score, found = best_of_tile(q, q_ids, s, s_ids, k)
-                order = np.lexsort((found, -score, row))
-                row, score, found = row[order], score[order], found[order]
-                edges = np.searchsorted(row, np.arange(len(q) + 1))
-                entries = pa.StructArray.from_arrays(
-                    [pa.array(~score), pa.array(found)], names=["worse", "id"]
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(q), pair["query_tile"])),
-                        pa.array(np.arange(len(q))),
-                        pa.array(q_ids),
-                        pa.array(np.full(len(q), pair["tile"])),
-                        pa.ListArray.from_arrays(pa.array(edges, pa.int32()), entries),
-                    ],
-                    ["query_tile", "query_row", "query_id", "tile", "best"],
-                )
-
-    # ``worse`` is the score's complement: ascending order is best first, without overflow.
+                pair = {name: batch.column(name)[i] for name in batch.schema.names}
+                size = pair["width"].as_py()
+                if pair["query_tile"].as_py() != tile:
+                    if tile is not None:
+                        yield lists_of(tile, q_ids, held, part)
+                    tile, held = pair["query_tile"].as_py(), [np.empty(0, np.int64)] * 3
+                    q_ids = np.frombuffer(pair["query_ids"].as_py(), np.int64)
+                    q = whole_components(np.frombuffer(pair["query_matrix"].as_py()).reshape(-1, size), scale)
+                s = whole_components(np.frombuffer(pair["matrix"].as_py()).reshape(-1, size), scale)
+                s_ids = np.frombuffer(pair["ids"].as_py(), np.int64)
+                held = merged(held, best_of_tile(q, q_ids, s, s_ids, k), k)
+        if tile is not None:
+            yield lists_of(tile, q_ids, held, part)
+
     lists = pairs.mapInArrow(
         work,
-        "query_tile long, query_row long, query_id long, tile long, best array<struct<worse:long,id:long>>",
+        "query_tile long, query_row long, query_id long, part long, best array<struct<worse:long,id:long>>",
     )
     lists = write(lists, "lists")
     query = ["query_tile", "query_row", "query_id"]
-    left = n_shards
-    while left > 1:
+    left, last = groups, False
+    while not last:
         # About FAN_IN lists meet in a part; the last level is one part.
         left = -(-left // FAN_IN)
+        last = left == 1
         lists = (
-            lists.withColumn("tile", F.pmod(F.xxhash64("tile"), F.lit(left)))
-            .groupBy(*query, "tile")
+            lists.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(left)))
+            .groupBy(*query, "part")
             .agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
         )
     return lists.select(F.col("query_id"), F.posexplode("best").alias("place", "entry")).select(

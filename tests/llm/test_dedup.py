@@ -24,7 +24,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)])
 
 
-def brute_components(rows):
+def brute_components(rows, threshold=85):
     rows = [r for r in rows if r[0] is not None]
     sets = [(r[0], shingles(r[1])) for r in rows]
     root = {i: i for i, _ in sets}
@@ -36,7 +36,7 @@ def brute_components(rows):
 
     for n, (i, a) in enumerate(sets):
         for j, b in sets[:n]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= threshold * len(a | b):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return sorted((i, len(s), find(i), i == find(i)) for i, s in sets)

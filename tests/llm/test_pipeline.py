@@ -21,7 +21,7 @@ def test_stages(spark):
     named = write(stages["language_id"](spark, docs, FOLDER), "t")
     assert named.dtypes == kinds and {r["doc_id"] for r in named.collect()} == set(given)
     kept = write(stages["minhash_near_dedup"](spark, named, FOLDER), "t")
-    want = {i for i, _, _, first in brute_components([(i, r["text"]) for i, r in given.items()]) if first}
+    want = {i for i, _, _, first in brute_components([(i, r["text"]) for i, r in given.items()], corpus_pipeline.NEAR) if first}
     assert kept.dtypes == kinds and {r["doc_id"] for r in kept.collect()} == want
     clean = write(stages["secret_scan"](spark, kept, FOLDER), "t")
     assert clean.dtypes == kinds and clean.count() == len(want)
@@ -56,6 +56,24 @@ def test_near_copies_from_four_fifths_on(spark):
     assert not any(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(kept) for b in kept[:i] if a and b)
 
 
+def test_texts_that_share_an_id_are_judged_each(spark):
+    """A text goes if it has a near copy that stays, not because another text has its id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, b), (5, a), (5, b), (5, b), (6, c), (7, a + " more"), (None, a), (None, a), (9, None), (9, None), (9, ""), (9, c)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    for shift in (0, 1 << 62, -(1 << 62) - 10):
+        moved = [(i if i is None else i + shift, t, "en", "s", 0) for i, t in rows]
+        docs = spark.createDataFrame(moved, kind).repartition(3)
+        kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()]
+        kept = sorted(((i if i is None else i - shift, t) for i, t in kept), key=str)
+        # Of copies one stays; the nulls and the empty text are kept, null ids are apart from every group.
+        assert [t for i, t in kept if i is None] == [a, a]
+        texts = sorted(str(t) for i, t in kept if i is not None)
+        assert len([t for t in texts if t.startswith("a0")]) == 1 and texts.count(b) == texts.count(c) == 1
+        assert texts.count("None") == texts.count("") == 1 and len(kept) == 7
+        assert shift > 0 or ((1, b) in kept and (6, c) in kept)
+
+
 def test_equal_rows_are_taken_each_for_itself(spark):
     """Copies without id at the cut of one source and in another, and rows that repeat an id."""
     text = "one two three four five"

@@ -216,3 +216,17 @@ def test_top_k_with_ties_and_odd_vectors(spark, scale):
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:7])]
     assert sorted(map(tuple, found)) == want
     assert topk.top_k(df.limit(0), asked.limit(0)).count() == 0
+
+
+def test_top_k_of_large_finite_components(spark):
+    """No finite vector is left out; scores stay exact beyond doubles, and stop at a long's limits."""
+    vectors = [(0, [1e15, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 1.0]), (3, [1e300, -1.0]), (4, [1e15, 2.0]), (5, [-1e307, 3.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(2)
+    got = {}
+    for r in topk.top_k(df, df).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    scaled = {i: [int(x) * 64 for x in v] for i, v in vectors}
+    for q, v in scaled.items():
+        exact = {i: sum(a * b for a, b in zip(v, w, strict=True)) for i, w in scaled.items() if i != q}
+        held = sorted((-min(max(s, -(2**63)), 2**63 - 1), i) for i, s in exact.items())
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(held)]
