@@ -49,17 +49,43 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _columns(kept.withColumn("lang", F.col("language")))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``node``, an id of its own for every (id, text); rows that repeat both are one.
+
+    Only rows that share their id with another text get another number, beyond
+    all ids in use. Null ids stay null.
+    """
+    repeated = write(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    whole = docs.withColumn("node", F.col("doc_id"))
+    if repeated.isEmpty():
+        return whole
+    place = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    again = write(again.withColumn("place", place), "again")
+    firsts = write(again.groupBy("doc_id").agg(F.min("place").alias("place"), F.lit(True).alias("first")), "firsts")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if high >= 1 << 62 and low <= -(1 << 62):
+        raise ValueError("ids of both ends of a long leave no room for texts that share one")
+    other = F.monotonically_increasing_id()
+    other = high + 1 + other if high < 1 << 62 else low - 1 - other
+    # Numbered where the written rows are read, so that a task that runs again gives the same numbers.
+    numbered = again.withColumn("other", other).join(firsts, ["doc_id", "place"], "left")
+    numbered = numbered.withColumn("node", F.when(F.col("first"), F.col("doc_id")).otherwise(F.col("other")))
+    single = whole.join(repeated, "doc_id", "left_anti")
+    return single.unionByName(write(numbered.select(*whole.columns), "numbered"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    groups = minhash.near_duplicates(docs, threshold=NEAR, bands=NEAR_BANDS)
-    # Written, so that Spark knows their sizes and deals out the texts only if it must.
-    dropped = write(groups.filter("not kept").select("doc_id").distinct(), "dropped")
-    repeated = write(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    if not repeated.isEmpty():
-        again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
-    return _columns(kept)
+    """Keeps one document of each group of near copies, the one with the smallest id.
+
+    Every text is judged for itself, also where texts share an id; of rows that
+    repeat an id and a text one is a document.
+    """
+    rows = _numbered(docs)
+    groups = minhash.near_duplicates(rows, id_column="node", threshold=NEAR, bands=NEAR_BANDS)
+    # Written, so that Spark knows its size and deals out the texts only if it must.
+    dropped = write(groups.filter("not kept").select("node").distinct(), "dropped")
+    return _columns(rows.join(dropped, "node", "left_anti"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
