@@ -95,7 +95,7 @@ def mix(
     an empty one.
     """
     carried = [carry] if carry else []
-    slim = docs.select(
+    whole_rows = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.col(source_column).cast("string").alias("source"),
         word_count(F.col(text_column)).alias("size"),
@@ -103,41 +103,46 @@ def mix(
         F.xxhash64(text_column).alias("text_hash"),
         *carried,
     )
-    slim = write(slim, "sizes")
+    # Carried rows are read again below instead of being written twice.
+    slim = write(whole_rows.drop(*carried), "sizes")
     sizes = slim.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")
     )
+    # A number for every source, so that windows and joins deal the rows out by the same keys, without nulls.
     goals = write(
         targets(sizes, weights, share, most)
         .join(sizes.select(F.col("source").alias("s"), "n_rows"), F.col("source").eqNullSafe(F.col("s")))
-        .drop("s"),
+        .drop("s")
+        .withColumn("number", F.monotonically_increasing_id()),
         "targets",
     )
     goals = goals.select(
         F.col("source").alias("goal_source"),
+        "number",
         "source_size",
         "target",
         F.ceil(F.col("n_rows") / range_rows).alias("n_ranges"),
     )
     # One row per source: Spark broadcasts it while it is small.
-    rows = slim.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).withColumn(
-        "range", F.floor(F.col("key") * F.col("n_ranges") / F.lit(1 << 40)).cast("long")
-    )
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    earlier = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranges.select(
-        F.col("source").alias("start_source"),
-        F.col("range").alias("start_range"),
-        F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("start"),
+    def placed_in_ranges(rows: DataFrame) -> DataFrame:
+        return rows.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).withColumn(
+            "range", F.floor(F.col("key") * F.col("n_ranges") / F.lit(1 << 40)).cast("long")
+        )
+
+    ranges = placed_in_ranges(slim).groupBy("number", "range").agg(F.sum("size").alias("range_size"))
+    earlier = W.partitionBy("number").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = write(
+        ranges.select(
+            "number", "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("start")
+        ),
+        "starts",
     )
+    rows = placed_in_ranges(whole_rows if carry else slim)
     order = ["key", "doc_id", "text_hash", *map(F.xxhash64, carried)]
-    inside = W.partitionBy("source", "range").orderBy(*order)
+    inside = W.partitionBy("number", "range").orderBy(*order)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    placed = placed.join(
-        starts,
-        F.col("source").eqNullSafe(F.col("start_source")) & (F.col("range") == F.col("start_range")),
-    )
+    placed = placed.join(starts, ["number", "range"])
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     left = budget - whole * F.col("source_size")

@@ -27,9 +27,8 @@ def setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
-#: Rows and bytes handed to Python at once; whole documents are long rows, and executors hold several batches.
+#: Rows handed to Python at once; whole documents are long rows, and executors hold several batches.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def write(df: DataFrame, label: str) -> DataFrame:
@@ -37,8 +36,35 @@ def write(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     key, rows = BATCH_ROWS
     fewer = str(min(rows, int(spark.conf.get(key, "10000")) or rows))
-    with setting(spark, CLEANUP, "true"), setting(spark, key, fewer), setting(spark, *BATCH_BYTES):
-        return materialise(df, label)
+    with setting(spark, CLEANUP, "true"), setting(spark, key, fewer):
+        table = materialise(df, label)
+    for made in _made:
+        made.append(table)
+    return table
+
+
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded():
+    """Lists the tables that :func:`write` makes meanwhile."""
+    made: list[DataFrame] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made.remove(made)
+
+
+def discard(tables) -> None:
+    """Deletes written tables that no plan reads any more."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

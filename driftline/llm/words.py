@@ -8,6 +8,8 @@ different words share one with a probability of about 2**-59.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,6 +129,14 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 * PI
             offsets[at : stop + 1] - offsets[at],
         )
         at = stop
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def sequence_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
