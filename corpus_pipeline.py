@@ -22,17 +22,20 @@ from every group by near-dedup. An empty table gives empty results.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import language, minhash, mixing, packing, secrets
-from driftline.llm.tables import documents, write
+from driftline.llm.tables import discard, documents, recorded, setting, write
 from driftline.llm.words import find_words, text_slices
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Per cent of shared shingles from which documents are near copies; at 0.80 these bands miss a pair with 1.3e-7.
 NEAR, NEAR_BANDS = 80, 40
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def _columns(df: DataFrame, text: str = "text") -> DataFrame:
@@ -82,9 +85,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeat an id and a text one is a document.
     """
     rows = _numbered(docs)
-    groups = minhash.near_duplicates(rows, id_column="node", threshold=NEAR, bands=NEAR_BANDS)
-    # Written, so that Spark knows its size and deals out the texts only if it must.
-    dropped = write(groups.filter("not kept").select("node").distinct(), "dropped")
+    with recorded() as made:
+        groups = minhash.near_duplicates(rows, id_column="node", threshold=NEAR, bands=NEAR_BANDS)
+        # Written, so that Spark knows its size and deals out the texts only if it must.
+        dropped = write(groups.filter("not kept").select("node").distinct(), "dropped")
+    discard(made[:-1])  # only the last table is read from here on
     return _columns(rows.join(dropped, "node", "left_anti"))
 
 
@@ -123,12 +128,23 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
+def _lean(stage):
+    """The stage with small batches of texts for Python: many operators share the executors' memory here."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with setting(spark, *BATCH_BYTES):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("minhash_near_dedup", drop_near_copies),
-    ("secret_scan", redact_secrets),
-    ("source_mix", mix_sources),
-    ("packing", pack_sequences),
+    ("language_id", _lean(identify_language)),
+    ("minhash_near_dedup", _lean(drop_near_copies)),
+    ("secret_scan", _lean(redact_secrets)),
+    ("source_mix", _lean(mix_sources)),
+    ("packing", _lean(pack_sequences)),
 ]
 
 #: The trained language model, sketches and token ids are not SQL; tests hold run() against brute force.
