@@ -74,42 +74,48 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge.
 
-    Each round every node takes the smallest label among its own and its
-    neighbours' and then its label's label (pointer jumping), so that rounds
-    grow with the logarithm of a component's width. Labels are written each
-    round; a hub's many edges are summed before the shuffle.
+    Each round every node is put under the smallest of itself and its neighbours
+    (a hub's many edges are summed before the shuffle), the labels are followed
+    to their roots by pointer jumping, and the edges are contracted to those
+    between different roots. So an edge is joined with labels once in most
+    cases, and rounds grow with the logarithm of a component's width.
     """
-    both = write(
-        edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
-        .union(edges.select(F.col(b), F.col(a)))
-        .filter(F.col("node") != F.col("other")),
-        "links",
-    )
-    labels = write(
-        both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")),
-        "labels",
-    )
+    near, far = F.least(a, b), F.greatest(a, b)
+    left = write(edges.select(near.alias("a"), far.alias("b")).filter("a <> b").distinct(), "links")
+    groups = None
     while True:
-        seen = labels.select(F.col("node").alias("other"), F.col("component").alias("near"))
-        offered = (
-            both.join(seen, "other")
-            .groupBy("node")
-            .agg(F.min("near").alias("near"))
+        sides = F.array(
+            F.struct(F.col("a").alias("node"), F.col("b").alias("other")),
+            F.struct(F.col("b").alias("node"), F.col("a").alias("other")),
         )
-        lowered = labels.join(offered, "node").select(
-            "node",
-            F.col("component").alias("before"),
-            F.least("component", "near").alias("lower"),
+        ends = left.select(F.inline(sides))
+        labels = write(
+            ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels"
         )
-        jump = labels.select(F.col("node").alias("lower"), F.col("component").alias("further"))
-        after = write(
-            lowered.join(jump, "lower", "left").select(
-                "node", "before", F.least("lower", "further").alias("component")
-            ),
-            "labels",
-        )
-        labels = after.select("node", "component")
-        if after.filter("before <> component").isEmpty():
+        labels = _to_roots(labels)
+        if groups is None:
+            groups = labels
+        else:
+            roots = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
+            groups = groups.join(roots, "component", "left")
+            groups = write(groups.select("node", F.coalesce("root", "component").alias("component")), "groups")
+        under = [
+            labels.select(F.col("node").alias(c), F.col("component").alias(f"under_{c}")) for c in ("a", "b")
+        ]
+        moved = left.join(under[0], "a").join(under[1], "b").filter("under_a <> under_b")
+        moved = moved.select(F.least("under_a", "under_b").alias("a"), F.greatest("under_a", "under_b").alias("b"))
+        left = write(moved.distinct(), "links")
+        if left.isEmpty():
+            return groups
+
+
+def _to_roots(labels: DataFrame) -> DataFrame:
+    """Labels (never above their node) replaced by their own labels until nothing changes."""
+    while True:
+        further = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        after = write(labels.join(further, "component").select("node", "component", "further"), "labels")
+        labels = after.select("node", F.col("further").alias("component"))
+        if after.filter("component <> further").isEmpty():
             return labels
 
 

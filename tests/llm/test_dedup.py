@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from driftline.llm import fingerprints, minhash, queries, substrings
+from driftline.llm.tables import components
 from driftline.llm.words import find_words
 from tests.llm.conftest import frame, words
 
@@ -192,3 +193,25 @@ def test_trees_lose_nothing_and_locate_edits(spark):
     first, second, third = df.collect()
     assert first["again"] == text and [tuple(e) for e in first["edits"]] == [(1, 0)]
     assert 0.5 < first["near"] < 1 and second["near"] == 0 and third["near"] == 1
+
+
+def test_components_of_chains_stars_and_odd_edges(spark):
+    """Long chains against their order, hubs with a large number, repeated and looped edges, no edge."""
+    rng = random.Random(11)
+    chain = rng.sample(range(1000, 1200), 150)
+    pairs = list(zip(chain, chain[1:], strict=False)) + [(5000, i) for i in range(300, 360)] + [(7, 7), (9, 8), (8, 9), (9, 8)]
+    pairs += [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(90)]
+    root = {i: i for p in pairs for i in p if p[0] != p[1]}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in pairs:
+        if x != y:
+            x, y = sorted((find(x), find(y)))
+            root[y] = x
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    assert sorted(map(tuple, components(df).collect())) == sorted((i, find(i)) for i in root)
+    assert components(df.limit(0)).collect() == []
