@@ -21,6 +21,11 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+def known_hash(columns: Sequence[str]) -> Column:
+    """64-bit hash of some columns that tells (x, null) from (null, x)."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def floor_at(value: Column, minimum: float) -> Column:
     """The value, but at least ``minimum``."""
     return F.greatest(value, F.lit(minimum))
@@ -66,7 +71,12 @@ def align_down(ts: Column, step_seconds: int) -> Column:
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """As ``left.join(right, keys, how)``, but a null key equals a null key; the keys are the left ones."""
+    """As ``left.join(right, keys, how)``, but a null key equals a null key; the keys are the left ones.
+
+    Without keys every row meets every row, as in a join of two series without labels.
+    """
+    if not keys:
+        return left.join(right, F.lit(True), how)
     renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
     same = reduce(and_, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.functions.scalars import ratio
+from driftline.functions.scalars import join_on_keys, known_hash, ratio
 from driftline.operators.series import hold
 
 MINUTE, HOUR, DAY = 60, 3600, 86_400
@@ -201,7 +201,7 @@ def inhibit(
     critical = firing.filter(F.col("severity") == "critical").select(*equal, ts).distinct()
     warnings = firing.filter(F.col("severity") == "warning")
     others = firing.filter(F.coalesce(F.col("severity"), F.lit("")) != "warning")
-    return others.unionByName(warnings.join(critical, [*equal, ts], "left_anti"))
+    return others.unionByName(join_on_keys(warnings, critical, [*equal, ts], "left_anti"))
 
 
 def notifications(
@@ -225,7 +225,7 @@ def notifications(
     since the last send.
     """
     by = list(by)
-    ident = F.xxhash64(*(fingerprint or [c for c in firing.columns if c != ts]))
+    ident = known_hash(fingerprint or [c for c in firing.columns if c != ts])
     alerts = firing.select(*by, ts, ident.alias("_ident")).distinct()
     # Two sums over the set: different sets have different ones but for chance.
     spread = F.xxhash64("_ident", F.lit(1))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.errors import MissingColumnError
+from driftline.functions.scalars import join_on_keys
 from driftline.functions.segments import CHUNK_ROWS, HOT_ROWS, latest_before
 from driftline.session import materialise
 
@@ -108,12 +109,12 @@ def online_features(
     if keys is not None:
         # Written, so that its size is known: a short list is broadcast to the scan.
         keys = materialise(keys.select(*view.entity).distinct(), "online-keys")
-        shaped = shaped.join(keys, list(view.entity), "left_semi")
+        shaped = join_on_keys(shaped, keys, view.entity, "left_semi")
     wanted = refs_of(view, refs) if refs is not None else list(view.fields)
     latest = shaped.groupBy(*view.entity).agg(
         F.max_by(F.struct(view.timestamp, *wanted), F.struct(view.timestamp, *view.tie)).alias("f")
     )
     out = latest.select(*view.entity, "f.*")
     if keys is not None:
-        out = keys.join(out, list(view.entity), "left")
+        out = join_on_keys(keys, out, view.entity, "left")
     return out

@@ -77,9 +77,9 @@ def benchmark_summary(results: DataFrame, walls: DataFrame, level: str = "concur
         return F.round(F.coalesce(F.col(c), F.lit(0.0)), digits)
 
     wall = F.col("wall_s")
+    joined = join_on_keys(counted, wide, [level], "left")
     return (
-        counted.join(wide, level, "left")
-        .join(walls.select(level, "wall_s"), level, "left")
+        join_on_keys(joined, walls.select(level, "wall_s"), [level], "left")
         .select(
             level,
             "requests",

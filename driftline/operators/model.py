@@ -404,7 +404,7 @@ def check_outputs(
         F.coalesce(F.avg(F.when(~failed, F.col(latency))), F.lit(0.0)).alias("avg_latency"),
     )
     p95 = exact_quantiles(outputs.filter(~failed), keys, latency, [0.95], FLOOR_INDEX)
-    joined = counted.join(p95.select(*keys, F.col("q")[0].alias("p95")), list(keys), "left")
+    joined = join_on_keys(counted, p95.select(*keys, F.col("q")[0].alias("p95")), keys, "left")
     late = F.coalesce("p95", F.lit(0.0))
     checks = {
         "all_inferences_passed": F.col("num_failed") == 0,

@@ -314,10 +314,9 @@ def vector_op(
     op: Callable[[Column, Column], Column],
     value: str = "value",
 ) -> DataFrame:
-    """One-to-one arithmetic between two vectors with equal labels."""
-    return left.join(
-        right.select(*labels, F.col(value).alias("_right")), list(labels)
-    ).select(*labels, op(F.col(value), F.col("_right")).alias(value))
+    """One-to-one arithmetic between two vectors with equal labels; an absent label equals an absent one."""
+    joined = join_on_keys(left, right.select(*labels, F.col(value).alias("_other")), labels)
+    return joined.select(*labels, op(F.col(value), F.col("_other")).alias(value))
 
 
 def divide(left: Column, right: Column) -> Column:
@@ -346,18 +345,17 @@ def group_left(
     """Many-to-one arithmetic; labels of the left side are kept."""
     kept = [c for c in many.columns if c != value]
     side = one.select(*on, F.col(value).alias("_one"))
-    return many.join(side, list(on)).select(*kept, op(F.col(value), F.col("_one")).alias(value))
+    return join_on_keys(many, side, on).select(*kept, op(F.col(value), F.col("_one")).alias(value))
 
 
 def vector_and(left: DataFrame, right: DataFrame, labels: Sequence[str]) -> DataFrame:
-    return left.join(right.select(*labels), list(labels), "left_semi")
+    return join_on_keys(left, right.select(*labels), labels, "left_semi")
 
 
 def vector_or(left: DataFrame, right: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Rows of the left, plus rows of the right whose labels the left lacks."""
-    return left.unionByName(
-        right.join(left.select(*labels).distinct(), list(labels), "left_anti").select(*left.columns)
-    )
+    missing = join_on_keys(right, left.select(*labels).distinct(), labels, "left_anti")
+    return left.unionByName(missing.select(*left.columns))
 
 
 def or_default(value: Column, default: float = 0.0) -> Column:

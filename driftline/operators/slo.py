@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.scalars import matches, ratio
+from driftline.functions.scalars import join_on_keys, matches, ratio
 from driftline.operators.series import buckets, dense, record, trailing_sums
 
 MINUTE, HOUR, DAY = 60, 3600, 86_400
@@ -110,7 +110,7 @@ def burn(ratios: DataFrame, objectives: DataFrame, on: Sequence[str], current: s
     ``objectives`` holds one row per SLO with its ``objective``.
     """
     budget = 1 - F.col("objective")
-    return ratios.join(objectives, list(on)).withColumns(
+    return join_on_keys(ratios, objectives, on).withColumns(
         {
             "budget": budget,
             "current_burn_rate": F.col(f"ratio_{current}") / budget,

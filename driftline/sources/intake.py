@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.errors import InvalidUrlError
-from driftline.functions.scalars import matches
+from driftline.functions.scalars import known_hash, matches
 
 # Accepted address schemes, and the age limit of cached steps.
 SCHEMES = ("http", "https")
@@ -82,7 +82,7 @@ def reusable_steps(
 
 def dataset_fingerprint(df: DataFrame) -> DataFrame:
     """One row that identifies the table's rows in any order: count and two hash sums."""
-    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    row = known_hash(sorted(df.columns))
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.bit_xor(row), F.lit(0)).alias("hash_xor"),
