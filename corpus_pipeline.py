@@ -29,13 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import language, minhash, mixing, packing, secrets
-from driftline.llm.tables import discard, documents, recorded, setting, write
+from driftline.llm.tables import discard, documents, recorded, write
 from driftline.llm.words import find_words, text_slices
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Per cent of shared shingles from which documents are near copies; at 0.80 these bands miss a pair with 1.3e-7.
 NEAR, NEAR_BANDS = 80, 40
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 
 def _columns(df: DataFrame, text: str = "text") -> DataFrame:
@@ -129,12 +132,16 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _lean(stage):
-    """The stage with small batches of texts for Python: many operators share the executors' memory here."""
+    """The stage with small batches of texts for Python: many operators share the executors' memory here.
+
+    The settings stay, since a stage's result is computed after it has returned.
+    """
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with setting(spark, *BATCH_BYTES):
-            return stage(spark, docs, sf_dir)
+        for key, value in BATCHES.items():
+            spark.conf.set(key, value)
+        return stage(spark, docs, sf_dir)
 
     return run_stage
 
