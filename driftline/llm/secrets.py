@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.words import release_memory
+
 #: The base kinds' expressions, in the order in which equal starts are listed.
 BASE = {
     "assign": rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -190,6 +192,8 @@ def redact(docs: DataFrame, text_column: str = "text", mark: str = "[SECRET]") -
                     parts += [text[at:start], mark]
                 at = end
             out.append(text if not parts else "".join([*parts, text[at:]]))
-        return pa.array(out, pa.string())
+        done = pa.array(out, pa.string())
+        release_memory()
+        return done
 
     return docs.withColumn(text_column, F.arrow_udf(work, "string")(F.col(text_column)))
