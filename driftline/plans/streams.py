@@ -16,7 +16,7 @@ from driftline.plans.registry import at_edge, query, table
 from driftline.session import new_shared_path
 from driftline.sources.files import stream_source
 from driftline.streaming import drift as drift_stream
-from driftline.streaming import features, monitoring, tables
+from driftline.streaming import features, monitoring, ordered, tables
 
 HOUR, DAY = 3600, 86_400
 
@@ -104,6 +104,28 @@ def stream_alert_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return at_edge(spark.read.schema(sessions.schema).parquet(f"{path}/t"))
 
 
+_LATE_HOURS = 240
+
+
+def _out_of_order(spark: SparkSession, rows: DataFrame, folder: str, late: str) -> DataFrame:
+    """All rows as a stream of four micro-batches whose times overlap, then a closing row.
+
+    A batch holds ten days, and each row comes up to nine days after its time, by
+    its hash; so no row is later than ``late``.
+    """
+    delay = F.pmod(F.xxhash64("service", "ts"), F.lit(9 * DAY))
+    first = F.lit("2024-01-01").cast("timestamp")
+    at = F.unix_timestamp("ts") - F.unix_timestamp(first) + delay
+    part = F.least(F.floor(at / (10 * DAY)), F.lit(3))
+    marked = rows.withColumn("_part", F.greatest(part, F.lit(0)))
+    seconds = _LATE_HOURS * HOUR
+    for i in range(4):
+        marked.filter(F.col("_part") == i).drop("_part").write.mode("append").parquet(folder)
+    closing = ordered.closing_rows(rows, "ts", seconds, DAY)
+    closing.write.mode("append").parquet(folder)
+    return stream_source(spark, folder, rows.schema, files_per_batch=1)
+
+
 @query(
     "stream_hold",
     f"""WITH {batch.REQ}, b AS (SELECT service, {batch.be(HOUR)} AS ts, count(*) FILTER (status = '500') / count(*) AS r FROM req GROUP BY 1, 2),
@@ -112,18 +134,22 @@ def stream_alert_sessions(spark: SparkSession, sf: str) -> DataFrame:
     SELECT service, ts, active_since, CASE WHEN ts - active_since >= INTERVAL 2 HOURS THEN 'firing' ELSE 'pending' END AS state FROM y""",
 )
 def stream_hold(spark: SparkSession, sf: str) -> DataFrame:
-    """A recorded hourly ratio table, followed as a stream by a stateful hold."""
+    """A recorded hourly ratio table, followed as a stream out of order by a stateful hold."""
     path = new_shared_path(spark, "stream-hold")
-    series.buckets(
+    ratios = series.buckets(
         batch.requests(spark, sf),
         ["service"],
         "ts",
         HOUR,
         r=F.avg((F.col("status") == "500").cast("double")),
-    ).write.parquet(f"{path}/b")
-    ratios = stream_source(spark, f"{path}/b", "service string, ts timestamp, r double")
-    held = monitoring.hold(ratios, ["service"], F.col("r") > 0.05, 2 * HOUR, HOUR)
-    tables.drain(tables.start_table(held, f"{path}/t", f"{path}/c"))
+    ).select("service", "ts", "r")
+    stream = _out_of_order(spark, ratios, f"{path}/b", f"{_LATE_HOURS} hours")
+    held = ordered.hold(
+        stream, ["service"], F.col("r") > 0.05, 2 * HOUR, HOUR, late=f"{_LATE_HOURS} hours", slot_seconds=DAY
+    )
+    with ordered.rocksdb(spark):
+        query = tables.start_table(held, f"{path}/t", f"{path}/c")
+    tables.drain(query)
     return at_edge(spark.read.schema(held.schema).parquet(f"{path}/t"))
 
 
@@ -136,9 +162,19 @@ def stream_hold(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_throttle(spark: SparkSession, sf: str) -> DataFrame:
     path = new_shared_path(spark, "stream-throttle")
-    errors = request_stream(spark, sf).filter("status = '500'")
-    sent = monitoring.throttle(errors, ["service"], 4 * HOUR)
-    tables.drain(tables.start_table(sent, f"{path}/t", f"{path}/c"))
+    asked = batch.requests(spark, sf).select("service", "ts", "status")
+    stream = _out_of_order(spark, asked, f"{path}/b", f"{_LATE_HOURS} hours")
+    sent = ordered.throttle(
+        stream,
+        ["service"],
+        4 * HOUR,
+        F.col("status") == "500",
+        late=f"{_LATE_HOURS} hours",
+        slot_seconds=4 * HOUR,
+    )
+    with ordered.rocksdb(spark):
+        query = tables.start_table(sent, f"{path}/t", f"{path}/c")
+    tables.drain(query)
     return at_edge(spark.read.schema(sent.schema).parquet(f"{path}/t"))
 
 
