@@ -24,6 +24,18 @@ def check_parameters(null_threshold: float, min_rows: int) -> None:
         raise DataError(f"min_rows must be at least 1, got {min_rows}")
 
 
+def parameter_problem(null_threshold: Column, min_rows: Column) -> Column:
+    """:func:`check_parameters` for a table of settings: what is wrong first; null if nothing is.
+
+    A missing or NaN threshold and a missing number of rows are wrong, too.
+    """
+    inside = F.coalesce(~F.isnan(null_threshold) & null_threshold.between(0.0, 1.0), F.lit(False))
+    return (
+        F.when(~inside, "null_threshold must be between 0 and 1")
+        .when(~F.coalesce(min_rows >= 1, F.lit(False)), "min_rows must be at least 1")
+    )
+
+
 def _missing(df: DataFrame, column: str) -> Column:
     floating = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
     null = F.col(column).isNull()
@@ -121,12 +133,20 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.na.drop()
 
 
+def min_rows_verdict(df: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """One row: ``rows``, ``min_rows`` and whether there are ``enough``."""
+    counted = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("min_rows", F.lit(min_rows).cast("long"))
+    return counted.withColumn("enough", F.col("rows") >= F.col("min_rows"))
+
+
 def min_rows_gate(df: DataFrame, min_rows: int = MIN_ROWS) -> int:
     """Number of rows; raises if there are fewer than ``min_rows``."""
-    rows = df.count()
-    if rows < min_rows:
-        raise InsufficientDataError(f"{rows} rows after cleaning, at least {min_rows} needed")
-    return rows
+    verdict = min_rows_verdict(df, min_rows).first()
+    if not verdict["enough"]:
+        raise InsufficientDataError(
+            f"{verdict['rows']} rows after cleaning, at least {min_rows} needed"
+        )
+    return verdict["rows"]
 
 
 @dataclass(frozen=True)

@@ -495,3 +495,23 @@ def predict_with(
                 yield batch.assign(prediction=values, error=errors)
 
     return df.mapInPandas(run, schema)
+
+
+Step = Callable[[DataFrame], DataFrame]
+
+
+def predict_between(
+    df: DataFrame,
+    predict: Callable[[pd.DataFrame], Sequence],
+    features: Sequence[str],
+    preprocess: Step | None = None,
+    postprocess: Step | None = None,
+    result: str = "double",
+) -> DataFrame:
+    """:func:`predict_with` between two steps from table to table; a missing step changes nothing.
+
+    ``postprocess`` sees failed rows as well: their ``prediction`` is null.
+    """
+    ready = df.transform(preprocess) if preprocess else df
+    scored = predict_with(ready, predict, features, result)
+    return scored.transform(postprocess) if postprocess else scored

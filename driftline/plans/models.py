@@ -239,3 +239,25 @@ def failing_model(spark: SparkSession, sf: str) -> DataFrame:
         raise RuntimeError("degraded model")
 
     return model.predict_with(table(spark, sf, "embeddings").select("vec_id"), degraded, ["vec_id"])
+
+
+@query(
+    "hooked_scores",
+    """SELECT l_orderkey, l_linenumber, round(l_quantity / 50 + l_tax, 6) AS prediction,
+      CASE WHEN l_quantity / 50 + l_tax >= 0.5 THEN 'high' ELSE 'low' END AS band FROM lineitem""",
+)
+def hooked_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A model between a step that prepares its features and one that names its answers."""
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        share = (F.col("l_quantity") / 50).alias("share")
+        return rows.select("l_orderkey", "l_linenumber", share, "l_tax")
+
+    def name(rows: DataFrame) -> DataFrame:
+        band = F.when(F.col("prediction") >= 0.5, "high").otherwise("low").alias("band")
+        return rows.select("l_orderkey", "l_linenumber", "prediction", band)
+
+    scored = model.predict_between(
+        table(spark, sf, "lineitem"), lambda f: f["share"] + f["l_tax"], ["share", "l_tax"], prepare, name
+    )
+    return at_edge(scored)

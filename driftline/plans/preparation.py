@@ -360,3 +360,38 @@ def misaligned_rows(spark: SparkSession, sf: str) -> DataFrame:
     kept = (60 + F.col("vec_id") % 5).cast("int")
     vectors = table(spark, sf, "embeddings").withColumn("embedding", F.slice("embedding", F.lit(1), kept))
     return features.misaligned_rows(vectors, "embedding", 64).select("vec_id", "label")
+
+
+# --- gates and guards as rows ---------------------------------------------------
+
+
+@query(
+    "min_rows_gate",
+    f"""WITH {_GAPPED}, n AS (SELECT count(*) AS rows FROM g WHERE o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL
+      AND o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL AND o_orderkey IS NOT NULL)
+    SELECT rows, m::BIGINT AS min_rows, rows >= m AS enough FROM n, (VALUES (10), (1000000000)) v(m)""",
+)
+def min_rows_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders without any null against a limit they meet and one they miss."""
+    whole = clean.drop_null_rows(gapped_orders(spark, sf))
+    return clean.min_rows_verdict(whole).unionAll(clean.min_rows_verdict(whole, 1_000_000_000))
+
+
+@query(
+    "parameter_guards",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN NOT coalesce(l_discount * 20 - 0.2 BETWEEN 0 AND 1, false) THEN 'null_threshold must be between 0 and 1'
+      WHEN NOT coalesce(l_linenumber - 1 >= 1, false) THEN 'min_rows must be at least 1' END AS problem FROM lineitem""",
+)
+def parameter_guards(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line item as a pair of settings: a threshold from its discount, a number from its line."""
+    threshold, rows = F.col("l_discount") * 20 - 0.2, F.col("l_linenumber") - 1
+    problem = clean.parameter_problem(threshold, rows).alias("problem")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", problem)
+
+
+@query("passthrough", "SELECT url, html FROM pages")
+def passthrough(spark: SparkSession, sf: str) -> DataFrame:
+    """Without numbers or encoding nothing is learned, and the kept state leaves rows as they are."""
+    pages = table(spark, sf, "pages").select("url", "html")
+    kept = features.fit(pages, "html", encode=False).to_df(spark)
+    return features.transform(pages, features.FeatureState.from_df(kept))

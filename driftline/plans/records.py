@@ -106,6 +106,27 @@ def detect_encoding(spark: SparkSession, sf: str) -> DataFrame:
     return documents.select("doc_id", files.encoding_of(F.col("content")).alias("encoding"))
 
 
+@query(
+    "file_encodings",
+    r"""SELECT source, doc_id % 2 AS kind, CASE WHEN doc_id % 2 = 1 AND bool_or(regexp_matches(text, '[\x{80}-\x{ff}]')) THEN 'cp1252'
+        ELSE 'utf-8' END AS encoding FROM documents GROUP BY source, doc_id % 2""",
+)
+def file_encodings(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as files in two encodings per source, judged folder by folder."""
+    path = new_shared_path(spark, "encoded")
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(
+        F.encode(F.regexp_replace("text", "[^\\x{00}-\\x{ff}]", "?"), "ISO-8859-1")
+    )
+    documents = table(spark, sf, "documents").select(
+        content.cast("string").alias("value"), "source", (F.col("doc_id") % 2).alias("kind")
+    )
+    documents.write.partitionBy("source", "kind").text(path)
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)", 1)
+    return files.detect_encoding(spark, path, folders=True).select(
+        part("source").alias("source"), part("kind").cast("long").alias("kind"), "encoding"
+    )
+
+
 @query(
     "file_line_counts",
     """SELECT source, sum(len(text) - len(replace(text, chr(10), '')) + 1)::BIGINT AS lines, true AS enough
@@ -148,7 +169,22 @@ def cached_steps(spark: SparkSession, sf: str) -> DataFrame:
     return intake.reusable_steps(pages.select("page_id", key), kept, as_of)
 
 
-@query("dataset_fingerprint")
+def _shown(column: str) -> str:
+    return f"coalesce(len({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+_ORDER_TEXT = " || ".join(
+    _shown(c)
+    for c in ("o_custkey", "epoch_us(o_orderdate)", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+)
+
+
+@query(
+    "dataset_fingerprint",
+    f"""WITH d AS (SELECT sha256({_ORDER_TEXT}) AS d FROM orders)
+    SELECT count(*) AS rows, bit_xor(('0x' || d[1:15])::BIGINT) AS hash_xor,
+      sum(('0x' || d[16:30])::BIGINT)::VARCHAR AS hash_sum FROM d""",
+)
 def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return intake.dataset_fingerprint(table(spark, sf, "orders"))
 

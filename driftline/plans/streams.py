@@ -276,3 +276,25 @@ def stream_step_durations(spark: SparkSession, sf: str) -> DataFrame:
     paired = monitoring.step_durations(parsed)
     tables.drain(tables.start_table(paired, f"{path}/t", f"{path}/c"))
     return at_edge(spark.read.schema(paired.schema).parquet(f"{path}/t"))
+
+
+@query(
+    "stream_late_rows",
+    """SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-11') AS kept, count(*) FILTER (ts < TIMESTAMP '2024-01-11') AS dropped
+    FROM events""",
+)
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of which the first ten days come last, in two further runs of the same query."""
+    path = new_shared_path(spark, "stream-late")
+    events = table(spark, sf, "events").select("event_id", "ts")
+    early = F.col("ts") < F.lit("2024-01-11").cast("timestamp")
+    odd = F.col("event_id") % 2 == 1
+    for part in (~early, early & odd, early & ~odd):
+        events.filter(part).write.mode("append").parquet(f"{path}/e")
+        arriving = stream_source(spark, f"{path}/e", events.schema)
+        fresh = arriving.withWatermark("ts", monitoring.LATENESS).dropDuplicatesWithinWatermark(["event_id"])
+        run = tables.start_table(fresh, f"{path}/t", f"{path}/c", late=f"{path}/late")
+        tables.dropped_late_rows(tables.drain(run))  # the run's last report has come
+    kept = spark.read.schema(events.schema).parquet(f"{path}/t").agg(F.count(F.lit(1)).alias("kept"))
+    dropped = tables.late_rows(spark, f"{path}/late").agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"))
+    return kept.join(dropped)  # one row each

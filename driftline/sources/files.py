@@ -37,6 +37,9 @@ NA_TOKENS = (
 # Encodings in order of preference; the last accepts anything.
 ENCODINGS = ("utf-8", "cp1252", "iso-8859-1", "latin-1")
 
+# The bytes that cp1252 leaves undefined.
+UNDEFINED_IN_CP1252 = "[\u0081\u008d\u008f\u0090\u009d]"
+
 _CORRUPT = "_malformed"
 
 
@@ -149,7 +152,7 @@ def encoding_of(content: Column) -> Column:
     Bytes that cp1252 leaves undefined are the only ones it cannot decode.
     """
     # Read as ISO-8859-1, every byte is the character of the same number.
-    undefined = F.decode(content, "ISO-8859-1").rlike("[\u0081\u008d\u008f\u0090\u009d]")
+    undefined = F.decode(content, "ISO-8859-1").rlike(UNDEFINED_IN_CP1252)
     return (
         F.when(F.is_valid_utf8(content.cast("string")), ENCODINGS[0])
         .when(~undefined, ENCODINGS[1])
@@ -157,10 +160,42 @@ def encoding_of(content: Column) -> Column:
     )
 
 
-def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, encoding)`` of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", encoding_of(F.col("content")).alias("encoding"))
+def _short(name: Column) -> Column:
+    return F.regexp_replace(name, "^([A-Za-z0-9]+):/+", "$1:/")
+
+
+def detect_encoding(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """``(path, encoding)`` of every file below a folder, or of every folder of files.
+
+    Files are read line by line in splits, so that a file of any size is judged
+    by many tasks: no encoding here lets a line feed stand inside a character,
+    so a file decodes if all its lines do. An empty file decodes as the first
+    encoding. A compressed file is judged by its content.
+    """
+    lines = spark.read.options(recursiveFileLookup=True, lineSep="\n").text(path)
+    raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    judged = lines.groupBy(F.col("_metadata.file_path").alias("_file")).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
+        F.bool_or(raw.rlike(UNDEFINED_IN_CP1252)).alias("_undefined"),
+    )
+    # A scan leaves empty files out; the list of names, which the driver has anyway, does not.
+    files = spark.createDataFrame([(name,) for name in lines.inputFiles()], "name string")
+    place = F.regexp_replace("name", "/[^/]*$", "") if folders else F.col("name")
+    found = files.join(judged, _short(F.col("name")) == _short(F.col("_file")), "left")
+    return (
+        found.groupBy(_short(place).alias("path"))
+        .agg(
+            F.bool_and(F.coalesce("_utf8", F.lit(True))).alias("_utf8"),
+            F.bool_or(F.coalesce("_undefined", F.lit(False))).alias("_undefined"),
+        )
+        .select(
+            "path",
+            F.when(F.col("_utf8"), ENCODINGS[0])
+            .when(~F.col("_undefined"), ENCODINGS[1])
+            .otherwise(ENCODINGS[2])
+            .alias("encoding"),
+        )
+    )
 
 
 def line_counts(spark: SparkSession, path: str, minimum: int = 2) -> DataFrame:
@@ -171,9 +206,8 @@ def line_counts(spark: SparkSession, path: str, minimum: int = 2) -> DataFrame:
     )
     # A scan leaves empty files out; the list of names, which the driver has anyway, does not.
     files = spark.createDataFrame([(name,) for name in lines.inputFiles()], "name string")
-    short = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
     return (
-        files.join(counted, short(F.col("name")) == short(F.col("path")), "left")
+        files.join(counted, _short(F.col("name")) == _short(F.col("path")), "left")
         .select(F.col("name").alias("path"), F.coalesce("lines", F.lit(0)).alias("lines"))
         .withColumn("enough", F.col("lines") >= minimum)
     )

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.errors import InvalidUrlError
-from driftline.functions.scalars import known_hash, matches
+from driftline.functions.scalars import matches
+from driftline.session import materialise
 
 # Accepted address schemes, and the age limit of cached steps.
 SCHEMES = ("http", "https")
@@ -80,27 +82,68 @@ def reusable_steps(
 # --- dataset versions ---------------------------------------------------------
 
 
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 (hex) of a row: its columns by name, each as length and text, a null as ``-``.
+
+    Instants count as microseconds and a negative zero as zero, so that any engine
+    can compute the same digest.
+    """
+
+    def text(field: T.StructField) -> Column:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.TimestampType):
+            value = F.unix_micros(value)
+        elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            value = value + F.lit(0.0)
+        elif isinstance(field.dataType, T.BinaryType):
+            value = F.hex(value)
+        shown = value.cast("string")
+        return F.coalesce(F.concat(F.length(shown).cast("string"), F.lit(":"), shown), F.lit("-"))
+
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    return F.sha2(F.concat(F.lit(""), *[text(f) for f in fields]), 256)
+
+
+def _slice(digest: Column, start: int) -> Column:
+    """60 bits of a hex digest."""
+    return F.conv(F.substr(digest, F.lit(start), F.lit(15)), 16, 10).cast("long")
+
+
 def dataset_fingerprint(df: DataFrame) -> DataFrame:
-    """One row that identifies the table's rows in any order: count and two hash sums."""
-    row = known_hash(sorted(df.columns))
-    return df.agg(
+    """One row that identifies the table's rows in any order, repeats and nulls included.
+
+    Row count, the exclusive or of the digests' first 60 bits and the exact sum
+    (as text) of their next 60.
+    """
+    rows = df.select(row_digest(df).alias("d"))
+    return rows.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.bit_xor(row), F.lit(0)).alias("hash_xor"),
-        F.coalesce(F.sum(F.pmod(row, F.lit(2**31 - 1))), F.lit(0)).alias("hash_sum"),
+        F.coalesce(F.bit_xor(_slice(F.col("d"), 1)), F.lit(0)).alias("hash_xor"),
+        F.coalesce(F.sum(_slice(F.col("d"), 16).cast("decimal(28,0)")), F.lit(0)).cast("string").alias("hash_sum"),
     )
 
 
 def dataset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows with different multiplicity: ``change`` (added/removed), ``copies``, columns.
 
-    One grouping instead of two set differences; rows found in both versions
-    shrink to one row per task before they are shuffled.
+    Only digests are shuffled for all rows. Full rows follow for the digests whose
+    counts differ; these are written, so that Spark knows their size when it
+    chooses how to join them.
     """
     columns = old.columns
     both = old.select(*columns, F.lit(-1).alias("_n")).unionAll(
         new.select(*columns, F.lit(1).alias("_n"))
     )
-    net = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter(F.col("_n") != 0)
+    marked = both.withColumn("_d", row_digest(both.drop("_n")))
+    differing = materialise(
+        marked.groupBy("_d").agg(F.sum("_n").alias("_n")).filter(F.col("_n") != 0).select("_d"), "diff"
+    )
+    net = (
+        marked.join(differing, "_d", "left_semi")
+        .groupBy(*columns)
+        .agg(F.sum("_n").alias("_n"))
+        .filter(F.col("_n") != 0)
+    )
     return net.select(
         F.when(F.col("_n") > 0, "added").otherwise("removed").alias("change"),
         F.abs("_n").alias("copies"),

@@ -14,24 +14,52 @@ BatchWriter = Callable[[DataFrame, int], None]
 
 
 class _LateRows(StreamingQueryListener):
-    """Adds up the dropped late rows of every run as its batches end: three values per run."""
+    """Adds up the dropped late rows of every run as its batches end: three values per run.
 
-    def __init__(self) -> None:
+    For a query with a folder the count of each batch that dropped rows is also
+    written there under the batch's number; a batch that runs again after a
+    failure replaces its own count.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folders: dict[str, str] = {}
+        self.waiting: dict[str, dict[int, int]] = {}
         self.changed = Condition()
         self.dropped: dict[str, int] = {}
         self.batch: dict[str, int] = {}
         self.ended: set[str] = set()
 
+    def keep(self, query: str, folder: str) -> None:
+        """Writes the counts of a query from now on, and those that came before the folder was known."""
+        with self.changed:
+            self.folders[query] = folder
+            before = self.waiting.pop(query, {})
+        for batch, dropped in before.items():
+            self._write(folder, batch, dropped)
+
+    def _write(self, folder: str, batch: int, dropped: int) -> None:
+        row = self.spark.createDataFrame([(dropped,)], "dropped long").coalesce(1)
+        row.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
     def onQueryStarted(self, event) -> None:
         with self.changed:
             self.dropped[str(event.runId)] = 0
+            self.waiting[str(event.id)] = {}
 
     def onQueryProgress(self, event) -> None:
         progress = event.progress
-        run = str(progress.runId)
+        run, query = str(progress.runId), str(progress.id)
+        late = sum(o.numRowsDroppedByWatermark for o in progress.stateOperators)
+        with self.changed:
+            folder = self.folders.get(query)
+            if late and folder is None and query in self.waiting:
+                self.waiting[query][progress.batchId] = late
+        if late and folder is not None:
+            self._write(folder, progress.batchId, late)
         with self.changed:
             if run in self.dropped:
-                self.dropped[run] += sum(o.numRowsDroppedByWatermark for o in progress.stateOperators)
+                self.dropped[run] += late
                 self.batch[run] = progress.batchId
             self.changed.notify_all()
 
@@ -41,6 +69,8 @@ class _LateRows(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         with self.changed:
             self.ended.add(str(event.runId))
+            self.waiting.pop(str(event.id), None)
+            self.folders.pop(str(event.id), None)
             self.changed.notify_all()
 
 
@@ -50,7 +80,7 @@ _late_rows: WeakKeyDictionary[SparkSession, _LateRows] = WeakKeyDictionary()
 def count_late_rows(spark: SparkSession) -> None:
     """Counts the dropped late rows of the session's queries that start from now on."""
     if spark not in _late_rows:
-        _late_rows[spark] = listener = _LateRows()
+        _late_rows[spark] = listener = _LateRows(spark)
         spark.streams.addListener(listener)
 
 
@@ -60,23 +90,33 @@ def start(
     checkpoint: str,
     mode: str = "update",
     interval: str | None = None,
+    late: str | None = None,
 ) -> StreamingQuery:
-    """Runs ``writer`` per micro-batch, every ``interval``; without one until the input is used up."""
+    """Runs ``writer`` per micro-batch, every ``interval``; without one until the input is used up.
+
+    ``late`` names a folder for the counts of dropped late rows (:func:`late_rows`).
+    """
     count_late_rows(df.sparkSession)
     out = df.writeStream.outputMode(mode).foreachBatch(writer).option("checkpointLocation", checkpoint)
     out = out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)
-    return out.start()
+    return _counted(out.start(), df.sparkSession, late)
 
 
 def start_table(
-    df: DataFrame, path: str, checkpoint: str, interval: str | None = None
+    df: DataFrame, path: str, checkpoint: str, interval: str | None = None, late: str | None = None
 ) -> StreamingQuery:
-    """Appends finished rows to a parquet table, exactly once."""
+    """Appends finished rows to a parquet table, exactly once; ``late`` as in :func:`start`."""
     count_late_rows(df.sparkSession)
     out = df.writeStream.outputMode("append").format("parquet").option("path", path)
     out = out.option("checkpointLocation", checkpoint)
     out = out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)
-    return out.start()
+    return _counted(out.start(), df.sparkSession, late)
+
+
+def _counted(query: StreamingQuery, spark: SparkSession, folder: str | None) -> StreamingQuery:
+    if folder is not None:
+        _late_rows[spark].keep(str(query.id), folder)
+    return query
 
 
 def drain(query: StreamingQuery) -> StreamingQuery:
@@ -147,3 +187,17 @@ def dropped_late_rows(query: StreamingQuery, wait: float = 60.0) -> int:
         if not late.changed.wait_for(complete, wait):
             raise TimeoutError("the reports of the last batches have not come")
         return late.dropped[run]
+
+
+def late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``(batch, dropped)`` of every micro-batch that dropped late rows, over all runs of a query.
+
+    Counts are written when a batch's report comes; if the driver ends between a
+    batch and its report, that batch's count is lost. No row where nothing was dropped.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return spark.createDataFrame([], "batch long, dropped long")
+    counts = spark.read.schema("dropped long, batch long").parquet(folder)
+    return counts.select("batch", "dropped")
