@@ -297,4 +297,7 @@ def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
         tables.dropped_late_rows(tables.drain(run))  # the run's last report has come
     kept = spark.read.schema(events.schema).parquet(f"{path}/t").agg(F.count(F.lit(1)).alias("kept"))
     dropped = tables.late_rows(spark, f"{path}/late").agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"))
-    return kept.join(dropped)  # one row each
+    both = kept.withColumn("dropped", F.lit(0).cast("long")).unionByName(
+        dropped.withColumn("kept", F.lit(0).cast("long"))
+    )
+    return both.agg(F.sum("kept").alias("kept"), F.sum("dropped").alias("dropped"))
