@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.errors import EmptyDataError, InsufficientDataError, SourceError
+from driftline.sources import quoted
 
 # Cell texts that mean "no value" in a CSV file.
 NA_TOKENS = (
@@ -60,15 +61,27 @@ def read_csv_table(
     :class:`EmptyDataError`. With ``strict`` a malformed row fails the job that
     meets it; otherwise its text is kept in ``_malformed`` and its cells that
     cannot be read are null. Without a schema one is inferred, for exploration.
-    Quoted cells may hold quotes (doubled) and line breaks; a file is then read
-    by one task, so write large tables as several files.
+    Quoted cells may hold quotes (doubled) and line breaks. A file is read by many
+    tasks either way: its lines are looked through first, and only where rows go
+    over several lines are they put together from them (:mod:`quoted`). Rows end
+    with a line feed, or with a carriage return before it. Tables that hold other
+    carriage returns, or that have line breaks in cells and no schema, are read a
+    file by one task.
     """
-    reader = spark.read.options(header=True, encoding="UTF-8", quote='"', escape='"', multiLine=True)
     try:
+        lines = quoted.lines_of(spark, path)
+        broken, bare, usual = quoted.line_breaks_in_cells(lines)
+        reader = spark.read.options(header=True, encoding="UTF-8", **_CELLS, multiLine=broken or bare)
         if schema is None:
             df = reader.option("inferSchema", True).csv(path)
         else:
-            df = _read_declared(reader, path, _schema(schema), strict)
+            text = _text_schema(_schema(schema), strict)
+            if broken and not bare:
+                raw = _parsed(quoted.records(spark, lines, usual), text, strict)
+            else:
+                # Whether a row is malformed must not depend on the columns a query asks for.
+                raw = reader.options(**_mode(strict), columnPruning=False).schema(text).csv(path)
+            df = _typed(raw, _schema(schema), strict)
     except AnalysisException as error:
         raise SourceError(f"cannot read {path}: {error.getCondition()}") from error
     if check_empty and (not df.columns or df.isEmpty()):
@@ -76,20 +89,28 @@ def read_csv_table(
     return df
 
 
-def _read_declared(reader, path: str, schema: T.StructType, strict: bool) -> DataFrame:
+_CELLS = {"quote": '"', "escape": '"'}
+
+
+def _mode(strict: bool) -> dict[str, str]:
+    return {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+
+
+def _text_schema(schema: T.StructType, strict: bool) -> T.StructType:
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    # Whether a row is malformed must not depend on the columns a query asks for.
-    reader = reader.option("columnPruning", False)
-    if strict:
-        raw = reader.option("mode", "FAILFAST").schema(text).csv(path)
-    else:
-        raw = (
-            reader.option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", _CORRUPT)
-            .schema(text.add(_CORRUPT, T.StringType()))
-            .csv(path)
-        )
+    return text if strict else text.add(_CORRUPT, T.StringType())
+
+
+def _parsed(records: DataFrame, text: T.StructType, strict: bool) -> DataFrame:
+    """The cells of rows given as text."""
+    options = {**_CELLS, **_mode(strict), "multiLine": "true", "columnPruning": "false"}
+    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in text.names)
+    cells = records.select(F.from_csv("record", ddl, options).alias("_cells"))
+    # The filter looks at whole rows, so that a malformed one is met whatever a query asks for.
+    return cells.filter(F.col("_cells").isNotNull()).select("_cells.*")
+
 
+def _typed(raw: DataFrame, schema: T.StructType, strict: bool) -> DataFrame:
     def cell(f: T.StructField) -> Column:
         value = F.when(~F.col(f.name).isin(*NA_TOKENS), F.col(f.name))
         typed = value.cast(f.dataType) if strict else value.try_cast(f.dataType)
