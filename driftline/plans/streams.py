@@ -17,6 +17,7 @@ from driftline.session import new_shared_path
 from driftline.sources.files import stream_source
 from driftline.streaming import drift as drift_stream
 from driftline.streaming import features, monitoring, ordered, tables
+from driftline.streaming import slo as live
 
 HOUR, DAY = 3600, 86_400
 
@@ -32,7 +33,17 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def request_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return event_stream(spark, sf).select(
+    return _requests(event_stream(spark, sf))
+
+
+def request_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of :func:`request_stream` as a table."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return _requests(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def _requests(events: DataFrame) -> DataFrame:
+    return events.select(
         "ts",
         "value",
         "event_type",
@@ -70,8 +81,22 @@ def stream_request_buckets(spark: SparkSession, sf: str) -> DataFrame:
     SELECT service, ts, round(ratio_1h, 6) AS ratio_1h, round(ratio_3d, 6) AS ratio_3d, round(ratio_period, 6) AS ratio_period FROM rr""",
 )
 def stream_slo(spark: SparkSession, sf: str) -> DataFrame:
-    """Error ratios over the bucket table that a stream keeps."""
-    ratios = slo.error_ratios(_bucket_table(spark, sf, "5 minutes"), ["service"])
+    """Error ratios kept by a stream that is stopped twice and goes on with its running totals."""
+    path = new_shared_path(spark, "stream-slo")
+    log = request_log(spark, sf)
+    first, last = log.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * i / 3 for i in (1, 2)] if first is not None else []
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + (F.col("ts") >= F.lit(cut)).cast("int")
+    marked = log.withColumn("_part", part)
+    for i in range(3):
+        marked.filter(F.col("_part") == i).drop("_part").write.mode("append").parquet(f"{path}/in")
+        counted = monitoring.request_buckets(
+            stream_source(spark, f"{path}/in", log.schema), slo.bad_status(F.col("status")), ["service"], "5 minutes"
+        )
+        tables.drain(tables.start(counted, live.live_ratios(path, ["service"]), f"{path}/c"))
+    ratios = live.current_ratios(spark, path, ["service"])
     return at_edge(ratios.select("service", "ts", "ratio_1h", "ratio_3d", "ratio_period"))
 
 
