@@ -18,9 +18,10 @@ without words the set is empty and the document is linked with nothing).
    in every band, and confirmed on the full sets. Linked members become one
    component at once, so that thousands of near copies need some pairs per
    member, not all pairs.
-5. *The rest.* Buckets that still hold two components are settled by the pairs
-   across components that are not yet compared, first with other centres, then
-   all of them. Nothing is capped.
+5. *The rest.* Members of buckets that still hold two components are compared
+   across components, first with other centres, then by rare shingles: a similar
+   pair shares one of the shingles with which both begin, rarest first, so that
+   what all near copies have in common makes no pairs. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -220,11 +221,11 @@ def near_duplicates(
     mixed = _mixed(shared, group)
     if not mixed.isEmpty():
         mixed = write(_with_common(mixed, sets), "mixed")
-        rest = write(_open_pairs(mixed, threshold, False).join(stars, ["a", "b"], "left_anti"), "pairs")
+        rest = write(_centre_pairs(mixed, threshold).join(stars, ["a", "b"], "left_anti"), "pairs")
         links = write(links.union(_confirmed(rest, sets, threshold)), "links")
         mixed = _mixed(mixed.drop("component", "common"), _labels(links))
         mixed = write(_with_common(mixed, sets), "mixed")
-        last = _open_pairs(mixed, threshold, True).join(stars.union(rest), ["a", "b"], "left_anti")
+        last = _pairs_by_rare(mixed, sets, threshold).join(stars.union(rest), ["a", "b"], "left_anti")
         links = write(links.union(_confirmed(write(last, "pairs"), sets, threshold)), "links")
     group = _labels(links)
     found = classes.join(group, classes["id"] == group["node"], "left").select(
@@ -279,42 +280,73 @@ def _with_common(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _open_pairs(mixed: DataFrame, threshold: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that can be similar enough.
+def _able(mixed: DataFrame, threshold: int) -> DataFrame:
+    """Without the members that have too much of their own for any link."""
+    return mixed.filter(100 * F.col("common") >= threshold * F.col("n_shingles"))
 
-    With ``every`` all of them, else only those with the bucket's centre, the
-    member with the fewest shingles of its own (the one the others were made from).
-    Members that have too much of their own for any link are left out.
+
+def _centre_pairs(mixed: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's members and its centre in another component that can be similar enough.
+
+    The centre is the member with the fewest shingles of its own (the one the others were made from).
     """
-    able = mixed.filter(100 * F.col("common") >= threshold * F.col("n_shingles"))
-    able = able.join(able.groupBy("id").agg(F.collect_set("bucket").alias("buckets")), "id")
+    able = _able(mixed, threshold)
     least_own = F.struct(
         (F.col("n_shingles") - F.col("common")).alias("own"), F.col("id").alias("other"),
         F.col("n_shingles").alias("other_n"), F.col("common").alias("other_common"),
-        F.col("component").alias("other_component"), F.col("buckets").alias("other_buckets"),
+        F.col("component").alias("other_component"),
     )
-    centres = able.groupBy("bucket").agg(F.min(least_own).alias("c")).select("bucket", "c.*")
-    if every:
-        # Members of the centre's component need no comparison with each other.
-        left = able.join(centres.select("bucket", "other_component"), "bucket").filter(
-            F.col("component") != F.col("other_component")
-        ).drop("other_component")
-        other = able.select(
-            "bucket", F.col("id").alias("other"), F.col("n_shingles").alias("other_n"),
-            F.col("common").alias("other_common"), F.col("component").alias("other_component"),
-            F.col("buckets").alias("other_buckets"),
-        )
-    else:
-        left, other = able, centres.drop("own")
+    centres = able.groupBy("bucket").agg(F.min(least_own).alias("c")).select("bucket", "c.*").drop("own")
     most = F.least("common", "other_common")
     fits = 100 * most >= threshold * (F.col("n_shingles") + F.col("other_n") - most)
-    # A pair that shares several buckets is made in one of them.
-    once = left["bucket"] == F.array_min(F.array_intersect("buckets", "other_buckets"))
-    pairs = left.join(
-        other,
-        (left["bucket"] == other["bucket"])
+    pairs = able.join(centres, "bucket").filter((F.col("component") != F.col("other_component")) & fits)
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _pairs_by_rare(mixed: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) in different components that can be similar enough, every such pair of ``mixed``.
+
+    Each member's shingles that another component has are put in one order, rarest
+    first. A pair that has to share ``need`` of them shares one that has ``need - 1``
+    or more behind it on both sides, so members meet by these only, not by what
+    nearly all of them have.
+    """
+    able = _able(mixed, threshold).select("id", "n_shingles", "component").distinct()
+    items = sets.join(able, "id").select("id", "n_shingles", "component", F.explode("items").alias("item"))
+    spread = (
+        items.groupBy("item")
+        .agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low <> high")
+        .select("item", "members")
+    )
+    ordered = (
+        items.join(spread, "item")
+        .groupBy("id", "n_shingles", "component")
+        .agg(F.sort_array(F.collect_list(F.struct("members", "item"))).alias("items"))
+    )
+    # The smallest set that fits needs threshold per cent of this one.
+    first = F.size("items") - F.ceil(threshold * F.col("n_shingles") / 100).cast("int") + 1
+    placed = (
+        ordered.withColumn("common", F.size("items"))
+        .filter(first > 0)
+        .select("id", "n_shingles", "component", "common", F.posexplode(F.slice("items", 1, first)))
+        .select("id", "n_shingles", "component", F.col("col.item").alias("item"), (F.col("common") - F.col("pos")).alias("left"))
+    )
+    placed = write(placed, "placed")
+    # Members of an item's largest component need no comparison with each other.
+    sizes = placed.groupBy("item", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("item").agg(F.max(F.struct("n", "component")).alias("m"))
+    largest = largest.select("item", F.col("m.component").alias("largest"))
+    one = placed.join(largest, "item").filter("component <> largest").select(
+        "item", F.col("id").alias("other"), F.col("n_shingles").alias("other_n"), F.col("left").alias("other_left"),
+        F.col("component").alias("other_component"), "largest",
+    )
+    need = threshold * (F.col("n_shingles") + F.col("other_n"))
+    pairs = placed.join(
+        one,
+        (placed["item"] == one["item"])
         & (F.col("component") != F.col("other_component"))
-        & fits
-        & (once if every else F.lit(True)),
+        & ((F.col("component") == F.col("largest")) | (F.col("id") < F.col("other")))
+        & ((100 + threshold) * F.least("left", "other_left") >= need),
     )
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from driftline.llm import fingerprints, minhash, queries, substrings
-from driftline.llm.tables import components
+from driftline.llm.tables import components, recorded
 from driftline.llm.words import find_words
 from tests.llm.conftest import frame, words
 
@@ -75,6 +75,26 @@ def test_near_copies_around_the_threshold(spark):
     assert got(minhash.near_duplicates(frame(spark, rows))) == brute_components(rows)
 
 
+def test_copies_just_below_the_threshold_make_few_pairs(spark):
+    """120 copies that are like each other, but of which half is linked with nothing: some pairs a member."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        copy = base.copy()
+        if i % 2:
+            copy[20] = "shared"
+        for place in rng.sample(range(30, 145), 2 if i % 2 else 1):
+            copy[place] = f"e{i}x{place}"
+        rows.append((i, " ".join(copy), "en", "a"))
+    want = brute_components(rows)
+    assert len({c for _, _, c, _ in want}) > 50
+    with recorded() as made:
+        assert got(minhash.near_duplicates(frame(spark, rows))) == want
+    pairs = [t.count() for t in made if "/pairs-" in (t.inputFiles() or [""])[0]]
+    assert len(pairs) == 3 and pairs[-1] < 15 * len(rows)
+
+
 def test_no_documents(nothing):
     assert minhash.near_duplicates(nothing).count() == 0
     assert substrings.remove_duplicates(nothing).count() == 0
