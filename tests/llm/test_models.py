@@ -145,3 +145,21 @@ def test_toxicity_of_texts_without_words(spark, text):
     asked = frame(spark, [(1, text, None, None), (2, "so VILE!", "en", None), (3, "wa wb", "en", None)])
     found = {r["doc_id"]: r["score"] for r in toxicity.score(asked, network).collect()}
     assert found[2] > 0.7 > found[3] and abs(found[1] - found[3]) < 0.3
+
+
+def test_toxicity_is_learned_from_every_labelled_row(spark):
+    """A word that only stands in rows beyond the first 6,000 by hash counts as well; shards learn together."""
+    rng = random.Random(9)
+    ids = [r["id"] for r in spark.range(8000).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = []
+    for place, i in enumerate(ids):
+        words = ["w" + "".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(10)]
+        toxic = int(place % 4 == 0)
+        if toxic:
+            words.insert(rng.randrange(10), "venom" if place >= 6000 else "vile")
+        rows.append((i, " ".join(words), "en", toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, label int").repartition(4)
+    network = toxicity.train(docs.drop("label"), docs.select("doc_id", "label"))
+    asked = frame(spark, [(1, "wab venom wba", "en", None), (2, "so vile wab", "en", None), (3, "wab wba", "en", None)])
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(asked, network).collect()}
+    assert found[1] > 0.7 and found[2] > 0.7 and found[3] < 0.3
