@@ -188,6 +188,8 @@ def grid_search(
     indexed = materialise(stratified_folds(indexed, target, key, folds), "grid-folds")
     pipeline = forest_pipeline(features, target, labels, seed=seed)
     forest = next(s for s in pipeline.getStages() if isinstance(s, RandomForestClassifier))
+    # The same trees: a row keeps its node of every tree, instead of going down from the root at each level.
+    forest.setCacheNodeIds(True)
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(forest.getParam(name), list(values))

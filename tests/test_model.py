@@ -158,3 +158,30 @@ def test_registered_grid_search_is_the_whole_one(spark, monkeypatch):
     monkeypatch.setattr(models.model, "grid_search", noted)
     models.grid_search(spark, "/root/testdata/sf0.001")
     assert asked["grid"] == {"numTrees": (50, 100, 200), "maxDepth": (5, 10, 20)} and asked["folds"] == 5
+
+
+def test_grid_search_keeps_the_nodes_of_rows_and_fits_the_same_trees(split, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    # Both searches read one table: forests depend on the order of rows in the files.
+    written, write = [], model.materialise
+
+    def once(df, label):
+        written.append(write(df, label) if not written else written[0])
+        return written[-1]
+
+    monkeypatch.setattr(model, "materialise", once)
+
+    def search():
+        grid = {"numTrees": (3, 5), "maxDepth": (2, 8)}
+        fitted, points = model.grid_search(split[0], NUMBERS, "species", "id", grid=grid, folds=2)
+        forest = next(s for s in fitted.bestModel.stages if hasattr(s, "featureImportances"))
+        return forest, sorted(tuple(r) for r in points.collect())
+
+    kept, points = search()
+    assert kept.getCacheNodeIds() and len(points) == 4
+    monkeypatch.setattr(RandomForestClassifier, "setCacheNodeIds", lambda forest, value: forest)
+    plain, plain_points = search()
+    assert not plain.getCacheNodeIds()
+    assert points == plain_points
+    assert kept.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
