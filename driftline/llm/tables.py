@@ -29,6 +29,17 @@ def setting(spark: SparkSession, key: str, value: str):
 
 #: Rows handed to Python at once; whole documents are long rows, and executors hold several batches.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+#: Bytes handed to Python at once, about, for operators that hold several columns of a batch's size.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Python gets few rows and few bytes at once from what runs meanwhile."""
+    key, rows = BATCH_ROWS
+    fewer = str(min(rows, int(spark.conf.get(key, "10000")) or rows))
+    with setting(spark, key, fewer), setting(spark, *BATCH_BYTES):
+        yield
 
 
 def write(df: DataFrame, label: str) -> DataFrame:

@@ -26,14 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.tables import write
-from driftline.llm.words import find_words, long_column, mix, sequence_hashes, text_slices
+from driftline.llm.tables import small_batches, write
+from driftline.llm.words import find_words, long_column, mix, release_memory, sequence_hashes, text_slices
 
 DIMENSIONS = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: Rows of one shard, about; one task learns from them in turn.
 SHARD_ROWS = 5_000
+#: Words of one shard, about; long texts make smaller shards.
+SHARD_WORDS = 4_000_000
+#: Places of words whose values are held at once; each takes some 200 bytes.
+PLACES = 1 << 16
 #: Labels of at most this many rows are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: The last fifth's scores before scaling are told apart in steps of one part of this.
@@ -56,31 +60,31 @@ class Texts:
     real: np.ndarray
 
 
-def binned(buffer: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> Texts:
-    """The words' rows (from 1 on; 0 is padding and all hashes that are not in the sorted
-    ``vocabulary``). A text without words is one padded place.
-    """
-    words = find_words(buffer, offsets, lower=True, letters=True)
-    sizes = np.diff(words.bounds)
+def laid_out(bins: np.ndarray, bounds: np.ndarray) -> Texts:
+    """The texts with the rows ``bins[bounds[i]:bounds[i + 1]]``; a text without words is one padded place."""
+    sizes = np.diff(bounds)
     room = np.maximum(sizes, 1) + _PAD
     starts = np.cumsum(room) - room
-    bins, real = np.zeros(room.sum(), np.int64), np.zeros(room.sum(), bool)
-    place = np.repeat(starts - words.bounds[:-1], sizes) + np.arange(len(words.hashes))
-    if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, words.hashes), len(vocabulary) - 1)
-        bins[place] = np.where(vocabulary[at] == words.hashes, at + 1, 0)
+    places, real = np.zeros(room.sum(), np.int64), np.zeros(room.sum(), bool)
+    place = np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[0], bounds[-1])
+    places[place] = bins[bounds[0] : bounds[-1]]
     real[place] = True
     real[starts] = True
-    return Texts(bins, starts, real)
+    return Texts(places, starts, real)
 
 
-def gathered(texts: list[Texts]) -> Texts:
-    shift = np.cumsum([0, *[len(t.bins) for t in texts]])
-    return Texts(
-        np.concatenate([t.bins for t in texts]),
-        np.concatenate([t.starts + s for t, s in zip(texts, shift, strict=False)]),
-        np.concatenate([t.real for t in texts]),
-    )
+def _known(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The hashes' rows (from 1 on; 0 is padding and all hashes that are not in the sorted ``vocabulary``)."""
+    if not len(vocabulary):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == hashes, at + 1, 0)
+
+
+def binned(buffer: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> Texts:
+    """The words' rows, as :func:`_known` gives them."""
+    words = find_words(buffer, offsets, lower=True, letters=True)
+    return laid_out(_known(vocabulary, words.hashes), words.bounds)
 
 
 @dataclass
@@ -121,8 +125,26 @@ def _highest(texts: Texts, tables, offsets, bins: np.ndarray | None = None) -> t
     return np.hstack(columns), all_values
 
 
+def _highest_by_pieces(texts: Texts, tables, offsets) -> np.ndarray:
+    """The highest values of :func:`_highest`, for some ``PLACES`` at once, also within a text."""
+    n = len(texts.bins)
+    highest = np.full((len(texts.starts), len(WIDTHS) * FILTERS), -np.inf, np.float32)
+    for at in range(0, n, PLACES):
+        stop = min(at + PLACES, n)
+        if stop - at <= _PAD and stop == n:  # padding alone
+            break
+        reach = min(stop + _PAD, n)
+        real = texts.real[at:reach].copy()
+        real[stop - at :] = False  # the next piece's
+        first = int(np.searchsorted(texts.starts, at, "right")) - 1
+        last = int(np.searchsorted(texts.starts, stop))
+        own = Texts(texts.bins[at:reach], np.maximum(texts.starts[first:last] - at, 0), real)
+        highest[first:last] = np.maximum(highest[first:last], _highest(own, tables, offsets)[0])
+    return highest
+
+
 def logits(network: Network, texts: Texts, tables=None) -> np.ndarray:
-    highest, _ = _highest(texts, tables or network.tables(), network.offsets)
+    highest = _highest_by_pieces(texts, tables or network.tables(), network.offsets)
     return np.maximum(highest, 0) @ network.weights + network.bias
 
 
@@ -284,6 +306,10 @@ def _vocabulary(rows: DataFrame, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return hashes[order], in_texts[:, order]
 
 
+def _ends(column: pa.ListArray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
 def _binned(rows: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     """``bins`` in place of ``words``: each word's embedding."""
     others = [c for c in rows.columns if c != "words"]
@@ -294,26 +320,21 @@ def _binned(rows: DataFrame, vocabulary: np.ndarray) -> DataFrame:
         for batch in batches:
             column = batch.column("words")
             hashes = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-            bins = np.where(known[at] == hashes, at + 1, 0) if len(known) else np.zeros(len(hashes), np.int64)
-            ends = np.cumsum([0, *column.value_lengths().to_pylist()])
-            made = _lists(pa.array(bins, pa.int32()), ends)
+            made = _lists(pa.array(_known(known, hashes), pa.int32()), _ends(column))
             yield pa.RecordBatch.from_arrays([*map(batch.column, others), made], [*others, "bins"])
+            release_memory()
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
     return rows.mapInArrow(work, f"{kinds}, bins array<int>")
 
 
-def _texts(bins: pa.ListArray) -> list[Texts]:
-    """What :func:`binned` gives for each text alone."""
-    out = []
-    values, ends = bins.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *bins.value_lengths().to_pylist()])
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        own = np.zeros(max(b - a, 1) + _PAD, np.int64)
-        own[: b - a] = values[a:b]
-        real = np.arange(len(own)) < max(b - a, 1)
-        out.append(Texts(own, np.zeros(1, np.int64), real))
-    return out
+def _texts(bins: pa.ListArray) -> Texts:
+    """What :func:`binned` gives for the texts."""
+    return laid_out(bins.flatten().to_numpy(zero_copy_only=False), _ends(bins))
+
+
+def _shards(rows: float, words: float, shard_rows: int) -> int:
+    return max(1, ceil(rows / shard_rows), ceil(words / SHARD_WORDS))
 
 
 def _rows_of(network: Network, steps: _Adagrad) -> np.ndarray:
@@ -357,17 +378,19 @@ def _epoch(rows: DataFrame, network: Network, steps: _Adagrad, seed: int) -> tup
         like, before = shared.value
         own, sums = _from_rows(like, before)
         table = table.sort_by([("h", "ascending"), ("t", "ascending"), ("label", "ascending")])
-        texts = _texts(table.column("bins").combine_chunks())
+        bins = table.column("bins").combine_chunks()
         labels = np.array(table.column("label").to_pylist(), np.int64)
         rng = np.random.default_rng([seed, table.column("shard")[0].as_py()])
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(bins))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
-            _learn(own, gathered([texts[i] for i in chosen]), labels[chosen], sums)
+            _learn(own, _texts(bins.take(pa.array(chosen))), labels[chosen], sums)
         changes = _rows_of(own, sums) - before
-        weights = np.full(len(before), float(len(texts)))
-        places = np.bincount(np.concatenate([t.bins for t in texts]), minlength=len(like.embeddings))
+        weights = np.full(len(before), float(len(bins)))
+        # Row 0 never changes, so its padding need not count.
+        places = np.bincount(bins.flatten().to_numpy(zero_copy_only=False), minlength=len(like.embeddings))
         weights[: len(places)] = places
+        release_memory()
         some = np.flatnonzero(changes.any(axis=1))
         uses = np.hstack([weights[some, None], changes[some] * weights[some, None]])
         ends = np.arange(0, uses.size + 1, 2 * DIMENSIONS + 1)
@@ -390,10 +413,10 @@ def _raw(rows: DataFrame, network: Network) -> DataFrame:
     def work(batches):
         model, tables = shared.value
         for batch in batches:
-            texts = _texts(batch.column("bins"))
-            raw = logits(model, gathered(texts), tables) if texts else np.empty(0)
+            raw = logits(model, _texts(batch.column("bins")), tables)
             step = pa.array(np.floor(np.clip(raw, -100, 100) * STEPS).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("label"), step], ["lang", "label", "step"])
+            release_memory()
 
     steps = rows.select("lang", "label", "bins").mapInArrow(work, "lang string, label int, step long")
     return steps.groupBy("lang", "label", "step").agg(F.count(F.lit(1)).alias("n"))
@@ -409,6 +432,14 @@ def train(
     Of near copies among them only the first by the id's hash is used. Labels other than 0 and 1
     are left out. Without rows of both labels every score is the share of label 1.
     """
+    with small_batches(docs.sparkSession):
+        return _trained(docs, labels, id_column, text_column, lang_column, label_column, epochs, seed, shard_rows)
+
+
+def _trained(
+    docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, lang_column: str, label_column: str,
+    epochs: int, seed: int, shard_rows: int,
+) -> Network:
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
     known = known.filter("label in (0, 1)")
     if known.count() <= BROADCAST_IDS:
@@ -424,9 +455,11 @@ def train(
     rows = write(_first_of_copies(write(_words_of(texts), "labelled")), "learned")
     last = rows.agg(F.percentile_approx("h", 0.8, 10_000)).first()[0]
     fit = rows.filter(F.col("h") < F.lit(last))
-    n = np.zeros((2, 2))
-    for r in rows.groupBy((F.col("h") < F.lit(last)).alias("fit"), "label").count().collect():
-        n[int(r["fit"]), r["label"]] = r["count"]
+    n, n_words = np.zeros((2, 2)), 0
+    sizes = F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("words")
+    for r in rows.groupBy((F.col("h") < F.lit(last)).alias("fit"), "label").agg(*sizes).collect():
+        n[int(r["fit"]), r["label"]] = r["n"]
+        n_words += r["words"] if r["fit"] else 0
     rng = np.random.default_rng(seed)
     if not n[1].all():
         share = (n[:, 1].sum() + 1) / (n.sum() + 2)
@@ -436,7 +469,7 @@ def train(
         return network
     vocabulary, in_texts = _vocabulary(fit, n[1])
     network, steps, best = _started(vocabulary, in_texts, n[1], rng), _Adagrad(), None
-    shards = max(1, ceil(n[1].sum() / shard_rows))
+    shards = _shards(n[1].sum(), n_words, shard_rows)
     bins = write(_binned(rows.withColumn("shard", F.pmod(F.xxhash64("h", "t"), F.lit(shards))), vocabulary), "bins")
     fit, held = bins.filter(F.col("h") < F.lit(last)), bins.filter(F.col("h") >= F.lit(last))
     # A number of partitions that is named is kept: a shard's rows are few bytes but much work.
@@ -469,7 +502,8 @@ def score(docs: DataFrame, network: Network, id_column: str = "doc_id", text_col
     ``predicted`` is 1 from a score of 0.7 on; ``flagged`` uses the language's
     own threshold. Null and empty texts have a score like any text without known
     words. Repeated rows are scored each for itself; further columns are not
-    looked at. An empty table gives an empty one.
+    looked at. An empty table gives an empty one. The scores are written to the shared
+    folder, so that workers get a few texts at a time whatever the caller's settings.
     """
     small = Network(network.vocabulary, np.empty(0), {}, network.offsets, network.weights, network.bias, network.scale)
     shared = docs.sparkSession.sparkContext.broadcast((small, network.tables()))
@@ -492,7 +526,9 @@ def score(docs: DataFrame, network: Network, id_column: str = "doc_id", text_col
     threshold = F.lit(PREDICTED)
     for language, value in network.thresholds.items():
         threshold = F.when(F.coalesce("lang", F.lit("")) == language, F.lit(value)).otherwise(threshold)
-    return rows.mapInArrow(work, "id long, lang string, score double").select(
+    with small_batches(docs.sparkSession):
+        scored = write(rows.mapInArrow(work, "id long, lang string, score double"), "scores")
+    return scored.select(
         F.col("id").alias(id_column),
         F.col("lang").alias(lang_column),
         "score",

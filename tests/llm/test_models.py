@@ -6,6 +6,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -163,3 +164,50 @@ def test_toxicity_is_learned_from_every_labelled_row(spark):
     asked = frame(spark, [(1, "wab venom wba", "en", None), (2, "so vile wab", "en", None), (3, "wab wba", "en", None)])
     found = {r["doc_id"]: r["score"] for r in toxicity.score(asked, network).collect()}
     assert found[1] > 0.7 and found[2] > 0.7 and found[3] < 0.3
+
+
+def _toxic_network(n_words: int) -> toxicity.Network:
+    rng = np.random.default_rng(3)
+    network = toxicity._started(
+        np.arange(1, n_words + 1, dtype=np.uint64), rng.integers(0, 50, (2, n_words)).astype(float), np.array([90.0, 60.0]), rng
+    )
+    for w in toxicity.WIDTHS:
+        network.filters[w] = rng.normal(0, 1, network.filters[w].shape)
+    return network
+
+
+@pytest.mark.parametrize("places", [1, 2, 3, 7, 64, 1 << 16])
+def test_toxicity_does_not_depend_on_how_many_places_are_held_at_once(monkeypatch, places):
+    rng = np.random.default_rng(8)
+    network = _toxic_network(30)
+    texts = [rng.integers(0, 31, n) for n in (0, 1, 2, 3, 0, 40, 5, 7, 1, 130, 0)]
+    monkeypatch.setattr(toxicity, "PLACES", places)
+    found = toxicity.logits(network, toxicity.laid_out(np.concatenate(texts), np.cumsum([0, *map(len, texts)])))
+    for text, raw in zip(texts, found, strict=True):
+        padded, best = np.append(text if len(text) else [0], [0] * toxicity._PAD).astype(int), []
+        for w in toxicity.WIDTHS:
+            sums = [
+                sum(network.embeddings[padded[i + j]] @ network.filters[w][j] for j in range(w)) + network.offsets[w]
+                for i in range(max(len(text), 1))
+            ]
+            best += list(np.max(sums, axis=0))
+        assert raw == pytest.approx(np.maximum(best, 0) @ network.weights + network.bias, abs=1e-4)
+
+
+def test_toxicity_holds_the_values_of_few_words_at_once():
+    """Many texts, or one long one: what is held beyond their words does not grow with them."""
+    network = _toxic_network(30)
+    tables = network.tables()
+    bins = np.random.default_rng(1).integers(0, 31, 2_000_000)
+    for bounds in (np.arange(0, 2_000_001, 500), np.array([0, 2_000_000])):
+        texts = toxicity.laid_out(bins, bounds)
+        tracemalloc.start()
+        toxicity.logits(network, texts, tables)
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert most < 50e6
+
+
+def test_a_toxicity_shard_has_few_words_as_well():
+    assert toxicity._shards(0, 0, 5_000) == 1 and toxicity._shards(36_000, 12e6, 5_000) == 8
+    assert toxicity._shards(36_000, 36_000 * 20_000, 5_000) == 180
