@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from driftline.errors import MissingColumnError, TrainingError
 from driftline.functions.order_stats import FLOOR_INDEX, exact_quantiles
 from driftline.functions.scalars import join_on_keys, ratio, stable_hash
+from driftline.operators import forests
 from driftline.operators.features import SEED, SPLIT_COLUMN, TEST_SIZE, stratified_split
 from driftline.session import materialise
 
@@ -197,14 +198,16 @@ def grid_search(
     evaluator = MulticlassClassificationEvaluator(
         labelCol="_label", predictionCol="_prediction", metricName="accuracy"
     )
-    fitted = CrossValidator(
+    validator = CrossValidator(
         estimator=pipeline,
         estimatorParamMaps=points,
         evaluator=evaluator,
         numFolds=folds,
         foldCol="_fold",
         parallelism=parallelism,
-    ).fit(indexed)
+    )
+    # Trees of which a task can hold the rows grow whole; Spark ML's level by level only beyond that.
+    fitted = forests.search(validator, indexed, key, len(labels)) or validator.fit(indexed)
     best = max(range(len(points)), key=lambda i: fitted.avgMetrics[i])
     rows = [
         (
