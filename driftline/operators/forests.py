@@ -424,16 +424,16 @@ def search(
         assembled = stage.transform(assembled)
     vector = estimator.getFeaturesCol()
     values = vector_to_array(F.col(vector))
-    first = assembled.select(F.size(values)).first()[0]
-    held = sum(sizes.values()) * (first + 4 * classes)
-    if first < 1 or held > cells or estimator.getMaxBins() > 256 or not _ordered_numbers(assembled, vector):
+    width = assembled.select(F.size(values)).first()[0] or 0
+    held = sum(sizes.values()) * (width + 4 * classes)
+    if width < 1 or held > cells or estimator.getMaxBins() > 256 or not _ordered_numbers(assembled, vector):
         return None
-    forest = Forest(first, classes, estimator.getMaxBins(), estimator.getSeed())
+    forest = Forest(width, classes, estimator.getMaxBins(), estimator.getSeed())
     hashed = assembled.select(
         F.col("_fold").alias("fold"), F.col("_label").cast("int").alias("label"), F.col(key).alias("_key"), values.alias("values")
     ).select(F.xxhash64("fold", "_key", "label", "values").alias("id"), "fold", "label", "values")
     cuts = _cuts(hashed, forest, [*range(folds), ALL])
-    packed = _packed(hashed, cuts, first)
+    packed = _packed(hashed, cuts, width)
     accuracy = _accuracies(packed, points, folds, forest)
     means = [float(x) for x in accuracy.mean(1)]
     best = points[int(np.argmax(means))]
